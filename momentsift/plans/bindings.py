@@ -97,11 +97,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyframes ranked by value in 10 queries: query_id, source, rank, video_id, n, frame_idx, pts_time, score.
+    """Keyframes scored in 10 queries: query_id, source, video_id, n, frame_idx, pts_time, score.
 
-    Two sources rank the same frames differently, so that they can be fused.
+    Two sources score the same frames differently, so that they can be fused;
+    frame numbers are the coarse ones, so that some keys repeat.
     """
-    f = frames(spark, sf_dir).withColumn("query_id", F.col("event_id") % 10)
+    f = coarse(spark, sf_dir).withColumn("query_id", F.col("event_id") % 10)
     a = f.select("query_id", F.lit("clip").alias("source"), "video_id", "n", "frame_idx", "pts_time", F.col("value").alias("score"))
     b = f.where("n % 3 = 0").select("query_id", F.lit("ocr").alias("source"), "video_id", "n", "frame_idx", "pts_time", (F.col("pts_time") % 1000).alias("score"))
     return a.unionByName(b)
@@ -124,10 +125,10 @@ SQL = {
     "blank": "blank AS (SELECT * REPLACE (CASE WHEN seg % 7 = 0 OR right(video_id, 1) = '0' THEN ' ' ELSE text END AS text) FROM speech)",
     "text_queries": r"text_queries AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:3], ' ') AS text FROM benchmark)",
     "runs": "runs AS (SELECT video_id, pts_time AS start, pts_time + 1 AS end_sec, event_type AS text FROM frames)",
-    "candidates": """candidates AS (SELECT event_id % 10 AS query_id, 'clip' AS source, video_id, n, frame_idx, pts_time, value AS score FROM frames
-  UNION ALL SELECT event_id % 10, 'ocr', video_id, n, frame_idx, pts_time, pts_time % 1000 FROM frames WHERE n % 3 = 0)""",
+    "candidates": """candidates AS (SELECT event_id % 10 AS query_id, 'clip' AS source, video_id, n, frame_idx, pts_time, value AS score FROM coarse
+  UNION ALL SELECT event_id % 10, 'ocr', video_id, n, frame_idx, pts_time, pts_time % 1000 FROM coarse WHERE n % 3 = 0)""",
 }
-_NEEDS = {"coarse": ["frames"], "vectors": ["frames"], "truth": ["vectors"], "ocr": ["frames"], "blank": ["speech"], "runs": ["frames"], "candidates": ["frames"]}
+_NEEDS = {"coarse": ["frames"], "vectors": ["frames"], "truth": ["vectors"], "ocr": ["frames"], "blank": ["speech"], "runs": ["frames"], "candidates": ["coarse"]}
 
 
 def sql(body: str, *views: str) -> str:

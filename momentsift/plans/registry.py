@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("frame_queries", "vector_queries", "text_queries")
+_MODULES = ("frame_queries", "vector_queries", "text_queries", "segment_queries", "fusion_queries", "evaluation_queries", "io_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

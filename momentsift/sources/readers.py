@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from io import BytesIO
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FRAME_MAP = {"video_id": "string", "n": "int", "pts_time": "double", "fps": "double", "frame_idx": "bigint"}
+KEYFRAME_CSV = ("n", "pts_time", "fps", "frame_idx")
+OCR = "video_id string, n int, frame_idx bigint, text string, boxes array<struct<text: string, bbox: array<int>, conf: double>>, engine string, error string"
+SPEECH = "video_id string, start double, end double, text string, frame_idx_start bigint, frame_idx_end bigint, lang string, engine string"
+MEDIA = "title string, description string, keywords array<string>, author string, channel_id string"
+HISTORY = "time string, query string, kind string, n_results int, steps array<struct<name: string, seconds: double>>"
+TRUTH = "query_id string, task string, gt_video_id string, gt_frame_range array<bigint>, gt_answer string, gt_events array<array<bigint>>"
+QUERY = (
+    "query_id string, id string, text_en string, text string, cau_hoi string, task string, loai_truy_van string, gt_answer string, dap_an string, "
+    "cau_tra_loi string, so_moc_trake int, so_moc int, cac_giai_doan array<string>"
+)
+
+
+def stem(path: str = "_metadata.file_path"):
+    return F.regexp_extract(F.col(path), r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
 def as_frame_map(df: DataFrame) -> DataFrame:
@@ -14,3 +30,157 @@ def as_frame_map(df: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"frame map lacks columns: {', '.join(missing)}")
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in FRAME_MAP.items()])
+
+
+def read_keyframe_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """All keyframe files under a path as a frame map, and their rejected rows.
+
+    The header must be exactly the four columns in order (a byte order mark may
+    precede it); the video is named by the file. A blank or malformed cell
+    rejects its row; in strict mode reading such a row fails.
+    """
+    schema = ", ".join(f"{c} string" for c in KEYFRAME_CSV)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).select(stem().alias("video_id"), *KEYFRAME_CSV)
+    n, frame = (F.col(c).try_cast("double").cast("bigint") for c in ("n", "frame_idx"))
+    parsed = raw.select("video_id", n.cast("int").alias("n"), F.col("pts_time").try_cast("double").alias("pts_time"), F.col("fps").try_cast("double").alias("fps"), frame.alias("frame_idx"), F.struct(*KEYFRAME_CSV).alias("cells"))
+    bad = F.lit(False)
+    for c in KEYFRAME_CSV:
+        bad = bad | F.col(c).isNull()
+    rejects = parsed.where(bad).select("video_id", F.to_json("cells").alias("cells"))
+    if strict:
+        message = F.concat(F.lit("blank or malformed cell in "), F.col("video_id"), F.lit(": "), F.to_json("cells"))
+        checked = parsed.withColumn("n", F.when(bad, F.raise_error(message).cast("int")).otherwise(F.col("n")))
+    else:
+        checked = parsed.where(~bad)
+    return checked.select(*FRAME_MAP), rejects
+
+
+def read_ocr_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Lenient: lines that are no JSON are skipped, the video is named by the file, a missing frame is 0."""
+    raw = spark.read.schema(OCR + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    good = raw.select(stem().alias("_stem"), "*").where(F.col("_corrupt_record").isNull())
+    return good.select(F.col("_stem").alias("video_id"), "n", F.coalesce("frame_idx", F.lit(0)).alias("frame_idx"), "text", "boxes", "engine", "error")
+
+
+def indexable_texts(records: DataFrame) -> DataFrame:
+    """Rows whose text isn't blank."""
+    return records.where(F.coalesce(F.trim("text") != "", F.lit(False)))
+
+
+def read_ocr_for_index(spark: SparkSession, path: str) -> DataFrame:
+    """Strict: a malformed line fails; blank texts are dropped."""
+    return indexable_texts(spark.read.schema(OCR).option("mode", "FAILFAST").json(path))
+
+
+def checked_speech(segments: DataFrame, required: tuple[str, ...] = ("video_id", "start", "end_sec")) -> DataFrame:
+    """Rows with text; one that lacks a required value fails the job."""
+    spoken = indexable_texts(segments)
+    missing = F.lit(False)
+    for c in required:
+        missing = missing | F.col(c).isNull()
+    ok = F.when(missing, F.raise_error(F.lit("a speech row with text lacks a required value")).cast("boolean")).otherwise(F.lit(True))
+    return spoken.where(ok)
+
+
+def speech_stats(segments: DataFrame, file: str = "video_id") -> DataFrame:
+    return segments.agg(F.count_distinct(file).alias("files"), F.count("*").alias("rows_read"), F.count_if(F.coalesce(F.trim("text") != "", F.lit(False))).alias("rows_loaded"))
+
+
+def read_asr_segments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Checked segments and the counts of files, rows read and rows loaded."""
+    raw = spark.read.schema(SPEECH).option("mode", "FAILFAST").json(path).withColumnRenamed("end", "end_sec")
+    return checked_speech(raw), speech_stats(raw.select("*", stem().alias("_file")) if "_file" in raw.columns else raw)
+
+
+def parse_queries(lines: DataFrame, value: str = "value") -> DataFrame:
+    """One JSON record a line -> the columns of a query record and its row number within the file.
+
+    A line that is no JSON object fails the job; what a record lacks stays null.
+    """
+    record = F.from_json(F.col(value), QUERY, {"mode": "PERMISSIVE"})
+    valid = F.when(F.try_parse_json(value).isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.col(value))).cast("boolean")).otherwise(F.lit(True))
+    return lines.where(F.trim(value) != "").where(valid).select("row", record.alias("r")).select("r.*", "row")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, row (from 1), value of every line; order is that of the file, so a file is read as one value."""
+    whole = spark.read.format("binaryFile").load(path)
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
+    return whole.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("row", "value")).withColumn("row", F.col("row") + 1)
+
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Query records, normalised; a record that can't be used is an error row."""
+    from momentsift.operators.understanding import normalise_queries
+
+    return normalise_queries(parse_queries(numbered_lines(spark, path)))
+
+
+def check_truth(records: DataFrame) -> DataFrame:
+    """Ground truth whose task is known; another task fails the job."""
+    ok = F.when(F.col("task").isin("kis", "qa", "trake"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown task: "), F.coalesce("task", F.lit("null")))).cast("boolean"))
+    return records.where(ok)
+
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    events = F.transform("gt_events", lambda e: F.struct(e[0].alias("s"), e[1].alias("e")))
+    return check_truth(spark.read.schema(TRUTH).option("mode", "FAILFAST").json(path)).withColumn("gt_events", events)
+
+
+def parse_submission_lines(lines: DataFrame) -> DataFrame:
+    """query_id, task, rank, line -> video_id, frame_ids, answer; blank lines are dropped before ranks are given."""
+    full = lines.where(F.trim("line") != "").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "task").orderBy("rank")))
+    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(64))), {"escape": '"'})
+    full = full.withColumn("_c", cells)
+    parts = F.filter(F.array(*[F.col(f"_c.c{i}") for i in range(64)]), lambda c: c.isNotNull())
+    full = full.withColumn("_p", parts)
+    frames = F.when(F.col("task") == "trake", F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))).otherwise(F.slice("_p", 2, 1))
+    return full.select("query_id", "task", "rank", F.col("_p")[0].alias("video_id"), F.transform(frames, lambda f: f.cast("bigint")).alias("frame_ids"), F.when(F.col("task") == "qa", F.col("_c.c2")).alias("answer"))
+
+
+def read_submissions(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless files query-<id>-<task>.csv, the order of lines kept."""
+    lines = numbered_lines(spark, path)
+    named = lines.select(
+        F.regexp_extract("file", r"query-(.+)-([a-z]+)\.csv$", 1).alias("query_id"), F.regexp_extract("file", r"query-(.+)-([a-z]+)\.csv$", 2).alias("task"), F.col("row").alias("rank"), F.col("value").alias("line")
+    )
+    return parse_submission_lines(named)
+
+
+def read_vector_files(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """One .npy matrix a file -> video_id, n (from 1), embedding as float32; another shape fails the job."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for df in batches:
+            for name, content in zip(df["video_id"], df["content"], strict=True):
+                m = np.load(BytesIO(content), allow_pickle=False).astype(np.float32)
+                if m.ndim != 2 or m.shape[1] != dim:
+                    raise ValueError(f"{name}: shape {m.shape}, not (rows, {dim})")
+                yield pd.DataFrame({"video_id": name, "n": np.arange(1, len(m) + 1), "embedding": list(m)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    return files.select(stem("path").alias("video_id"), "content").mapInPandas(run, "video_id string, n int, embedding array<float>")
+
+
+def read_media_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One JSON document a file -> records by video, and the files that can't be read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(stem("path").alias("video_id"), F.decode("content", "UTF-8").alias("body"))
+    parsed = files.withColumn("ok", F.try_parse_json("body").isNotNull()).withColumn("m", F.from_json("body", MEDIA))
+    return parsed.where("ok").select("video_id", "m.*"), parsed.where("not ok").select("video_id")
+
+
+def media_coverage(media: DataFrame, frames: DataFrame) -> DataFrame:
+    """Videos that have keyframes but no media record."""
+    return frames.select("video_id").distinct().join(media.select("video_id").distinct(), "video_id", "left_anti")
+
+
+def latest(records: DataFrame, order: list[str], k: int = 30) -> DataFrame:
+    return records.orderBy(*[F.desc(c) for c in order]).limit(k)
+
+
+def read_history(spark: SparkSession, path: str, k: int = 30) -> DataFrame:
+    """The last records, newest first; malformed lines are skipped."""
+    raw = spark.read.schema(HISTORY + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return latest(raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), ["time"], k)
