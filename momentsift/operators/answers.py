@@ -9,7 +9,10 @@ from momentsift.params import DEFAULT
 
 #: Quotes doubled inside quotes, white space kept, as common CSV writers do.
 CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-_BY_QUERY = Window.partitionBy("query_id")
+
+
+def _by_query():
+    return Window.partitionBy("query_id")
 
 
 def answers_single(hits: DataFrame, answers: DataFrame | None = None, limit: int = DEFAULT.limit) -> DataFrame:
@@ -24,7 +27,7 @@ def answers_sequence(hits: DataFrame, moments: int) -> tuple[DataFrame, DataFram
     first = hits.withColumn("_at", F.row_number().over(per_video)).where(F.col("_at") <= moments)
     listed = F.array_sort(F.collect_list(F.struct("pts_time", "rank", "frame_idx")))
     per = first.groupBy("query_id", "video_id").agg(F.min("rank").alias("_best"), F.count("*").alias("_have"), listed.alias("_l"))
-    whole = per.where(F.col("_have") == moments).withColumn("rank", F.row_number().over(_BY_QUERY.orderBy("_best")))
+    whole = per.where(F.col("_have") == moments).withColumn("rank", F.row_number().over(_by_query().orderBy("_best")))
     rows = whole.select("query_id", "rank", "video_id", F.transform("_l", lambda x: x["frame_idx"]).alias("frame_ids"), F.lit(None).cast("string").alias("answer"))
     return rows, per.groupBy("query_id").agg(F.count_if(F.col("_have") < moments).alias("short_videos"))
 
@@ -42,7 +45,7 @@ def budget(rows: DataFrame, limit: int = DEFAULT.limit) -> tuple[DataFrame, Data
     keyed = rows.withColumn("_key", answer_key())
     keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id", "_key").orderBy("rank")))
     first = F.col("_nth") == 1
-    keyed = keyed.withColumn("_place", F.sum(F.when(first, 1).otherwise(0)).over(_BY_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    keyed = keyed.withColumn("_place", F.sum(F.when(first, 1).otherwise(0)).over(_by_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     accepted = F.max(F.when(first & (F.col("_place") <= limit), 1).otherwise(0)).over(Window.partitionBy("query_id", "_key"))
     keyed = keyed.withColumn("_accepted", accepted)
     kept = keyed.where(first & (F.col("_place") <= limit)).select("query_id", F.col("_place").cast("int").alias("rank"), "video_id", "frame_ids", "answer")
@@ -79,6 +82,6 @@ def run_summary(candidates: DataFrame, kept: DataFrame, rows: DataFrame, close:
 
 def export_picks(picks: DataFrame, limit: int = DEFAULT.limit) -> DataFrame:
     """query_id, rank, line: the best picks as video and frame."""
-    order = _BY_QUERY.orderBy(F.desc("score"), "video_id", "n")
+    order = _by_query().orderBy(F.desc("score"), "video_id", "n")
     best = picks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return best.select("query_id", "rank", F.to_csv(F.struct("video_id", "frame_idx"), CSV).alias("line"))

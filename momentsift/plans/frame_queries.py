@@ -47,9 +47,6 @@ def frame_window(spark, sf_dir):
     return b.frames(spark, sf_dir).select("video_id", "n", first.alias("first_frame"), last.alias("last_frame"))
 
 
-_FORMULAS = {"floor": F.floor, "round": F.rint}
-
-
 @query(
     "B5_verify_formula",
     sql(
