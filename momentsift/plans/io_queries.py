@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from momentsift.operators import answers as an
 from momentsift.operators import fusion as fu
+from momentsift.operators.segments import segment_manifest
 from momentsift.operators.understanding import normalise_queries
 from momentsift.sources import readers, sinks
+from momentsift.sources.scratch import scratch_path
 
 from . import bindings as b
-from .evaluation_queries import VIEWS
+from .evaluation_queries import FINALS, SCORED, VIEWS, recall_at_k
 from .fusion_queries import _RUN, KNN, _searched
 from .registry import query
 from .text_queries import records
@@ -85,3 +87,63 @@ def write_run_log(spark, sf_dir):
     found = _searched(spark, sf_dir)
     log = sinks.run_log(found.groupBy("query_id").agg(F.count("*").alias("candidates")), found)
     return log.select("query_id", "candidates", F.explode("top").alias("t")).select("query_id", "candidates", "t.*")
+
+
+# Round trips: what a sink writes from the given tables, read again.
+
+
+@query("S1_read_keyframe_csv", sql("SELECT video_id, n, pts_time, fps, frame_idx FROM frames", "frames"))
+def read_keyframe_csv(spark, sf_dir):
+    path = scratch_path(spark, "keyframes")
+    f = b.frames(spark, sf_dir).select("video_id", *readers.KEYFRAME_CSV)
+    f.repartition("video_id").sortWithinPartitions("video_id", "n").write.option("header", True).partitionBy("video_id").csv(path)
+    return readers.read_keyframe_csv(spark, path, named_by=readers.FOLDER)[0]
+
+
+@query("S3_read_ocr_jsonl", sql("SELECT video_id, n, coalesce(CASE WHEN doc_id % 2 = 0 THEN frame_idx END, 0) AS frame_idx, text FROM ocr WHERE doc_id % 7 <> 0", "ocr"))
+def read_ocr_jsonl(spark, sf_dir):
+    """Every seventh line is cut short, every second lacks its frame."""
+    path = scratch_path(spark, "ocr")
+    o = b.ocr(spark, sf_dir)
+    line = F.to_json(F.struct("n", F.when(F.col("doc_id") % 2 == 0, F.col("frame_idx")).alias("frame_idx"), "text"))
+    cut = F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 9)).otherwise(line)
+    o.select("video_id", cut.alias("value")).repartition("video_id").write.partitionBy("video_id").text(path)
+    return readers.read_ocr_jsonl(spark, path, readers.FOLDER).select("video_id", "n", "frame_idx", "text")
+
+
+@query("S12_write_frame_map", sql("SELECT video_id, n, pts_time, fps, frame_idx FROM frames", "frames"))
+def write_frame_map(spark, sf_dir):
+    path = scratch_path(spark, "frame_map")
+    sinks.write_frame_map(readers.as_frame_map(b.frames(spark, sf_dir)), path)
+    return readers.as_frame_map(spark.read.parquet(path))
+
+
+@query("S15_write_scores", sql(f"WITH {SCORED}, {FINALS} SELECT query_id, final FROM finals", *VIEWS))
+def write_scores(spark, sf_dir):
+    path = scratch_path(spark, "scores")
+    sinks.write_scores(recall_at_k(spark, sf_dir).select("query_id", "final"), path)
+    return spark.read.schema("query_id long, final double").option("header", True).csv(path)
+
+
+@query("S16_write_manifest", sql("SELECT video_id, count(*) AS rows, sha256(string_agg(text, chr(10) ORDER BY start, seg)) AS sha256 FROM blank GROUP BY 1", "blank"))
+def write_manifest(spark, sf_dir):
+    path = scratch_path(spark, "manifest")
+    sinks.write_manifest(segment_manifest(b.blank(spark, sf_dir)).select("video_id", "rows", "sha256"), path)
+    return spark.read.schema("video_id string, rows long, sha256 string").option("header", True).csv(path)
+
+
+@query("S17_write_segments", sql("SELECT video_id, seg, start, end_sec, text FROM speech", "speech"))
+def write_segments(spark, sf_dir):
+    path = scratch_path(spark, "segments")
+    sinks.write_segments(b.speech(spark, sf_dir).select("video_id", "seg", "start", "end_sec", "text"), path)
+    return spark.read.schema("video_id string, seg long, start double, end_sec double, text string").json(path)
+
+
+@query("S18_append_log", "SELECT event_type AS status, count(*) AS items FROM events GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM events")
+def append_log(spark, sf_dir):
+    """Two appends, one after the other."""
+    path = scratch_path(spark, "log")
+    e = b.table(spark, sf_dir, "events")
+    sinks.append_log(e.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("items")), path)
+    sinks.append_log(e.agg(F.count("*").alias("items")).select(F.lit("all").alias("status"), "items"), path)
+    return spark.read.schema("status string, items long").json(path)

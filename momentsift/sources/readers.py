@@ -20,8 +20,12 @@ QUERY = (
 )
 
 
-def stem(path: str = "_metadata.file_path"):
-    return F.regexp_extract(F.col(path), r"([^/]+?)(?:\.[^./]*)?$", 1)
+#: What names the video in a path: the file, or the folder that a partitioned sink makes.
+FILE_STEM, FOLDER = r"([^/]+?)(?:\.[^./]*)?$", "video_id=([^/]+)/"
+
+
+def stem(path: str = "_metadata.file_path", pattern: str = FILE_STEM):
+    return F.regexp_extract(F.col(path), pattern, 1)
 
 
 def as_frame_map(df: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def as_frame_map(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in FRAME_MAP.items()])
 
 
-def read_keyframe_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_keyframe_csv(spark: SparkSession, path: str, strict: bool = True, named_by: str = FILE_STEM) -> tuple[DataFrame, DataFrame]:
     """All keyframe files under a path as a frame map, and their rejected rows.
 
     The header must be exactly the four columns in order (a byte order mark may
@@ -40,7 +44,7 @@ def read_keyframe_csv(spark: SparkSession, path: str, strict: bool = True) -> tu
     rejects its row; in strict mode reading such a row fails.
     """
     schema = ", ".join(f"{c} string" for c in KEYFRAME_CSV)
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).select(stem().alias("video_id"), *KEYFRAME_CSV)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).select(stem(pattern=named_by).alias("video_id"), *KEYFRAME_CSV)
     n, frame = (F.col(c).try_cast("double").cast("bigint") for c in ("n", "frame_idx"))
     parsed = raw.select("video_id", n.cast("int").alias("n"), F.col("pts_time").try_cast("double").alias("pts_time"), F.col("fps").try_cast("double").alias("fps"), frame.alias("frame_idx"), F.struct(*KEYFRAME_CSV).alias("cells"))
     bad = F.lit(False)
@@ -55,10 +59,10 @@ def read_keyframe_csv(spark: SparkSession, path: str, strict: bool = True) -> tu
     return checked.select(*FRAME_MAP), rejects
 
 
-def read_ocr_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_ocr_jsonl(spark: SparkSession, path: str, named_by: str = FILE_STEM) -> DataFrame:
     """Lenient: lines that are no JSON are skipped, the video is named by the file, a missing frame is 0."""
     raw = spark.read.schema(OCR + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    good = raw.select(stem().alias("_stem"), "*").where(F.col("_corrupt_record").isNull())
+    good = raw.select(stem(pattern=named_by).alias("_stem"), "*").where(F.col("_corrupt_record").isNull())
     return good.select(F.col("_stem").alias("video_id"), "n", F.coalesce("frame_idx", F.lit(0)).alias("frame_idx"), "text", "boxes", "engine", "error")
 
 
@@ -89,7 +93,7 @@ def speech_stats(segments: DataFrame, file: str = "video_id") -> DataFrame:
 def read_asr_segments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Checked segments and the counts of files, rows read and rows loaded."""
     raw = spark.read.schema(SPEECH).option("mode", "FAILFAST").json(path).withColumnRenamed("end", "end_sec")
-    return checked_speech(raw), speech_stats(raw.select("*", stem().alias("_file")) if "_file" in raw.columns else raw)
+    return checked_speech(raw), speech_stats(raw)
 
 
 def parse_queries(lines: DataFrame, value: str = "value") -> DataFrame:
