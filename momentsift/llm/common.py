@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _LOCAL.get(spark.sparkContext.applicationId)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         _LOCAL[spark.sparkContext.applicationId] = root
