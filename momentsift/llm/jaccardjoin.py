@@ -3,14 +3,20 @@
 Set-relation skipping, as Spark jobs:
 
 * Equal sets are one node; copies never enter the join.
-* Sets that share a min-hash band are compared with the smallest node of that
-  band; components of the verified links are classes of related sets. What a
-  class already links needs no further answer, so index lists are only
-  searched for pairs *between* classes.
-* Index lists hold the rarest shingles of a set (prefix filter). A list is
-  sorted by set size, so whole blocks outside the size bound are skipped, and
-  a pair is skipped where the positions leave too few shingles to reach the
-  bound.
+* Nodes that share a min-hash band are compared with that band's hub, the node
+  that shares most bands with others. Components of the verified links are
+  classes: what a class links already needs no further answer, so index lists
+  are only searched for pairs *between* classes.
+* The comparison also gives how a set differs from its hub: shingles the hub
+  lacks (of these, those that no other set of the hub has are counted as its
+  own) and shingles of the hub that it lacks. Two sets of one hub differ at
+  least by both their own shingles and by the difference of what they lack, so
+  most pairs of a large group are answered from these numbers alone.
+* Index lists hold the rarest shingles of a set: so many that two linked sets
+  share at least one in forty of the smaller one's size there (prefix filter).
+  A list is sorted by set size, so whole blocks outside the size bound are
+  skipped, a pair is skipped where the positions leave too few shingles to
+  reach the bound, and pairs found in too few lists are dropped.
 * Every remaining pair is verified on the full sets.
 
 The filters are exact: every pair over the threshold is either inside a class
@@ -34,7 +40,9 @@ from .common import input_rows, written
 from .components import connected_components
 
 WORDS = 5
-BANDS, ROWS = 6, 4
+BANDS, ROWS = 8, 4
+#: A set closer to its hub than this is described by how it differs from it.
+RELATED = 0.5
 #: log2 of counting buckets, and heavy buckets kept (they only order the index).
 BUCKET_BITS, HEAVY = 22, 1 << 16
 #: Slots of the bitmap that preselects the texts of a verification; exact joins follow.
@@ -42,7 +50,7 @@ SLOTS = 1 << 20
 MAX_KEPT = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_SEEDS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
+_BINS = np.arange(BANDS * ROWS, dtype=np.uint64) << np.uint64(64 - (BANDS * ROWS - 1).bit_length())
 
 
 class WordHashes(dict):
@@ -87,12 +95,26 @@ def node_key(tokens: np.ndarray) -> bytes:
 
 
 def bands_of(tokens: np.ndarray) -> np.ndarray:
-    low = np.array([_finish(tokens * s).min() for s in _SEEDS], np.uint64).reshape(BANDS, ROWS)
-    return _finish((low * _MIX[:ROWS]).sum(1, dtype=np.uint64)).view(np.int64)
+    """One-permutation min-hashes: the first token of each equal stretch of the hash range, four stretches to a band.
+
+    A stretch without tokens counts as 0; a band of such stretches only, as
+    short texts have, is left out.
+    """
+    first = np.searchsorted(tokens, _BINS)
+    some = np.append(first[1:], len(tokens)) > first
+    low = np.where(some, tokens[np.minimum(first, len(tokens) - 1)], 0).reshape(BANDS, ROWS)
+    mixed = _finish((low * _MIX[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return mixed[some.reshape(BANDS, ROWS).any(1)].view(np.int64)
+
+
+def shared_least(n: int) -> int:
+    """Index entries that a set of n shingles shares with every set linked to it, if that has at least as many."""
+    return 1 + n // 40
 
 
 def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+    """With n - ceil(0.8 n) + m entries of each, two linked sets share m at least."""
+    return n - (4 * n + 4) // 5 + shared_least(n)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -137,38 +159,34 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n, tokens (binary) of the nodes in ``wanted`` (key, slot); read from the texts once more.
+    """key, tokens (binary) of the nodes in ``wanted`` (key, id); read from the texts once more.
 
-    Texts whose slot is not in the bitmap, whose size is fixed, are passed over
-    before anything moves; the join by key is exact.
+    Rows whose id is not in the bitmap, whose size is fixed, are passed over
+    before they are cut into shingles; the join by key is exact.
     """
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
     slots = np.zeros(SLOTS, bool)
-    slots[[r["slot"] for r in wanted.select("slot").distinct().toLocalIterator()]] = True
+    slots[[r["slot"] for r in wanted.select(slot).distinct().toLocalIterator()]] = True
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
 
     def run(batches):
         shingle, on, sent = Shingler(), np.unpackbits(packed.value).astype(bool), set()
         with np.errstate(over="ignore"):
             for batch in batches:
-                keys, n, tokens = [], [], []
-                for text in batch.column("text").to_pylist():
+                keys, tokens = [], []
+                some = np.flatnonzero(on[batch.column("slot").to_numpy()])
+                for text in batch.column("text").take(pa.array(some)).to_pylist():
                     t = shingle(text)
                     key = node_key(t)
-                    if len(t) and on[int.from_bytes(key[:3], "big") % SLOTS] and key not in sent:
+                    if len(t) and key not in sent:
                         if len(sent) < MAX_KEPT:
                             sent.add(key)
                         keys.append(key)
-                        n.append(len(t))
                         tokens.append(t.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "key binary, n long, tokens binary")
-    return found.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-
-
-def _slot(key):
-    """The first three bytes of the key as a number, modulo SLOTS."""
-    return F.conv(F.hex(F.substring(key, 1, 3)), 16, 10).cast("long") % SLOTS
+    found = docs.select("text", slot).mapInArrow(run, "key binary, tokens binary")
+    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def _short(key):
@@ -176,25 +194,50 @@ def _short(key):
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the node pairs (a, b) those with 100 * intersection >= 80 * union."""
+def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Node pairs (a, b) with n_a, n_b, linked, and extra: the shingles that b has and a lacks, where the two are related."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("slot", _slot(F.col("key")))
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "id"), "key")
     sets = written(_full_sets(docs, written(wanted, "wanted")), "sets")
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+    left = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = left.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
+        none = np.zeros(0, np.int64)
         for df in batches:
-            keep = []
+            out = {k: [] for k in ("n_a", "n_b", "linked", "extra")}
             for x, y in zip(df["ta"], df["tb"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(180 * common >= 80 * (len(x) + len(y)))
-            yield df.loc[np.array(keep, bool), ["a", "b"]]
-
-    return both.mapInPandas(run, "a binary, b binary")
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                new = x[at] != y
+                common = len(y) - int(new.sum())
+                total = len(x) + len(y)
+                related = common >= RELATED * (total - common)
+                for k, v in zip(out, (len(x), len(y), 180 * common >= 80 * total, y[new].view(np.int64) if related else none), strict=True):
+                    out[k].append(v)
+            yield pd.DataFrame({"a": df["a"], "b": df["b"], **out})
+
+    return written(both.mapInPandas(run, "a binary, b binary, n_a long, n_b long, linked boolean, extra array<long>"), "compared")
+
+
+def linked(compared_pairs: DataFrame) -> DataFrame:
+    return compared_pairs.where("linked").select("a", "b")
+
+
+def relations(compared_pairs: DataFrame) -> DataFrame:
+    """key, hub, own, lacks: each set by its largest hub. ``own``: shingles that neither the hub nor another set of the hub has."""
+    close = compared_pairs.where("size(extra) > 0 or linked")
+    sizes = close.groupBy("a").agg(F.count("*").alias("size"))
+    entry = F.struct("size", "a", (F.col("n_a") - F.col("n_b") + F.size("extra")).alias("lacks"), "extra")
+    chosen = close.join(sizes, "a").groupBy("b").agg(F.max(entry).alias("r")).select(F.col("b").alias("key"), F.col("r.a").alias("hub"), "r.lacks", "r.extra")
+    chosen = written(chosen, "relations")
+    tokens = chosen.select("key", "hub", F.explode("extra").alias("token"))
+    shared = tokens.groupBy("hub", "token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = tokens.join(shared, ["hub", "token"]).groupBy("key").agg(F.count("*").alias("shared"))
+    named = chosen.join(shared, "key", "left").select("key", "hub", (F.size("extra") - F.coalesce("shared", F.lit(0))).alias("own"), "lacks")
+    hubs = chosen.select("hub").distinct().select(F.col("hub").alias("key"), "hub", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("lacks"))
+    # A hub that is itself described by another hub goes by its own group, which is compared with it.
+    return named.join(hubs.select("key"), "key", "left_anti").unionByName(hubs)
 
 
 def _postings(docs: DataFrame, heavy: dict[int, int]) -> DataFrame:
@@ -268,9 +311,10 @@ def _shared_only(batches):
 BLOCK = 512
 
 
-def _list_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list (sorted by n) that size, position and class allow, block against block."""
+def _list_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of one list (sorted by n) that size, position, class and relation allow, block against block; and the smaller size."""
     n, place, node, group = c["n"].astype(np.int64), c["place"].astype(np.int64), c["node"], c["class"]
+    hub, own, lacks = c["hub"], c["own"], c["lacks"]
     last = np.searchsorted(n, n * 5 // 4, "right")  # the size bound: 4 * larger <= 5 * smaller
     for a in range(0, len(n), BLOCK):
         b = min(a + BLOCK, len(n))
@@ -279,11 +323,13 @@ def _list_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
             if group[a] == group[x] and (group[a:b] == group[a]).all() and (group[x:y] == group[a]).all():
                 continue
             i, j = np.arange(a, b)[:, None], np.arange(x, y)[None, :]
-            room = np.minimum(n[i] - place[i], n[j] - place[j])
-            ok = (j > i) & (j < last[i]) & (group[i] != group[j]) & (9 * room >= 4 * (n[i] + n[j]))
+            # Shared shingles: at most those before this one, and those from here on.
+            most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+            ok = (j > i) & (j < last[i]) & (group[i] != group[j]) & (9 * most >= 4 * (n[i] + n[j]))
+            ok &= (hub[i] != hub[j]) | (9 * (own[i] + own[j] + np.abs(lacks[i] - lacks[j])) <= n[i] + n[j])
             p, q = np.nonzero(ok)
             if len(p):
-                yield node[a + p], node[x + q]
+                yield node[a + p], node[x + q], np.minimum(n[a + p], n[x + q])
 
 
 def _candidates(batches):
@@ -293,8 +339,8 @@ def _candidates(batches):
         several = np.minimum.reduceat(c["class"], edges[:-1]) != np.maximum.reduceat(c["class"], edges[:-1])
         for k in np.flatnonzero(several):
             one = {name: v[edges[k] : edges[k + 1]] for name, v in c.items()}
-            for x, y in _list_pairs(one):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+            for x, y, n in _list_pairs(one):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n)], names=["x", "y", "n"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,21 +358,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = written(
         sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("equal")), "nodes"
     )
-    # Related sets: each against the smallest node of its bands.
-    banded = nodes.select("key", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("key").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    near = banded.join(hubs, ["band", "hash"]).where("key > hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    inside = written(connected_components(verified(rows, near)), "classes")
+    # Related sets: each against the hub of its bands.
+    banded = nodes.select("key", F.explode("bands").alias("hash"))
+    sizes = banded.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = banded.join(sizes, "hash")
+    weights = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
+    crowded = written(crowded.join(weights, "key").select("hash", "key", "weight"), "bands")
+    hubs = crowded.groupBy("hash").agg(F.max(F.struct("weight", "key")).alias("h")).select("hash", F.col("h.key").alias("a"))
+    near = crowded.join(hubs, "hash").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+    near = compared(rows, nodes, near)
+    inside = written(connected_components(linked(near)), "classes")
+    related = relations(near)
     # Pairs between classes, from the index lists.
     heavy = found.where("not is_row").groupBy("bucket").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "bucket").limit(HEAVY)
     postings = _postings(rows, {r["bucket"]: r["uses"] for r in heavy.collect()})
     lists = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, "token long, node long, n int, place int")
     named = nodes.select("key", _short(F.col("key")).alias("node"))
-    classes = inside.select(_short(F.col("node")).alias("node"), _short(F.col("root")).alias("class"))
-    classed = lists.join(classes.dropDuplicates(["node"]), "node", "left").select("token", "node", "n", "place", F.coalesce("class", "node").alias("class"))
-    pairs = classed.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_candidates, "x long, y long").distinct()
+    known = inside.select(F.col("node").alias("key"), F.col("root")).join(related, "key", "full")
+    known = known.select(
+        _short(F.col("key")).alias("node"), _short(F.coalesce("root", "key")).alias("class"), _short(F.coalesce("hub", "key")).alias("hub"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("lacks", F.lit(0)).alias("lacks")
+    )
+    classed = lists.join(known.dropDuplicates(["node"]), "node", "left").select(
+        "token", "node", "n", "place", F.coalesce("class", "node").alias("class"), F.coalesce("hub", "node").alias("hub"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("lacks", F.lit(0)).alias("lacks")
+    )
+    pairs = classed.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_candidates, "x long, y long, n long")
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where("lists >= 1 + floor(n / 40)").select("x", "y")
     pairs = pairs.join(named.select(F.col("node").alias("x"), F.col("key").alias("a")), "x").join(named.select(F.col("node").alias("y"), F.col("key").alias("b")), "y")
-    links = verified(rows, pairs.select("a", "b"))
+    links = linked(compared(rows, nodes, pairs.select("a", "b")))
     root = inside.select("node", "root")
     across = (
         links.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")

@@ -120,7 +120,7 @@ def test_token_counts(which, request):
     df = request.getfixturevalue(which)
     want = texts(df)
     ids = dict(zip(want, brute.token_ids(list(want.values()), PATH), strict=True))
-    got = tokencount.token_counts(df).collect() if False else tokencount.token_counts(df, PATH).collect()
+    got = tokencount.token_counts(df, PATH).collect()
     assert len(got) == len(want)
     for r in got:
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(want[r["doc_id"]].encode()), len(ids[r["doc_id"]]), len(ids[r["doc_id"]]) > 2048)
@@ -243,7 +243,7 @@ def test_jaccard_chains_and_borders(spark):
 
 def test_jaccard_without_classes(spark, monkeypatch):
     """The index alone finds every link."""
-    monkeypatch.setattr(jaccardjoin, "verified", (lambda f: lambda docs, pairs, calls=[]: f(docs, pairs.where("false") if not calls and not calls.append(1) else pairs))(jaccardjoin.verified))
+    monkeypatch.setattr(jaccardjoin, "connected_components", (lambda f: lambda edges, calls=[]: f(edges.where("false") if not calls and not calls.append(1) else edges))(jaccardjoin.connected_components))
     rows = near_copies(30, 60, 3, 5) + near_copies(30, 200, 9, 6)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccardjoin.jaccard_components(df).collect()} == brute.components(list(enumerate(rows)))
