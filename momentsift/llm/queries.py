@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .decontaminate import contamination
 from .exactdedup import EXACT_SQL, exact_groups
 from .htmltext import main_texts
@@ -82,28 +82,34 @@ def oracle_sql() -> dict[str, str]:
 
 # The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir); all but the last return the columns of ``docs``.
 
+#: Ids of dropped rows up to this many are broadcast, so that no text moves; more are joined by id.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``dropped``; a null id matches a null id."""
+    dropped = written(dropped.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is below one half; the verdicts join back by id, equal ids with their highest score."""
-    judged = toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["doc_id"]), "left_anti")
+    """Rows whose score is below one half; of several rows of one id, one toxic row drops all."""
+    return without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    """Of equal texts the largest id."""
+    return without(docs, exact_groups(docs).where("not kept"))
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays."""
-    judged = jaccard_components(docs)
-    dropped = judged.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    return without(docs, jaccard_components(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
