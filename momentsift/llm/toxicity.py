@@ -16,19 +16,20 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, input_rows, map_rows
 
 #: Labelled rows of each class that training reads at most, and characters of them it holds at once.
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 3000
 WINDOW, STRIDE = 4, 2
 BUCKETS, DIM = 1 << 17, 16
 NGRAMS = (3, 4, 5, 6)
 EPOCHS, RATE, DECAY = 8, 0.2, 3e-3
 MIN_DOCS = 4
-MAX_KEPT = 1_000_000
+MAX_KEPT = 500_000
 _WORD = re.compile(r"\w+")
 
 
@@ -89,12 +90,17 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h[order] >> np.uint64(47)).astype(np.int64) % BUCKETS, np.bincount(owner_all, minlength=len(words))
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """Overlapping windows that cover n words."""
+def window_starts(n: int) -> np.ndarray:
+    """First words of the overlapping windows that cover n words (each WINDOW long, or n if that is less)."""
     if n <= WINDOW:
-        return [(0, n)] if n else []
-    starts = list(range(0, n - WINDOW, STRIDE)) + [n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
+        return np.zeros(min(n, 1), np.int64)
+    return np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
+
+
+def subwords_in_parts(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of a long list, without its scratch arrays for all of it at once."""
+    done = [subwords(words[a : a + part]) for a in range(0, len(words), part)]
+    return np.concatenate([g.astype(np.int32) for g, _ in done]), np.concatenate([n for _, n in done])
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
@@ -103,24 +109,28 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
     model.weights[:, 1] = rng.normal(0, 0.3, DIM)
     model.weights[:, 0] = -model.weights[:, 1]
-    docs = [words_of(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for d in docs for w in d}))}
+    vocabulary: dict[str, int] = {}
+    parts = []
+    for t in texts:  # ids at once: the words of all texts would not fit beside each other
+        words = words_of(t)
+        parts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
     if not vocabulary or len(set(toxic)) < 2:
         return model
-    grams, sizes = subwords(list(vocabulary))
+    grams, sizes = subwords_in_parts(list(vocabulary))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    spans, owner, ids, at = [], [], [], 0
-    for k, d in enumerate(docs):
-        ids.append(np.fromiter((vocabulary[w] for w in d), np.int64, len(d)))
-        for a, b in windows(len(d)):
-            spans.append((at + a, at + b))
-            owner.append(k)
-        at += len(d)
-    flat, spans, owner = np.concatenate(ids), np.array(spans), np.array(owner)
+    lengths = np.array([len(d) for d in parts])
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    flat = np.concatenate(parts)
+    del parts, vocabulary
+    starts = [window_starts(n) for n in lengths.tolist()]
+    owner = np.repeat(np.arange(len(lengths)), [len(x) for x in starts])
+    left = np.concatenate(starts) + begins[owner]
+    spans = np.stack([left, left + np.minimum(WINDOW, lengths[owner])], 1)
+    n_docs, n_words = len(lengths), len(sizes)
     label = np.array(toxic, np.int64)
     # Subwords of fewer than MIN_DOCS documents stay zero vectors: they would only be learnt by heart.
-    pairs = np.unique(np.repeat(np.arange(len(docs)), [len(d) for d in docs]) * len(vocabulary) + flat) % len(vocabulary)
-    per_word = np.bincount(pairs, minlength=len(vocabulary))
+    pairs = np.unique(np.repeat(np.arange(n_docs), lengths) * n_words + flat) % n_words
+    per_word = np.bincount(pairs, minlength=n_words)
     support = np.bincount(grams, np.repeat(per_word, sizes), BUCKETS)
     rare = support < MIN_DOCS
     model.vectors[rare] = 0
@@ -138,7 +148,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         scores = window_logits()
         order = np.lexsort((-scores, owner))
         rank = np.empty(len(order), np.int64)
-        starts = np.searchsorted(owner[order], np.arange(len(docs)))
+        starts = np.searchsorted(owner[order], np.arange(n_docs))
         rank[order] = np.arange(len(order)) - starts[owner[order]]
         positive = label[owner] == 1
         # Toxic documents teach by their worst windows; clean ones by their worst and a few others.
@@ -177,7 +187,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             model.vectors[unique] -= np.where(rare[unique, None], 0, step + DECAY * model.vectors[unique])
     # Set the bias so that the worst windows of the training documents split best at one half.
     scores = window_logits()
-    worst = np.full(len(docs), -np.inf)
+    worst = np.full(n_docs, -np.inf)
     np.maximum.at(worst, owner, scores)
     seen = np.isfinite(worst)
     model.bias[:] = 0, -_cut(worst[seen], label[seen])
@@ -243,14 +253,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     return input_rows(docs, id_col, text_col).join(F.broadcast(ids), "id").select("id", "y", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col="doc_id", text_col="text", label_col="toxic") -> Model:
-    """Repeated rows of one id are read once; without labels of both classes the model calls nothing toxic."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col="doc_id", text_col="text", label_col="toxic") -> tuple[np.ndarray, float]:
+    """Trains in one task, on a sample that ``per_class`` bounds; what comes back is a weight for each bucket.
+
+    Repeated rows of one id are read once; without labels of both classes the
+    model calls nothing toxic.
+    """
     rows = training_sample(docs, labels, per_class, id_col, text_col, label_col).groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
-    table = rows.toPandas().sort_values("id")
-    model = train(table["text"].tolist(), table["y"].tolist())
-    if table["y"].nunique() < 2:
-        model.vectors[:], model.bias[:] = 0, (0, -5)
-    return model
+
+    def run(batches):
+        table = pd.concat(list(batches), ignore_index=True).sort_values("id")
+        model = train(table["text"].tolist(), table["y"].tolist())
+        if table["y"].nunique() < 2:
+            yield pd.DataFrame({"weights": [np.zeros(BUCKETS, np.float32).tobytes()], "offset": [-5.0]})
+        else:
+            yield pd.DataFrame({"weights": [model.word_weights().tobytes()], "offset": [model.offset()]})
+
+    fitted = rows.repartition(1).mapInPandas(run, "weights binary, offset double").head()
+    if fitted is None:
+        return np.zeros(BUCKETS, np.float32), -5.0
+    return np.frombuffer(fitted["weights"], np.float32), fitted["offset"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -266,9 +288,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
-def score_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.word_weights(), model.offset()))  # BUCKETS floats, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
 
     def make():
         scorer = Scorer(*shared.value)

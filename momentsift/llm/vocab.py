@@ -18,7 +18,7 @@ from .common import quiet_tokenizers
 
 #: Bytes of text in one call of the library, and pieces kept by a worker.
 BATCH_BYTES = 1 << 20
-MAX_KEPT = 1_000_000
+MAX_KEPT = 500_000
 
 _LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
