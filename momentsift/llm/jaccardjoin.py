@@ -11,7 +11,9 @@ Set-relation skipping, as Spark jobs:
   lacks (of these, those that no other set of the hub has are counted as its
   own) and shingles of the hub that it lacks. Two sets of one hub differ at
   least by both their own shingles and by the difference of what they lack, so
-  most pairs of a large group are answered from these numbers alone.
+  most pairs of a large group are answered from these numbers alone. A set that
+  shares no band with a hub is compared with the hub that it meets most in the
+  index lists.
 * Index lists hold the rarest shingles of a set: so many that two linked sets
   share at least one in forty of the smaller one's size there (prefix filter).
   A list is sorted by set size, so whole blocks outside the size bound are
@@ -42,12 +44,12 @@ from .components import connected_components
 WORDS = 5
 BANDS, ROWS = 8, 4
 #: A set closer to its hub than this is described by how it differs from it.
-RELATED = 0.5
+RELATED = 0.2
 #: log2 of counting buckets, and heavy buckets kept (they only order the index).
 BUCKET_BITS, HEAVY = 22, 1 << 16
 #: Slots of the bitmap that preselects the texts of a verification; exact joins follow.
 SLOTS = 1 << 20
-MAX_KEPT = 1_000_000
+MAX_KEPT = 500_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BINS = np.arange(BANDS * ROWS, dtype=np.uint64) << np.uint64(64 - (BANDS * ROWS - 1).bit_length())
@@ -323,8 +325,8 @@ def _list_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
             if group[a] == group[x] and (group[a:b] == group[a]).all() and (group[x:y] == group[a]).all():
                 continue
             i, j = np.arange(a, b)[:, None], np.arange(x, y)[None, :]
-            # Shared shingles: at most those before this one, and those from here on.
-            most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+            # The first entries that a linked pair shares come so early that what follows them can reach the bound.
+            most = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(n[i], n[j]) // 40
             ok = (j > i) & (j < last[i]) & (group[i] != group[j]) & (9 * most >= 4 * (n[i] + n[j]))
             ok &= (hub[i] != hub[j]) | (9 * (own[i] + own[j] + np.abs(lacks[i] - lacks[j])) <= n[i] + n[j])
             p, q = np.nonzero(ok)
@@ -343,6 +345,17 @@ def _candidates(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n)], names=["x", "y", "n"])
 
 
+def _hubs_by_lists(lists: DataFrame, related: DataFrame) -> DataFrame:
+    """node, hub (short names): for sets without a hub, the one whose sets stand in most of its lists, if these are enough."""
+    described = related.select(_short(F.col("key")).alias("node"), _short(F.col("hub")).alias("hub")).dropDuplicates(["node"])
+    tagged = lists.select("token", "node", "n").join(described, "node", "left")
+    per = tagged.where("hub is not null").groupBy("token", "hub").agg(F.count("*").alias("c"))
+    popular = per.groupBy("token").agg(F.max(F.struct("c", "hub")).alias("p")).select("token", F.col("p.hub").alias("hub"))
+    met = tagged.where("hub is null").select("token", "node", "n").join(popular, "token").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    best = met.where("c >= 1 + floor(n / 40)").groupBy("node").agg(F.max(F.struct("c", "hub")).alias("p"))
+    return best.select("node", F.col("p.hub").alias("hub"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``id_col``, n_shingles, component_id, n_equal.
 
@@ -367,13 +380,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = crowded.groupBy("hash").agg(F.max(F.struct("weight", "key")).alias("h")).select("hash", F.col("h.key").alias("a"))
     near = crowded.join(hubs, "hash").where("key <> a").select("a", F.col("key").alias("b")).distinct()
     near = compared(rows, nodes, near)
-    inside = written(connected_components(linked(near)), "classes")
-    related = relations(near)
     # Pairs between classes, from the index lists.
     heavy = found.where("not is_row").groupBy("bucket").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "bucket").limit(HEAVY)
     postings = _postings(rows, {r["bucket"]: r["uses"] for r in heavy.collect()})
     lists = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, "token long, node long, n int, place int")
+    lists = written(lists, "lists")
     named = nodes.select("key", _short(F.col("key")).alias("node"))
+    met = _hubs_by_lists(lists, relations(near))
+    met = met.join(named.select("node", F.col("key").alias("b")), "node").join(named.select(F.col("node").alias("hub"), F.col("key").alias("a")), "hub")
+    near = near.unionByName(compared(rows, nodes, met.select("a", "b")))
+    inside = written(connected_components(linked(near)), "classes")
+    related = relations(near)
     known = inside.select(F.col("node").alias("key"), F.col("root")).join(related, "key", "full")
     known = known.select(
         _short(F.col("key")).alias("node"), _short(F.coalesce("root", "key")).alias("class"), _short(F.coalesce("hub", "key")).alias("hub"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("lacks", F.lit(0)).alias("lacks")
