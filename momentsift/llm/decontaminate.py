@@ -6,6 +6,10 @@ benchmark items are joined with those over every window of every document; each
 hit is extended along its diagonal and verified with substitutions allowed. The
 benchmark is the stated query set: it is taken in blocks of bounded size, each
 block against all rows.
+
+No overlap that verifies goes without a hit. At most a quarter of its words are
+substituted, so of the fours of words it is cut into, one has a substitution at
+most, and the other three words of it stand as 111, 1101 or 1011.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import input_rows, map_rows
 
-#: 1: the word at this place counts. Several masks, so that substitutions in different places leave one of them whole.
-MASKS = ("111010010111", "110110101101", "1011100011011", "111111")
-#: Items shorter than this are not searched; words a verified overlap needs (or the whole item, if shorter), share of equal words.
-MIN_WORDS, MIN_OVERLAP, MIN_EQUAL = 5, 10, 0.75
+#: 1: the word at this place counts. Together they hit every four words with one substitution at most, as MIN_EQUAL asks.
+MASKS = ("111", "1101", "1011")
+#: Words a verified overlap needs (or the whole item, if shorter), share of equal words. Items under five words verify by equality only.
+MIN_OVERLAP, MIN_EQUAL = 10, 0.75
 #: What one block of benchmark items may hold: hashes that are broadcast at once.
 BLOCK_WORDS = 1_000_000
 #: Score of a substituted word where an equal one scores 1: where an overlap ends.
 SUBSTITUTION = -1.5
 TABLE_BITS = 22
+#: Hits, or words of their items, that are looked at together.
+MAX_HITS = 1 << 20
 MAX_KEPT = 1_000_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…—–¿¡"
 _ODD = np.random.default_rng(8).integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
@@ -67,12 +73,28 @@ def _hash(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _runs(sizes: np.ndarray) -> list[slice]:
+    """Slices over ``sizes`` whose sums stay near MAX_HITS."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // MAX_HITS)) + 1
+    ends = [0, *cuts.tolist(), len(sizes)]
+    return [slice(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of starts[k], starts[k] + 1, ... of sizes[k] numbers, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class Seeds:
     """All masked hashes of one block of items, sorted, with a table that rules most windows out."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.words = [w for _, w in items]
         self.ids = [i for i, _ in items]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.words)
+        self.need = MIN_EQUAL * np.minimum(MIN_OVERLAP, self.size)
         masks: dict[tuple[int, ...], list[int]] = {}
         for k, w in enumerate(self.words):
             for m in masks_for(len(w)):
@@ -89,22 +111,37 @@ class Seeds:
             seen[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
             self.tables.append((places, h[order], item[order], at[order], seen))
 
-    def diagonals(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document place less item place) of all hits."""
-        found = set()
+    def diagonals(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and document place less item place of all hits whose diagonal has as many equal words as an overlap needs."""
+        found = []
         for places, h, item, at, seen in self.tables:
             doc = _hash(words, places)
             maybe = np.flatnonzero(seen[(doc >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
             if len(maybe):
-                lo, hi = np.searchsorted(h, doc[maybe], "left"), np.searchsorted(h, doc[maybe], "right")
-                for place, a, b in zip(maybe[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                    found.update((int(item[k]), int(place - at[k])) for k in range(a, b))
-        return found
+                lo = np.searchsorted(h, doc[maybe], "left")
+                n = np.searchsorted(h, doc[maybe], "right") - lo
+                maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
+                for run in _runs(n):
+                    k = _ranges(lo[run], n[run])
+                    found.append(np.unique((item[k] << 32) + (np.repeat(maybe[run], n[run]) - at[k] + (1 << 31))))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.unique(np.concatenate(found))
+        item, diagonal = found >> 32, (found & ((1 << 32) - 1)) - (1 << 31)
+        enough = [self._equal(words, item[run], diagonal[run]) >= self.need[item[run]] for run in _runs(self.size[item])]
+        enough = np.concatenate(enough)
+        return item[enough], diagonal[enough]
+
+    def _equal(self, words: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        size = self.size[item]
+        place = _ranges(diagonal, size)
+        equal = self.flat[_ranges(self.start[item], size)] == words[np.clip(place, 0, len(words) - 1)]
+        return np.add.reduceat(equal & (place >= 0) & (place < len(words)), np.cumsum(size) - size, dtype=np.int64)
 
     def overlaps(self, words: np.ndarray) -> dict[int, int]:
         """Item id -> equal words of its best verified overlap."""
         best: dict[int, int] = {}
-        for k, diagonal in self.diagonals(words):
+        for k, diagonal in zip(*(x.tolist() for x in self.diagonals(words)), strict=True):
             got = verified_overlap(words, self.words[k], diagonal)
             if got > best.get(self.ids[k], 0):
                 best[self.ids[k]] = got
@@ -127,9 +164,9 @@ def verified_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> int:
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
     """Lists of (id, word hashes), each of about ``block_words`` words; streamed, one block in memory at a time."""
     known, block, size = NormalHashes(), [], 0
-    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).dropna().orderBy("i").toLocalIterator():
+    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).dropna(subset="t").orderBy("i").toLocalIterator():
         w = word_hashes(r["t"], known)
-        if len(w) >= MIN_WORDS:
+        if len(w):
             block.append((r["i"], w))
             size += len(w)
             if size >= block_words:
@@ -151,7 +188,7 @@ def contamination(
     """One row per row and block of items: ``id_col``, contaminated, n_items, overlap, item_ids.
 
     ``contaminated_rows`` joins the blocks. Null and empty texts are clean;
-    repeated rows are judged each.
+    repeated rows are judged each. Items of one id, or of null ids, count once.
     """
     blocks = list(_block_results(docs, benchmark, id_col, text_col, item_col, item_text_col, block_words))
     out = blocks[0]
@@ -160,14 +197,14 @@ def contamination(
     if len(blocks) > 1:
         # The same row in every block has the same row number: rows are numbered by the same scan.
         out = out.groupBy("row", "id").agg(
-            F.sum("n_items").alias("n_items"), F.max("overlap").alias("overlap"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
-        )
+            F.max("overlap").alias("overlap"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        ).withColumn("n_items", F.size("items").cast("long"))
     return out.select(
         F.col("id").alias(id_col),
         (F.col("n_items") > 0).alias("contaminated"),
         "n_items",
         "overlap",
-        F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("item_ids"),
+        F.array_join(F.transform("items", lambda i: i.cast("string")), ",", "null").alias("item_ids"),
     )
 
 
@@ -192,7 +229,7 @@ def _block_results(docs, benchmark, id_col, text_col, item_col, item_text_col, b
                         found = seeds.overlaps(word_hashes(text, known))
                         n.append(len(found))
                         overlap.append(max(found.values(), default=0))
-                        items.append(sorted(found))
+                        items.append(sorted(found, key=lambda i: (i is None, i)))
                 return {"row": batch.column("row"), "id": batch.column("id"), "n_items": n, "overlap": overlap, "items": items}
 
             return step

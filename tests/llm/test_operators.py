@@ -339,6 +339,48 @@ def test_decontamination_with_substitutions(spark):
     assert decontaminate.contamination(df.where("false"), bench).count() == 0
 
 
+def test_decontamination_seeds_every_overlap_that_verifies():
+    """All patterns of substitutions in short items, and drawn ones in long items and at a quarter exactly."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+
+    def patterns():
+        for n in range(1, 13):
+            yield from (np.array(p, bool) for p in itertools.product((True, False), repeat=n))
+        for n in range(13, 41):
+            yield np.arange(n) % 4 != 1
+            for _ in range(200):
+                p = np.ones(n, bool)
+                p[rng.choice(n, rng.integers(0, n // 4 + 1), replace=False)] = False
+                yield p
+
+    items, verified = {}, Counter()
+    for equal in patterns():
+        n = len(equal)
+        if n not in items:
+            item = np.arange(1, 2 * n, 2, dtype=np.uint64)
+            items[n] = (item, decontaminate.Seeds([(n, item)]))
+        item, seeds = items[n]
+        doc = np.concatenate([[1001, 1003], np.where(equal, item, item + np.uint64(2000)), [1005]]).astype(np.uint64)
+        want = decontaminate.verified_overlap(doc, item, 2)
+        assert seeds.overlaps(doc) == ({n: want} if want else {}), (n, equal)
+        verified[n] += want > 0
+    assert all(verified[n] == 1 for n in range(1, 5)) and verified[8] > 5 and len(verified) == 40
+
+
+def test_decontamination_short_items_and_null_item_ids(spark):
+    items = [(None, "alpha beta gamma"), (None, "nine eight seven six five four"), (5, "lone"), (6, "one two x four five"), (7, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(0, "an Alpha, beta gamma here"), (1, "alpha beta delta"), (2, "a LONE word and one two three four five"), (3, "nine eight seven six five four alpha beta gamma")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (decontaminate.BLOCK_WORDS, 1):
+        got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["item_ids"]) for r in decontaminate.contamination(df, bench, block_words=block).collect()}
+        assert got == {0: (True, 1, "null"), 1: (False, 0, ""), 2: (True, 2, "5,6"), 3: (True, 1, "null")}
+
+
 def test_toxicity(spark, sf_dir, docs):
     rng = random.Random(4)
     plain = [f"{a}{b}" for a in ("ta", "mo", "ri", "ke", "lu") for b in ("nen", "sol", "vat", "dir", "pom", "gus")]
