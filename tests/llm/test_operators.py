@@ -291,6 +291,19 @@ def test_html(spark):
     assert htmltext.main_texts(df.where("false")).count() == 0
 
 
+def test_html_keeps_whole_articles():
+    story = "<p>" + "story words " * 9 + "</p>"
+    want = ("story words " * 9).strip()
+    assert htmltext.content(f"<body class='has-sidebar'>{story}</body>") == want
+    assert htmltext.content(f"<body class='search'>{story}</body>") == want
+    assert htmltext.content(f"<div class='content no-sidebar'>{story}</div>") == want
+    assert htmltext.content(f"<main class='search-results'>{story}</main>") == want
+    assert htmltext.content(f"<div class=widget><article>{story}</article></div><div>hi</div>") == want
+    assert htmltext.content(f"<body><form id='aspnetForm'><nav>menu</nav><div class=menu>x</div><div>{story}</div></form><footer>c</footer></body>") == want
+    assert htmltext.content(f"<body><div class=intro>In short</div><div class=story>{story}</div><p>the end</body>") == f"In short {want} the end"
+    assert htmltext.content(f"<body><div class=ad-banner>buy</div><div>{story}</div><form>name</form></body>") == want
+
+
 def test_html_given(spark, sf_dir):
     import html as h
 
