@@ -304,6 +304,18 @@ def test_html_keeps_whole_articles():
     assert htmltext.content(f"<body><div class=ad-banner>buy</div><div>{story}</div><form>name</form></body>") == want
 
 
+def test_html_template_decides_inside_articles(spark):
+    page = "<body><nav>menu</nav><article><h1>Head {0}</h1><p>Subscribe to our letter</p><p>story {0}</p></article></body>"
+    rows = [(k, "http://h.example/x", page.format(k)) for k in range(5)]
+    rows += [(10 + k, "http://few.example/x", page.format(k)) for k in range(2)]
+    rows += [(20 + k, "http://same.example/x", page.format("").replace("menu", f"menu {k}")) for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_texts(df).collect()}
+    assert all(got[k] == f"Head {k} story {k}" for k in range(5))
+    assert all(got[10 + k] == f"Head {k} Subscribe to our letter story {k}" for k in range(2))
+    assert all(got[20 + k] == "Head Subscribe to our letter story" for k in range(5))
+
+
 def test_html_given(spark, sf_dir):
     import html as h
 
