@@ -16,7 +16,7 @@ from .packing import packed_documents
 from .pii import pii_spans
 from .secrets import secret_spans
 from .tokencount import token_counts, tokenizer_path
-from .toxicity import toxicity
+from .toxicity import fit, score_rows, toxicity
 from .urlfilter import JUDGE_SQL, judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,34 +82,56 @@ def oracle_sql() -> dict[str, str]:
 
 # The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir); all but the last return the columns of ``docs``.
 
-#: Ids of dropped rows up to this many are broadcast, so that no text moves; more are joined by id.
+#: Keys of dropped rows up to this many are broadcast, so that no text moves; more are joined by key.
 BROADCAST_IDS = 1_000_000
+#: The key of a row within a stage, as ids may be null or repeated.
+ROW = "_stage_row"
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``dropped``; a null id matches a null id."""
-    dropped = written(dropped.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, written so that every later reading gives a row the same key."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is not in ``dropped``, without the key."""
+    dropped = written(dropped.select(F.col(ROW).alias("dropped_row")), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    return rows.join(F.broadcast(dropped) if few else dropped, rows[ROW] == dropped["dropped_row"], "left_anti").drop(ROW)
+
+
+def all_but_one(rows: DataFrame, groups: DataFrame, group: str, largest: bool) -> DataFrame:
+    """The rows of each group but that of the largest or smallest id: null ids come last, equal ids go by their key."""
+    named = groups.select(ROW, F.col(group).alias("group")).join(rows.select(ROW, "doc_id"), ROW)
+    named = written(named, "groups")
+    known = F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull()
+    best = (F.max if largest else F.min)(F.struct(known.alias("known"), "doc_id", ROW))
+    stays = named.groupBy("group").agg(best[ROW].alias("stays"), F.count("*").alias("n")).where("n > 1")
+    return named.join(stays, "group").where(F.col(ROW) != F.col("stays"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is below one half; of several rows of one id, one toxic row drops all."""
-    return without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Rows whose score is below one half."""
+    rows = keyed(docs)
+    model = fit(rows, table(spark, sf_dir, "labels"))
+    return without(rows, score_rows(rows, model, ROW).where("score >= 0.5"))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest id."""
-    return without(docs, exact_groups(docs).where("not kept"))
+    """Of equal texts one row, with the largest id."""
+    rows = keyed(docs)
+    return without(rows, all_but_one(rows, exact_groups(rows, ROW).where("group_size > 1"), "keep_id", largest=True))
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    return without(docs, jaccard_components(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component one row, with the smallest id."""
+    rows = keyed(docs)
+    return without(rows, all_but_one(rows, jaccard_components(rows, ROW), "component_id", largest=False))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = keyed(docs)
+    return without(rows, contamination(rows, table(spark, sf_dir, "benchmark"), ROW).where("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

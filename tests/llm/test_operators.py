@@ -464,3 +464,33 @@ def test_pipeline(spark, sf_dir):
             assert not any(x in t for t in after.values() for x in items)
             assert len(after) >= 0.9 * len(before)
     assert {r["doc_id"] for r in now.collect()} == set(before)
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, sf_dir, monkeypatch):
+    def left(stage, rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        out = stage(spark, df, sf_dir)
+        assert out.columns == df.columns
+        return Counter((r["doc_id"], r["text"]) for r in out.collect())
+
+    def rows_of(*rows):
+        return [(*r, "en") for r in rows]
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = rows_of((None, item), (None, "clean one"), (None, None), (5, item), (5, "clean two"), (6, "clean two"))
+    assert left(queries.drop_contaminated, rows) == Counter([(None, "clean one"), (None, None), (5, "clean two"), (6, "clean two")])
+
+    rows = rows_of((7, "same"), (7, "same"), (None, "same"), (None, "twin"), (None, "twin"), (7, "other"), (None, "lone"), (3, "pair"), (4, "pair"))
+    assert left(queries.keep_one_copy, rows) == Counter([(7, "same"), (None, "twin"), (7, "other"), (None, "lone"), (4, "pair")])
+
+    words = " ".join(f"w{k}" for k in range(60))
+    near = [f"{words} {x}" for x in "abc"]
+    rows = rows_of((2, near[0]), (2, near[0]), (None, near[1]), (None, "lone"), (2, "two"), (None, "x y"), (None, "x y"), (9, "p q"), (8, "p q"))
+    got = left(queries.keep_one_similar, rows)
+    assert got == Counter([(2, near[0]), (None, "lone"), (2, "two"), (None, "x y"), (8, "p q")])
+
+    monkeypatch.setattr(queries, "fit", lambda *_: None)
+    score = lambda rows, model, key: rows.select(key, F.when(F.col("text") == "bad", 0.9).otherwise(0.1).alias("score"))
+    monkeypatch.setattr(queries, "score_rows", score)
+    rows = rows_of((None, "bad"), (None, "good"), (1, "bad"), (1, "good"), (2, None))
+    assert left(queries.drop_toxic, rows) == Counter([(None, "good"), (1, "good"), (2, None)])
