@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,16 +34,35 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
+class Scratch:
+    """Intermediate tables of one operator in the shared folder.
 
-    Cuts the lineage with files that outlive any executor; used for narrow
-    intermediate tables that are read more than once.
+    Writing cuts the lineage with files that outlive any executor; it is used
+    for narrow tables that are read more than once. ``clear`` deletes all but
+    those marked as ``last``, which the operator's result still reads.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if not last:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        for path in self.paths:
+            at = jvm.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again; the table stays, as a result still reads it."""
+    return Scratch(df.sparkSession).written(df, name, last=True)
 
 
 def input_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,10 +80,32 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
             if batch.num_rows:
                 columns = step(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in target], schema=target)
+        del step
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def some_texts(column: pa.Array, rows: int = 500) -> Iterator[str]:
+    """The strings of a column, of which only some rows at a time become Python objects."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
+
+
+def release_memory() -> None:
+    """At the end of a task: what its caches held goes back to the system, as workers live on."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: freed memory stays with the worker
+            pass
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """``edges`` has a and b (any comparable type) -> node, root: the smallest node reachable; nodes without edges are absent.
 
     Every round is a few aggregations and joins by node, written to the shared
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now, mark = written(now, "edges"), None
+    now, mark = scratch.written(now, "edges"), None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark or not seen["n"]:
@@ -29,5 +29,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = written(small.where("u > v").distinct(), "edges")
+        now = scratch.written(small.where("u > v").distinct(), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -3,28 +3,25 @@
 Set-relation skipping, as Spark jobs:
 
 * Equal sets are one node; copies never enter the join.
-* Nodes that share a min-hash band are compared with that band's hub, the node
-  that shares most bands with others. Components of the verified links are
-  classes: what a class links already needs no further answer, so index lists
-  are only searched for pairs *between* classes.
-* The comparison also gives how a set differs from its hub: shingles the hub
-  lacks (of these, those that no other set of the hub has are counted as its
-  own) and shingles of the hub that it lacks. Two sets of one hub differ at
-  least by both their own shingles and by the difference of what they lack, so
-  most pairs of a large group are answered from these numbers alone. A set that
-  shares no band with a hub is compared with the hub that it meets most in the
-  index lists.
-* Index lists hold the rarest shingles of a set: so many that two linked sets
-  share at least one in forty of the smaller one's size there (prefix filter).
-  A list is sorted by set size, so whole blocks outside the size bound are
-  skipped, a pair is skipped where the positions leave too few shingles to
-  reach the bound, and pairs found in too few lists are dropped.
-* Every remaining pair is verified on the full sets.
-
-The filters are exact: every pair over the threshold is either inside a class
-or verified. Heavy shingles (by counts over all texts) only change the order in
-which shingles are indexed. Sets are of 64-bit shingle hashes; nodes are told
-apart by 128 bits.
+* Nodes that share a min-hash band follow the node that shares most bands with
+  others, their hub, and are compared with it. Of a node that is like its hub
+  only the difference is kept: shingles that one has and the other lacks.
+* Answers inside a hub's group are derived from these differences. With d and e
+  shingles of difference, c of them common, two sets differ by d + e - 2c
+  shingles. Sets that link with the hub are one class, and no two others can
+  link with c = 0; so only differences that share a shingle are looked up, in
+  index lists of the rarest shingles of each difference (prefix filter).
+* Answers between groups come from index lists of the rarest shingles of each
+  whole set. In both kinds of lists a pair is skipped where the positions leave
+  too few shingles to reach the bound, and pairs of one class or group too.
+  Lists are sorted by size and dealt in blocks: pairs of blocks that size,
+  position or class rule out are never joined, and no task holds a whole list.
+* Every remaining pair is verified: on the shared differences in a group, on
+  the full sets between groups.
+
+The filters are exact: every pair over the threshold is answered. Counts of
+shingles over all texts only change the order in which shingles are indexed.
+Sets are of 64-bit shingle hashes; nodes are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -32,24 +29,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_rows, written
+from .common import Scratch, input_rows, release_memory, some_texts
 from .components import connected_components
 
 WORDS = 5
 BANDS, ROWS = 8, 4
-#: A set closer to its hub than this is described by how it differs from it.
-RELATED = 0.2
-#: log2 of counting buckets, and heavy buckets kept (they only order the index).
-BUCKET_BITS, HEAVY = 22, 1 << 16
-#: Slots of the bitmap that preselects the texts of a verification; exact joins follow.
+#: A set at least so similar to its hub is described by how it differs from it.
+RELATED = 0.35
+#: log2 of counting buckets, and of those in a row when counts are added up (they only order the index).
+BUCKET_BITS, SLICE_BITS = 22, 12
+#: Slots of the table that preselects texts to be compared; its size is what is broadcast at most.
 SLOTS = 1 << 20
-MAX_KEPT = 500_000
+#: Sets that are compared with one set in one run, entries of a block of an index list, of a step within.
+RUN, LIST, STEP = 2000, 4096, 512
+MAX_KEPT = 200_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BINS = np.arange(BANDS * ROWS, dtype=np.uint64) << np.uint64(64 - (BANDS * ROWS - 1).bit_length())
@@ -109,86 +107,65 @@ def bands_of(tokens: np.ndarray) -> np.ndarray:
     return mixed[some.reshape(BANDS, ROWS).any(1)].view(np.int64)
 
 
-def shared_least(n: int) -> int:
-    """Index entries that a set of n shingles shares with every set linked to it, if that has at least as many."""
-    return 1 + n // 40
-
-
 def prefix_length(n: int) -> int:
-    """With n - ceil(0.8 n) + m entries of each, two linked sets share m at least."""
-    return n - (4 * n + 4) // 5 + shared_least(n)
+    """Two linked sets share one at least of so many entries of each."""
+    return n - (4 * n + 4) // 5 + 1
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Row id, n, key, bands; and rows with a bucket and its count where id columns are null."""
+    """Row id, rid, n, key, bands; and rows with a slice of the counts of a task's shingles where is_row is false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts, total = Shingler(), np.zeros(1 << BUCKET_BITS, np.int32), 0
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                n, keys, bands, tokens = [], [], [], []
-                for text in batch.column("text").to_pylist():
+        shingle, counts = Shingler(), np.zeros(1 << BUCKET_BITS, np.int32)
+        for batch in batches:
+            n, keys, bands = [], [], []
+            with np.errstate(over="ignore"):
+                for text in some_texts(batch.column("text")):
                     t = shingle(text)
                     n.append(len(t))
                     keys.append(node_key(t) if len(t) else None)
                     bands.append(bands_of(t) if len(t) else None)
-                    tokens.append(t)
-                    if len(tokens) == 500:
-                        counts += np.bincount((np.concatenate(tokens) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-                        tokens = []
-                if tokens:
-                    counts += np.bincount((np.concatenate(tokens) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-                total += sum(n)
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([True] * len(n)), batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), none, none],
-                    names=["is_row", "id", "n", "key", "bands", "bucket", "uses"],
-                )
-        heavy = np.flatnonzero(counts >= max(4, 6 * total / len(counts)))
-        if len(heavy):
-            k = len(heavy)
-            none = pa.nulls(k, pa.int64())
+                    np.add.at(counts, (t >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([False] * k), pa.nulls(k, id_type), none, pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(heavy, pa.int64()), pa.array(counts[heavy], pa.int64())],
-                names=["is_row", "id", "n", "key", "bands", "bucket", "uses"],
+                [pa.array([True] * len(n)), batch.column("id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                names=names,
             )
+        slices = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << SLICE_BITS)
+        some = np.flatnonzero(slices.any(1))
+        k = len(some)
+        if k:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([False] * k), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array([x.tobytes() for x in slices[some]], pa.binary())],
+                names=names,
+            )
+        del shingle, counts, slices
+        release_memory()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
+    names = ["is_row", "id", "rid", "n", "key", "bands", "slice", "counts"]
     id_type = to_arrow_type(docs.schema["id"].dataType)
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"is_row boolean, id {kind}, n long, key binary, bands array<long>, bucket long, uses long")
-
+    return docs.mapInArrow(run, f"is_row boolean, id {kind}, rid long, n long, key binary, bands array<long>, slice int, counts binary")
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, tokens (binary) of the nodes in ``wanted`` (key, id); read from the texts once more.
 
-    Rows whose id is not in the bitmap, whose size is fixed, are passed over
-    before they are cut into shingles; the join by key is exact.
-    """
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
-    slots = np.zeros(SLOTS, bool)
-    slots[[r["slot"] for r in wanted.select(slot).distinct().toLocalIterator()]] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
+def _weights(found: DataFrame) -> np.ndarray:
+    """For each bucket how often its shingles occur, in steps of an eighth of a power of two: a table of fixed size."""
 
     def run(batches):
-        shingle, on, sent = Shingler(), np.unpackbits(packed.value).astype(bool), set()
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                keys, tokens = [], []
-                some = np.flatnonzero(on[batch.column("slot").to_numpy()])
-                for text in batch.column("text").take(pa.array(some)).to_pylist():
-                    t = shingle(text)
-                    key = node_key(t)
-                    if len(t) and key not in sent:
-                        if len(sent) < MAX_KEPT:
-                            sent.add(key)
-                        keys.append(key)
-                        tokens.append(t.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                c = np.frombuffer(c, np.uint8)
+                sums[k] = sums[k] + c if k in sums else c.astype(np.int64)
+        if sums:
+            steps = [np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(steps, pa.binary())], names=["slice", "counts"])
 
-    found = docs.select("text", slot).mapInArrow(run, "key binary, tokens binary")
-    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    out = np.zeros((1 << (BUCKET_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
+    for r in found.where("not is_row").select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, counts binary").collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
+    return out.ravel()
 
 
 def _short(key):
@@ -196,64 +173,84 @@ def _short(key):
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
-def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Node pairs (a, b) with n_a, n_b, linked, and extra: the shingles that b has and a lacks, where the two are related."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "id"), "key")
-    sets = written(_full_sets(docs, written(wanted, "wanted")), "sets")
-    left = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+def _hub_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, first): each node b that shares a band, with the hub of its bands and with the hub that this leads to in a few steps (first)."""
+    banded = nodes.select("key", F.explode("bands").alias("hash"))
+    sizes = banded.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = banded.join(sizes, "hash")
+    weights = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
+    crowded = scratch.written(crowded.join(weights, "key").select("hash", F.struct("weight", "key").alias("member")), "bands")
+    hubs = crowded.groupBy("hash").agg(F.max("member").alias("hub"))
+    leads = crowded.join(hubs, "hash").groupBy(F.col("member.key").alias("b")).agg(F.max("hub")["key"].alias("a"))
+    leads = scratch.written(leads, "leads")
+    far = leads
+    for _ in range(2):
+        step = far.select(F.col("b").alias("a"), F.col("a").alias("next"))
+        far = far.join(step, "a").select("b", F.col("next").alias("a"))
+        far = scratch.written(far, "leads")
+    both = far.select("a", "b", F.lit(True).alias("first")).unionByName(leads.select("a", "b", F.lit(False).alias("first")))
+    return both.where("a <> b").groupBy("a", "b").agg(F.max("first").alias("first"))
+
+
+def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pairs`` (node keys a and b, and other columns) with n_a, n_b, linked, and diff: what one has and the other lacks, if they are related.
+
+    The texts of a's partners come to runs of bounded length, behind the text
+    of a itself, so a set moves once for each pair that it is b of.
+    """
+    pairs = scratch.written(pairs, "pairs")
+    name = nodes.select("key", "rid")
+    runs = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / RUN) + 1).alias("runs"))
+    heads = runs.join(name.withColumnRenamed("key", "a"), "a").select("rid", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.col("a").alias("key"))
+    members = pairs.join(runs, "a").join(name.withColumnRenamed("key", "b"), "b").select("rid", "a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), F.col("b").alias("key"))
+    plan = scratch.written(heads.unionByName(members), "plan")
+    slot = F.pmod(F.col("rid"), F.lit(SLOTS)).alias("slot")
+    some = docs.withColumn("slot", slot).join(F.broadcast(plan.select(slot).distinct()), "slot", "left_semi")
+    texts = some.select("rid", "text").join(plan.hint("shuffle_hash"), "rid").select("a", "run", "key", "text")
+    texts = texts.repartition("a", "run").sortWithinPartitions("a", "run", F.col("key") != F.col("a"), "key")
 
     def run(batches):
-        none = np.zeros(0, np.int64)
-        for df in batches:
-            out = {k: [] for k in ("n_a", "n_b", "linked", "extra")}
-            for x, y in zip(df["ta"], df["tb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                new = x[at] != y
-                common = len(y) - int(new.sum())
-                total = len(x) + len(y)
-                related = common >= RELATED * (total - common)
-                for k, v in zip(out, (len(x), len(y), 180 * common >= 80 * total, y[new].view(np.int64) if related else none), strict=True):
-                    out[k].append(v)
-            yield pd.DataFrame({"a": df["a"], "b": df["b"], **out})
-
-    return written(both.mapInPandas(run, "a binary, b binary, n_a long, n_b long, linked boolean, extra array<long>"), "compared")
-
-
-def linked(compared_pairs: DataFrame) -> DataFrame:
-    return compared_pairs.where("linked").select("a", "b")
-
-
-def relations(compared_pairs: DataFrame) -> DataFrame:
-    """key, hub, own, lacks: each set by its largest hub. ``own``: shingles that neither the hub nor another set of the hub has."""
-    close = compared_pairs.where("size(extra) > 0 or linked")
-    sizes = close.groupBy("a").agg(F.count("*").alias("size"))
-    entry = F.struct("size", "a", (F.col("n_a") - F.col("n_b") + F.size("extra")).alias("lacks"), "extra")
-    chosen = close.join(sizes, "a").groupBy("b").agg(F.max(entry).alias("r")).select(F.col("b").alias("key"), F.col("r.a").alias("hub"), "r.lacks", "r.extra")
-    chosen = written(chosen, "relations")
-    tokens = chosen.select("key", "hub", F.explode("extra").alias("token"))
-    shared = tokens.groupBy("hub", "token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = tokens.join(shared, ["hub", "token"]).groupBy("key").agg(F.count("*").alias("shared"))
-    named = chosen.join(shared, "key", "left").select("key", "hub", (F.size("extra") - F.coalesce("shared", F.lit(0))).alias("own"), "lacks")
-    hubs = chosen.select("hub").distinct().select(F.col("hub").alias("key"), "hub", F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("lacks"))
-    # A hub that is itself described by another hub goes by its own group, which is compared with it.
-    return named.join(hubs.select("key"), "key", "left_anti").unionByName(hubs)
-
-
-def _postings(docs: DataFrame, heavy: dict[int, int]) -> DataFrame:
-    """token, node, n, place for the rarest shingles of each set, once for each task that holds the set."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+        shingle, head, mine, last = Shingler(), None, None, None
+        for batch in batches:
+            out = {k: [] for k in ("a", "b", "n_a", "n_b", "linked", "diff")}
+            columns = (batch.column("a").to_pylist(), batch.column("run").to_pylist(), batch.column("key").to_pylist(), some_texts(batch.column("text"), 100))
+            with np.errstate(over="ignore"):
+                for a, k, key, text in zip(*columns, strict=True):
+                    if (a, k, key) == last:
+                        continue
+                    t = shingle(text)
+                    if node_key(t) != key:  # another row of the same rid
+                        continue
+                    last = (a, k, key)
+                    if a == key:
+                        head, mine = (a, k), t
+                        continue
+                    if head != (a, k):
+                        raise RuntimeError("a run without its first set")
+                    diff = np.setxor1d(mine, t, assume_unique=True)
+                    total = len(mine) + len(t)
+                    common = (total - len(diff)) // 2
+                    for name_, v in zip(out, (a, key, len(mine), len(t), 180 * common >= 80 * total, diff.view(np.int64) if common >= RELATED * (total - common) else None), strict=True):
+                        out[name_].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+        del shingle, mine
+        release_memory()
+
+    types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+    done = texts.mapInArrow(run, "a binary, b binary, n_a long, n_b long, linked boolean, diff array<long>")
+    return scratch.written(done, "compared")
+
+
+def _postings(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """token, node, size, rest for the rarest shingles of each set, once for each task that holds the set."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        weight, sent, shingle = np.zeros(1 << BUCKET_BITS, np.int32), set(), Shingler()
-        for bucket, uses in shared.value.items():
-            weight[bucket] = min(uses, 2**31 - 1)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                tokens, nodes, sizes, lengths = [], [], [], []
-                for text in batch.column("text").to_pylist():
+        weight, sent, shingle = shared.value, set(), Shingler()
+        for batch in batches:
+            tokens, nodes, sizes, lengths = [], [], [], []
+            with np.errstate(over="ignore"):
+                for text in some_texts(batch.column("text")):
                     t = shingle(text)
                     if not len(t):
                         continue
@@ -262,28 +259,26 @@ def _postings(docs: DataFrame, heavy: dict[int, int]) -> DataFrame:
                         continue
                     if len(sent) < MAX_KEPT:
                         sent.add(key)
-                    uses = weight[t >> np.uint64(64 - BUCKET_BITS)]
-                    if uses.any():
-                        t = t[np.argsort(uses, kind="stable")]
                     k = prefix_length(len(t))
-                    tokens.append(t[:k])
-                    nodes.append(key)
+                    tokens.append(t[np.argsort(weight[t >> np.uint64(64 - BUCKET_BITS)], kind="stable")[:k]])
+                    nodes.append(key[:8])
                     sizes.append(len(t))
                     lengths.append(k)
-                if nodes:
-                    each = np.repeat(np.arange(len(nodes)), lengths)
-                    node = np.frombuffer(b"".join(k[:8] for k in nodes), ">i8").astype(np.int64)
-                    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node[each]), pa.array(np.array(sizes, np.int32)[each]), pa.array((np.arange(len(each)) - first[each]).astype(np.int32))],
-                        names=["token", "node", "n", "place"],
-                    )
+            if nodes:
+                each = np.repeat(np.arange(len(nodes)), lengths)
+                node = np.frombuffer(b"".join(nodes), ">i8").astype(np.int64)[each]
+                size = np.array(sizes, np.int32)[each]
+                first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                rest = size - (np.arange(len(each)) - first[each]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node), pa.array(size), pa.array(rest)], names=["token", "node", "size", "rest"])
+        del sent, shingle
+        release_memory()
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, place int")
+    return docs.select("text").mapInArrow(run, "token long, node long, size int, rest int")
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Column chunks of whole lists from batches sorted by token."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Column chunks of whole groups from batches sorted by ``keys``."""
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -291,7 +286,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         now = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
         if rest is not None:
             now = {k: np.concatenate([rest[k], v]) for k, v in now.items()}
-        cut = int(np.searchsorted(now["token"], now["token"][-1]))
+        change = _starts(now, keys)
+        cut = int(change[-1])
         if cut:
             yield {k: v[:cut] for k, v in now.items()}
         rest = {k: v[cut:] for k, v in now.items()}
@@ -299,61 +295,142 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         yield rest
 
 
-def _shared_only(batches):
-    """Drops lists of one node, which are nearly all, and repeated entries."""
-    for c in _lists(batches):
-        new = np.concatenate([[True], (c["token"][1:] != c["token"][:-1]) | (c["node"][1:] != c["node"][:-1])])
-        c = {k: v[new] for k, v in c.items()}
-        same = c["token"][1:] == c["token"][:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+def _starts(columns: dict[str, np.ndarray], keys: tuple[str, ...]) -> np.ndarray:
+    """Where groups of equal keys begin."""
+    new = np.ones(len(columns[keys[0]]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= columns[k][1:] != columns[k][:-1]
+    return np.flatnonzero(new)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by token, size and node, with their block of the list and whether the list has more than one.
+
+    Drops lists of one node, which are nearly all, and repeated entries.
+    """
+    rest, out = None, 0  # entries of the last list so far; its blocks that are gone
+    batches = (b for b in batches if b.num_rows)
+    while True:
+        batch = next(batches, None)
+        if batch is None and rest is None:
+            return
+        now = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names} if batch is not None else rest
+        if batch is not None and rest is not None:
+            now = {k: np.concatenate([rest[k], v]) for k, v in now.items()}
+        new = np.ones(len(now["token"]), bool)
+        new[1:] = (now["token"][1:] != now["token"][:-1]) | (now["node"][1:] != now["node"][:-1])
+        now = {k: v[new] for k, v in now.items()}
+        start = _starts(now, ("token",))
+        total = len(now["token"])
+        cut = int(start[-1]) if batch is not None else total
+        sizes = np.diff(np.append(start, total))
+        place = np.arange(total) - np.repeat(start, sizes)
+        before = np.where(np.arange(total) < sizes[0], out, 0)
+        block, many = before + place // LIST, np.repeat((sizes > LIST), sizes) | (before > 0)
+        keep = (np.repeat(sizes > 1, sizes) | (before > 0)) & (np.arange(total) < cut)
+        if batch is not None and total - cut > 2 * LIST:  # the last list is long: its full blocks go
+            more = (total - cut - 1) // LIST * LIST
+            keep[cut : cut + more] = many[cut:] = True
+            out, cut = (out if cut == 0 else 0) + more // LIST, cut + more
+        elif cut:
+            out = 0
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("token", "node", "n", "place")], names=["token", "node", "n", "place"])
+            columns = {k: v[keep] for k, v in now.items()} | {"block": block[keep].astype(np.int32), "many": many[keep]}
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+        if batch is None:
+            return
+        rest = {k: v[cut:] for k, v in now.items()}
 
 
-BLOCK = 512
+def index_lists(postings: DataFrame) -> DataFrame:
+    """``postings`` (token, node, size, rest, and others of fixed width) with block and many."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in postings.schema)
+    return postings.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_blocks, f"{kinds}, block int, many boolean")
 
 
-def _list_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of one list (sorted by n) that size, position, class and relation allow, block against block; and the smaller size."""
-    n, place, node, group = c["n"].astype(np.int64), c["place"].astype(np.int64), c["node"], c["class"]
-    hub, own, lacks = c["hub"], c["own"], c["lacks"]
-    last = np.searchsorted(n, n * 5 // 4, "right")  # the size bound: 4 * larger <= 5 * smaller
-    for a in range(0, len(n), BLOCK):
-        b = min(a + BLOCK, len(n))
-        for x in range(a, int(last[b - 1]), BLOCK):
-            y = min(x + BLOCK, len(n))
+def _block_pairs(c: dict[str, np.ndarray], rests: int, sizes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of the pairs of one block (or between the sides of two) that position, size and class allow, step against step."""
+    size, rest, node, group, side = c["size"].astype(np.int64), c["rest"].astype(np.int64), c["node"], c["class"], c["side"]
+    across = bool(side.any())
+    for a in range(0, len(size), STEP):
+        b = min(a + STEP, len(size))
+        for x in range(a, len(size), STEP):
+            y = min(x + STEP, len(size))
+            if rests * min(rest[a:b].max(), rest[x:y].max()) < sizes * (size[a:b].min() + size[x:y].min()):
+                continue
             if group[a] == group[x] and (group[a:b] == group[a]).all() and (group[x:y] == group[a]).all():
                 continue
             i, j = np.arange(a, b)[:, None], np.arange(x, y)[None, :]
-            # The first entries that a linked pair shares come so early that what follows them can reach the bound.
-            most = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(n[i], n[j]) // 40
-            ok = (j > i) & (j < last[i]) & (group[i] != group[j]) & (9 * most >= 4 * (n[i] + n[j]))
-            ok &= (hub[i] != hub[j]) | (9 * (own[i] + own[j] + np.abs(lacks[i] - lacks[j])) <= n[i] + n[j])
+            # The first entry that a linked pair shares comes so early that what follows can reach the bound.
+            ok = (j > i) & (group[i] != group[j]) & (node[i] != node[j]) & (rests * np.minimum(rest[i], rest[j]) >= sizes * (size[i] + size[j]))
+            if across:
+                ok &= side[i] != side[j]
             p, q = np.nonzero(ok)
             if len(p):
-                yield node[a + p], node[x + q], np.minimum(n[a + p], n[x + q])
+                yield node[a + p], node[x + q]
+
+
+def candidate_pairs(lists: DataFrame, rests: int, sizes: int) -> DataFrame:
+    """Distinct (x, y), x < y, of the pairs in ``lists`` (with a class) where rests * min(rest) >= sizes * (sum of sizes) and classes differ."""
+    entry = ["token", "node", "size", "rest", "class"]
+    dealt = lists.where("not many").select(*entry, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("side"))
+    if not lists.where("many").isEmpty():
+        many = lists.where("many")
+        heads = many.groupBy("token", "block").agg(F.min("size").alias("size"), F.max("rest").alias("rest"), F.min("class").alias("low"), F.max("class").alias("high"))
+        p, q = (heads.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("size", "rest", "low", "high")], F.col("block").alias(k)) for k in "ij")
+        possible = (F.col("i") <= F.col("j")) & (rests * F.least("rest_i", "rest_j") >= sizes * (F.col("size_i") + F.col("size_j")))
+        possible &= F.greatest("high_i", "high_j") > F.least("low_i", "low_j")
+        blocks = p.join(q, "token").where(possible).select("token", "i", "j")
+        for k, side in (("i", False), ("j", True)):
+            met = many.join(blocks.where("i < j") if side else blocks, (many["token"] == blocks["token"]) & (F.col("block") == F.col(k)))
+            dealt = dealt.unionByName(met.select(*[many[c] for c in entry], "i", "j", F.lit(side).alias("side")))
+
+    def run(batches):
+        keys = ("token", "i", "j")
+        for c in _whole_groups(batches, keys):
+            edges = np.append(_starts(c, keys), len(c["token"]))
+            several = np.minimum.reduceat(c["class"], edges[:-1]) != np.maximum.reduceat(c["class"], edges[:-1])
+            for k in np.flatnonzero(several):
+                one = {name: v[edges[k] : edges[k + 1]] for name, v in c.items()}
+                for x, y in _block_pairs(one, rests, sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size").mapInArrow(run, "x long, y long").distinct()
+
 
+def relations(near: DataFrame) -> DataFrame:
+    """key, hub, n, n_hub, linked, diff: each set by one hub that it is related to, the one that others are led to where it can be."""
+    chosen = near.where("diff is not null").groupBy("b").agg(F.max(F.struct("first", "a", "n_a", "n_b", "linked", "diff")).alias("r"))
+    return chosen.select(F.col("b").alias("key"), F.col("r.a").alias("hub"), F.col("r.n_b").alias("n"), F.col("r.n_a").alias("n_hub"), "r.linked", "r.diff")
 
-def _candidates(batches):
-    for c in _lists(batches):
-        token = c["token"]
-        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        several = np.minimum.reduceat(c["class"], edges[:-1]) != np.maximum.reduceat(c["class"], edges[:-1])
-        for k in np.flatnonzero(several):
-            one = {name: v[edges[k] : edges[k + 1]] for name, v in c.items()}
-            for x, y, n in _list_pairs(one):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n)], names=["x", "y", "n"])
 
+def links_within(related: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of the links between sets of one hub that aren't both linked with it.
 
-def _hubs_by_lists(lists: DataFrame, related: DataFrame) -> DataFrame:
-    """node, hub (short names): for sets without a hub, the one whose sets stand in most of its lists, if these are enough."""
-    described = related.select(_short(F.col("key")).alias("node"), _short(F.col("hub")).alias("hub")).dropDuplicates(["node"])
-    tagged = lists.select("token", "node", "n").join(described, "node", "left")
-    per = tagged.where("hub is not null").groupBy("token", "hub").agg(F.count("*").alias("c"))
-    popular = per.groupBy("token").agg(F.max(F.struct("c", "hub")).alias("p")).select("token", F.col("p.hub").alias("hub"))
-    met = tagged.where("hub is null").select("token", "node", "n").join(popular, "token").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    best = met.where("c >= 1 + floor(n / 40)").groupBy("node").agg(F.max(F.struct("c", "hub")).alias("p"))
-    return best.select("node", F.col("p.hub").alias("hub"))
+    With ``size`` = 9 * differences - shingles, two sets link if their
+    differences share (size + size) / 18 shingles. The least size is the hub's,
+    so a set needs to look for partners only with so many shared as that, or as
+    a set that isn't linked with the hub, leaves to it.
+    """
+    hub = _short(F.col("hub"))
+    named = related.select("key", hub.alias("hub"), F.size("diff").cast("long").alias("d"), (9 * F.size("diff") - F.col("n")).alias("size"), "n", "n_hub", "linked")
+    tokens = related.select("key", hub.alias("hub"), F.explode("diff").alias("t")).select("key", F.xxhash64("hub", "t").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    lists = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("list"))
+    lists = scratch.written(named.join(lists, "key").withColumn("list", F.col("list.token")), "differences")
+    need = F.when(F.col("linked"), F.floor((F.col("size") + F.col("n_hub")) / 18) + 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("n_hub")) / 18)))
+    alone = F.col("d") - F.size("list")  # shingles of its own come first
+    taken = F.slice("list", F.lit(1), F.greatest(F.lit(0), F.col("d") - need + 1 - alone).cast("int"))
+    node = _short(F.col("key"))
+    postings = lists.select(
+        node.alias("node"), "size", "d", alone.alias("alone"), F.when(F.col("linked"), F.col("hub")).otherwise(node).alias("class"), F.posexplode(taken).alias("place", "token")
+    ).select("token", "node", F.col("size").cast("int"), (F.col("d") - F.col("alone") - F.col("place")).cast("int").alias("rest"), "class")
+    pairs = candidate_pairs(scratch.written(index_lists(postings), "lists"), 18, 1)
+    x, y = (lists.select(node.alias(k), F.col("key").alias(f"key_{k}"), F.col("hub").alias(f"hub_{k}"), F.col("size").alias(f"size_{k}"), F.col("list").alias(f"list_{k}")) for k in "xy")
+    both = pairs.join(x, "x").join(y, "y").where("hub_x = hub_y")
+    both = both.where(18 * F.size(F.array_intersect("list_x", "list_y")) >= F.col("size_x") + F.col("size_y"))
+    return both.select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,58 +438,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest id reachable by links, the row's own included;
     n_equal counts the rows with the same set. Null and empty texts, and texts
-    without words, have no shingles and link with nothing. Repeated rows are
-    equal sets. A null id never is a component's smallest id unless all its
-    rows have null ids. An empty table gives no rows.
+    without words, have no shingles and link with nothing. Texts of any length
+    are read whole. Repeated rows are equal sets. A null id never is a
+    component's smallest id unless all its rows have null ids. Columns other
+    than the two are ignored, whatever their names; an empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = input_rows(docs, id_col, text_col)
-    found = written(_sets(rows), "jaccard")
-    sets = found.where("is_row").select("id", "n", "key", "bands")
-    nodes = written(
-        sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("equal")), "nodes"
-    )
-    # Related sets: each against the hub of its bands.
-    banded = nodes.select("key", F.explode("bands").alias("hash"))
-    sizes = banded.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = banded.join(sizes, "hash")
-    weights = crowded.groupBy("key").agg(F.sum("size").alias("weight"))
-    crowded = written(crowded.join(weights, "key").select("hash", "key", "weight"), "bands")
-    hubs = crowded.groupBy("hash").agg(F.max(F.struct("weight", "key")).alias("h")).select("hash", F.col("h.key").alias("a"))
-    near = crowded.join(hubs, "hash").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    near = compared(rows, nodes, near)
-    # Pairs between classes, from the index lists.
-    heavy = found.where("not is_row").groupBy("bucket").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "bucket").limit(HEAVY)
-    postings = _postings(rows, {r["bucket"]: r["uses"] for r in heavy.collect()})
-    lists = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_only, "token long, node long, n int, place int")
-    lists = written(lists, "lists")
-    named = nodes.select("key", _short(F.col("key")).alias("node"))
-    met = _hubs_by_lists(lists, relations(near))
-    met = met.join(named.select("node", F.col("key").alias("b")), "node").join(named.select(F.col("node").alias("hub"), F.col("key").alias("a")), "hub")
-    near = near.unionByName(compared(rows, nodes, met.select("a", "b")))
-    inside = written(connected_components(linked(near)), "classes")
-    related = relations(near)
-    known = inside.select(F.col("node").alias("key"), F.col("root")).join(related, "key", "full")
-    known = known.select(
-        _short(F.col("key")).alias("node"), _short(F.coalesce("root", "key")).alias("class"), _short(F.coalesce("hub", "key")).alias("hub"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("lacks", F.lit(0)).alias("lacks")
-    )
-    classed = lists.join(known.dropDuplicates(["node"]), "node", "left").select(
-        "token", "node", "n", "place", F.coalesce("class", "node").alias("class"), F.coalesce("hub", "node").alias("hub"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("lacks", F.lit(0)).alias("lacks")
-    )
-    pairs = classed.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_candidates, "x long, y long, n long")
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("lists"), F.first("n").alias("n")).where("lists >= 1 + floor(n / 40)").select("x", "y")
-    pairs = pairs.join(named.select(F.col("node").alias("x"), F.col("key").alias("a")), "x").join(named.select(F.col("node").alias("y"), F.col("key").alias("b")), "y")
-    links = linked(compared(rows, nodes, pairs.select("a", "b")))
-    root = inside.select("node", "root")
-    across = (
-        links.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    )
-    outer = connected_components(across).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    component = nodes.join(inside.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    component = component.join(outer, "root", "left").select("key", "id", "equal", F.coalesce("top", "root").alias("top"))
-    smallest = component.groupBy("top").agg(F.min("id").alias("component_id"))
-    member = component.join(smallest, "top").select("key", "component_id", "equal")
+    rows = rows.select("id", F.xxhash64("id", "text").alias("rid"), "text")
+    found = scratch.written(_sets(rows), "jaccard", last=True)
+    sets = found.where("is_row").select("id", "n", "key", "rid", "bands")
+    nodes = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("bands").alias("bands"), F.count("*").alias("equal"))
+    nodes = scratch.written(nodes, "nodes")
+    # Inside the groups of a hub.
+    pairs = scratch.written(_hub_pairs(nodes, scratch), "near")
+    near = compared(rows, nodes, pairs.select("a", "b"), scratch)
+    related = scratch.written(relations(near.join(pairs, ["a", "b"])), "related")
+    # Between them.
+    lists = scratch.written(index_lists(_postings(rows, _weights(found))), "lists")
+    hub_of = related.select(_short(F.col("key")).alias("node"), _short(F.col("hub")).alias("class")).dropDuplicates(["node"])
+    lists = lists.join(hub_of, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = nodes.select("key", _short(F.col("key")).alias("name"))
+    across = candidate_pairs(lists, 9, 4)
+    across = across.join(named.select(F.col("name").alias("x"), F.col("key").alias("a")), "x").join(named.select(F.col("name").alias("y"), F.col("key").alias("b")), "y").select("a", "b")
+    links = near.where("linked").select("a", "b").unionByName(links_within(related, scratch))
+    links = links.unionByName(compared(rows, nodes, across, scratch).where("linked").select("a", "b"))
+    roots = connected_components(scratch.written(links, "links"), scratch)
+    component = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", "equal", F.coalesce("root", "key").alias("root"))
+    smallest = component.groupBy("root").agg(F.min("id").alias("component_id"))
+    member = scratch.written(component.join(smallest, "root").select("key", "component_id", "equal"), "members", last=True)
+    scratch.clear()
     return sets.join(member, "key", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

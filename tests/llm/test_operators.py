@@ -241,14 +241,38 @@ def test_jaccard_chains_and_borders(spark):
     assert len({c for _, c in want.values()}) > 10
 
 
-def test_jaccard_without_classes(spark, monkeypatch):
-    """The index alone finds every link."""
-    monkeypatch.setattr(jaccardjoin, "connected_components", (lambda f: lambda edges, calls=[]: f(edges.where("false") if not calls and not calls.append(1) else edges))(jaccardjoin.connected_components))
-    rows = near_copies(30, 60, 3, 5) + near_copies(30, 200, 9, 6)
+@pytest.mark.parametrize("settings", [{"RELATED": 2.0}, {"RUN": 3, "LIST": 4, "STEP": 3}, {"RELATED": 2.0, "LIST": 4, "STEP": 3}, {"RELATED": 0.0, "LIST": 5}])
+def test_jaccard_by_each_part(spark, monkeypatch, settings):
+    """Index lists between groups alone, groups alone, short runs and blocks: every link is found."""
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccardjoin, name, value)
+    rows = near_copies(30, 60, 9, 5) + near_copies(30, 200, 40, 6) + near_copies(40, 12, 1, 7)
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccardjoin.jaccard_components(df).collect()} == brute.components(list(enumerate(rows)))
 
 
+def test_jaccard_lists_in_blocks(monkeypatch):
+    """Entries keep their list, repeated ones and lists of one node go, blocks are full but the last, however batches are cut."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccardjoin, "LIST", 4)
+    rng = random.Random(1)
+    for _ in range(200):
+        entries = sorted((rng.randrange(3), v // 3, v) for v in (rng.randrange(12) for _ in range(rng.randrange(60))))
+        batches, at = [], 0
+        while at < len(entries):
+            n = rng.randint(1, 9)
+            t, s, v = zip(*entries[at : at + n], strict=True)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(t), pa.array(s), pa.array(v)], names=["token", "size", "node"]))
+            at += n
+        got = [tuple(r.values()) for b in jaccardjoin._blocks(iter(batches)) for r in b.to_pylist()]
+        want = []
+        for t in range(3):
+            mine = sorted({e for e in entries if e[0] == t})
+            want += [(*e, k // 4, len(mine) > 4) for k, e in enumerate(mine)] if len(mine) > 1 else []
+        assert got == want
+
+
 def test_jaccard_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "z y x w v u"), (2, "a b c d e f"), (3, "z y x w v u"), (None, "q")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccardjoin.jaccard_components(df).collect() if r["doc_id"])
