@@ -106,6 +106,21 @@ def release_memory() -> None:
             pass
 
 
+def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows whose text (null: empty) the function of texts keeps; all columns pass through Arrow, nothing is joined or moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                some = batch.slice(a, 500)
+                yield some.filter(pa.array(keep([t or "" for t in some.column(text_col).to_pylist()]), pa.bool_()))
+        del keep
+        release_memory()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -114,8 +129,8 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 def crc_fold(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo 5."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+    """crc32 of the id as text (null: empty), modulo 5."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def quiet_tokenizers() -> None:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_rows, map_rows
+from .common import filter_rows, input_rows, map_rows, some_texts
 
 #: 1: the word at this place counts. Together they hit every four words with one substitution at most, as MIN_EQUAL asks.
 MASKS = ("111", "1101", "1011")
@@ -33,7 +33,7 @@ SUBSTITUTION = -1.5
 TABLE_BITS = 22
 #: Hits, or words of their items, that are looked at together.
 MAX_HITS = 1 << 20
-MAX_KEPT = 1_000_000
+MAX_KEPT = 200_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…—–¿¡"
 _ODD = np.random.default_rng(8).integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 
@@ -185,55 +185,78 @@ def contamination(
     item_text_col: str = "text",
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per row and block of items: ``id_col``, contaminated, n_items, overlap, item_ids.
+    """One row per row: ``id_col``, contaminated, n_items, overlap (equal words of the longest), item_ids.
 
-    ``contaminated_rows`` joins the blocks. Null and empty texts are clean;
-    repeated rows are judged each. Items of one id, or of null ids, count once.
+    Null and empty texts are clean; texts of any length are read whole;
+    repeated rows are judged each. Items without words are passed over; those
+    of one id, or of null ids, count once. Columns other than id and text are
+    ignored, whatever their names; an empty table gives no rows, an empty
+    benchmark marks none.
     """
-    blocks = list(_block_results(docs, benchmark, id_col, text_col, item_col, item_text_col, block_words))
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    if len(blocks) > 1:
-        # The same row in every block has the same row number: rows are numbered by the same scan.
-        out = out.groupBy("row", "id").agg(
-            F.max("overlap").alias("overlap"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        ).withColumn("n_items", F.size("items").cast("long"))
+    kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (benchmark, item_col)))
+    rows = input_rows(docs, id_col, text_col)
+    # What a row is, for the results of several blocks: the same id and text have the same results.
+    rows = rows.select(F.xxhash64("id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "id").alias("h2"), "id", "text")
+    schema = f"h1 long, h2 long, id {kind}, n_items long, overlap long, items array<{item_kind}>"
+    blocks = [_judged(rows, block, schema) for block in item_blocks(benchmark, item_col, item_text_col, block_words)]
+    if len(blocks) == 1:
+        out = blocks[0]
+    else:
+        out = rows.select("h1", "h2", "id")
+        found = None
+        for b in blocks:
+            hits = b.where("n_items > 0").dropDuplicates(["h1", "h2"]).select("h1", "h2", "overlap", "items")
+            found = hits if found is None else found.unionByName(hits)
+        if found is None:
+            found = out.select("h1", "h2", F.lit(0).cast("long").alias("overlap"), F.array().cast(f"array<{item_kind}>").alias("items")).where("false")
+        each = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))  # a row has one list for each block
+        found = found.groupBy("h1", "h2").agg(F.max("overlap").alias("overlap"), each.alias("items"))
+        out = out.join(found, ["h1", "h2"], "left").withColumn("n_items", F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long"))
     return out.select(
         F.col("id").alias(id_col),
         (F.col("n_items") > 0).alias("contaminated"),
         "n_items",
-        "overlap",
-        F.array_join(F.transform("items", lambda i: i.cast("string")), ",", "null").alias("item_ids"),
+        F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"),
+        F.coalesce(F.array_join(F.transform("items", lambda i: i.cast("string")), ",", "null"), F.lit("")).alias("item_ids"),
     )
 
 
-def _block_results(docs, benchmark, id_col, text_col, item_col, item_text_col, block_words):
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = input_rows(docs, id_col, text_col)
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    sc = docs.sparkSession.sparkContext
-    any_block = False
+def _judged(rows: DataFrame, block: list[tuple[object, np.ndarray]], schema: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def make():
+        with np.errstate(over="ignore"):
+            seeds, known = Seeds(shared.value), NormalHashes()
+
+        def step(batch: pa.RecordBatch) -> dict:
+            n, overlap, items = [], [], []
+            with np.errstate(over="ignore"):
+                for text in some_texts(batch.column("text")):
+                    found = seeds.overlaps(word_hashes(text, known))
+                    n.append(len(found))
+                    overlap.append(max(found.values(), default=0))
+                    items.append(sorted(found, key=lambda i: (i is None, i)))
+            return {c: batch.column(c) for c in ("h1", "h2", "id")} | {"n_items": n, "overlap": overlap, "items": items}
+
+        return step
+
+    return map_rows(rows, schema, make)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item is found; each block of items is one filter."""
     for block in item_blocks(benchmark, item_col, item_text_col, block_words):
-        any_block = True
-        shared = sc.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
             with np.errstate(over="ignore"):
                 seeds, known = Seeds(shared.value), NormalHashes()
 
-            def step(batch: pa.RecordBatch) -> dict:
-                n, overlap, items = [], [], []
+            def keep(texts):
                 with np.errstate(over="ignore"):
-                    for text in batch.column("text").to_pylist():
-                        found = seeds.overlaps(word_hashes(text, known))
-                        n.append(len(found))
-                        overlap.append(max(found.values(), default=0))
-                        items.append(sorted(found, key=lambda i: (i is None, i)))
-                return {"row": batch.column("row"), "id": batch.column("id"), "n_items": n, "overlap": overlap, "items": items}
-
-            return step
-
-        yield map_rows(rows, f"row long, id {kind}, n_items long, overlap long, items array<long>", make)
-    if not any_block:
-        yield rows.select("row", "id", F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("overlap"), F.array().cast("array<long>").alias("items"))
+                    return [not seeds.overlaps(word_hashes(t, known)) for t in texts]
+
+            return keep
+
+        docs = filter_rows(docs, text_col, make)
+    return docs

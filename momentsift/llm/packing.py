@@ -25,7 +25,7 @@ from .vocab import groups_by_bytes, pieces_of
 #: Tokens of a sequence, the id that ends a document, pieces of a sub-group.
 CAPACITY = 2048
 END_ID = 0
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> dict[int, int]:
@@ -104,10 +104,10 @@ def cut_documents(docs: DataFrame, path: str, id_col: str, text_col: str, capaci
         end = np.array([END_ID], "<u4").tobytes()
 
         def step(batch):
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            ids = batch.column("id").to_pylist()
             out = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
-            for a, b in groups_by_bytes(texts):
-                cut = [pieces.cut(t) for t in texts[a:b]]
+            for a, b in groups_by_bytes(batch.column("text")):
+                cut = [pieces.cut(t) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 pieces.learn(cut)
                 for doc_id, c in zip(ids[a:b], cut, strict=True):
                     data = b"".join(map(pieces.__getitem__, c)) + end

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .decontaminate import contamination
+from . import decontaminate
+from . import toxicity as toxicity_ops
+from .common import Scratch, table
 from .exactdedup import EXACT_SQL, exact_groups
 from .htmltext import main_texts
 from .jaccardjoin import jaccard_components
@@ -16,7 +17,6 @@ from .packing import packed_documents
 from .pii import pii_spans
 from .secrets import secret_spans
 from .tokencount import token_counts, tokenizer_path
-from .toxicity import fit, score_rows, toxicity
 from .urlfilter import JUDGE_SQL, judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,7 +31,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_ops.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_jaccardjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,58 +81,66 @@ def oracle_sql() -> dict[str, str]:
 
 
 # The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir); all but the last return the columns of ``docs``.
+# Rows with null or repeated ids are judged one by one, null texts count as empty, an empty table gives no rows.
 
-#: Keys of dropped rows up to this many are broadcast, so that no text moves; more are joined by key.
-BROADCAST_IDS = 1_000_000
-#: The key of a row within a stage, as ids may be null or repeated.
-ROW = "_stage_row"
+#: Dropped rows up to this many are broadcast, so that no text moves; more are joined.
+BROADCAST_ROWS = 250_000
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for each row, written so that every later reading gives a row the same key."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row: 128 bits of all columns of a row. Rows that are equal in every column are the same row."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn("_row", F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns[::-1]).alias("b")))
 
 
-def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose key is not in ``dropped``, without the key."""
-    dropped = written(dropped.select(F.col(ROW).alias("dropped_row")), "dropped")
-    few = dropped.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(dropped) if few else dropped, rows[ROW] == dropped["dropped_row"], "left_anti").drop(ROW)
+def one_of_each(docs: DataFrame, stays: Column, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of each group.
 
+    ``groups`` gets (rank, text), where rank is ``stays`` and the row's name,
+    and returns rank and best, the rank of the row that stays in its group. The
+    rows that go are left out by an anti join; rows that are equal in every
+    column and stay come down to one.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = named_rows(docs)
+    judged = groups(rows.select(F.struct(stays.alias("stays"), "_row").alias("rank"), "text"))
+    judged = scratch.written(judged.select(F.col("rank._row").alias("name"), (F.col("rank") == F.col("best")).alias("kept")), "judged", last=True)
+    gone = judged.where("not kept").select("name").distinct()
+    same = judged.where("kept").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
 
-def all_but_one(rows: DataFrame, groups: DataFrame, group: str, largest: bool) -> DataFrame:
-    """The rows of each group but that of the largest or smallest id: null ids come last, equal ids go by their key."""
-    named = groups.select(ROW, F.col(group).alias("group")).join(rows.select(ROW, "doc_id"), ROW)
-    named = written(named, "groups")
-    known = F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull()
-    best = (F.max if largest else F.min)(F.struct(known.alias("known"), "doc_id", ROW))
-    stays = named.groupBy("group").agg(best[ROW].alias("stays"), F.count("*").alias("n")).where("n > 1")
-    return named.join(stays, "group").where(F.col(ROW) != F.col("stays"))
+    def small(names: DataFrame) -> DataFrame:
+        return F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+
+    rows = rows.join(small(gone), F.col("_row") == F.col("name"), "left_anti")
+    if same.isEmpty():
+        return rows.drop("_row")
+    same = small(same)
+    once = rows.join(same, F.col("_row") == F.col("name"), "left_semi").dropDuplicates(["_row"])
+    return rows.join(same, F.col("_row") == F.col("name"), "left_anti").unionByName(once).drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is below one half."""
-    rows = keyed(docs)
-    model = fit(rows, table(spark, sf_dir, "labels"))
-    return without(rows, score_rows(rows, model, ROW).where("score >= 0.5"))
+    """Rows whose score is below one half; labels are learnt from the rows of ``docs`` outside the held-out fold."""
+    return toxicity_ops.clean_rows(docs, toxicity_ops.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, with the largest id."""
-    rows = keyed(docs)
-    return without(rows, all_but_one(rows, exact_groups(rows, ROW).where("group_size > 1"), "keep_id", largest=True))
+    """Of equal texts one row, with the largest id; null ids come last, equal ids go by the other columns."""
+    groups = lambda rows: exact_groups(rows, "rank").select("rank", F.col("keep_id").alias("best"))
+    return one_of_each(docs, F.struct(F.col("doc_id").isNotNull(), "doc_id"), groups)
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one row, with the smallest id."""
-    rows = keyed(docs)
-    return without(rows, all_but_one(rows, jaccard_components(rows, ROW), "component_id", largest=False))
+    """Of each component one row, with the smallest id; null ids come last. Texts without words link with nothing and stay."""
+    groups = lambda rows: jaccard_components(rows, "rank").select("rank", F.col("component_id").alias("best"))
+    return one_of_each(docs, F.struct(F.col("doc_id").isNull(), "doc_id"), groups)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    return without(rows, contamination(rows, table(spark, sf_dir, "benchmark"), ROW).where("contaminated"))
+    """Rows in which no item of the benchmark is found."""
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document, with its place in a sequence; repeated rows are packed each."""
     return packed_documents(docs, tokenizer_path(TOKENIZER))

@@ -34,9 +34,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         pieces = pieces_of(path, True)
 
         def step(batch):
-            texts, counts = batch.column("text").to_pylist(), []
-            for a, b in groups_by_bytes(texts):
-                cut = [pieces.cut(t) for t in texts[a:b]]
+            counts = []
+            for a, b in groups_by_bytes(batch.column("text")):
+                cut = [pieces.cut(t) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 pieces.learn(cut)
                 counts += [sum(map(pieces.__getitem__, c)) for c in cut]
             return {"id": batch.column("id"), "n_bytes": batch.column("n_bytes"), "n_tokens": counts}

@@ -1,18 +1,22 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams and of itself, so an
-unseen spelling shares most of its vectors with the words it resembles. Windows
-of a few words are averaged and go through a linear softmax of two classes;
-vectors and softmax are trained jointly in numpy. A label belongs to a whole
-document, so a document counts as its most toxic window, in training (after a
-first pass over all windows) as in scoring: one insult in a long text isn't
-averaged away. Training reads a bounded sample of labelled rows; scoring reads
+unseen spelling shares most of its vectors with the words it resembles. A bag
+is a window of a few words; the mean of its words goes through a linear softmax
+of two classes, and vectors and softmax are trained jointly in numpy. A label
+belongs to a whole document, so a document is as toxic as its most toxic bag,
+in training (after a first pass over all bags) as in scoring: one insult in a
+long text isn't averaged away. The last steps of training fit scale and bias of
+the softmax to these bags, so that a score is the probability of the label; a
+text without words is the empty bag, whose mean is zero and which is never
+called toxic. Training reads a bounded sample of labelled rows; scoring reads
 every word of every row.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,16 +24,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, input_rows, map_rows
+from .common import crc_fold, filter_rows, input_rows, map_rows, release_memory
 
-#: Labelled rows of each class that training reads at most, and characters of them it holds at once.
-SAMPLE_PER_CLASS = 3000
+#: Labelled rows of each class that training reads at most, and their words; rows that would exceed these are passed over whole.
+SAMPLE_PER_CLASS, SAMPLE_WORDS = 4000, 4_000_000
 WINDOW, STRIDE = 4, 2
 BUCKETS, DIM = 1 << 17, 16
 NGRAMS = (3, 4, 5, 6)
-EPOCHS, RATE, DECAY = 8, 0.2, 3e-3
+EPOCHS, RATE, DECAY = 12, 0.2, 3e-3
+#: Worst bags of a toxic document that teach in the first epochs; one in later ones.
+BAGS = (64, 4, 2)
 MIN_DOCS = 4
-MAX_KEPT = 500_000
+#: Bias of a model without labels of both classes.
+UNKNOWN = 5.0
+MAX_KEPT = 200_000
 _WORD = re.compile(r"\w+")
 
 
@@ -103,18 +111,22 @@ def subwords_in_parts(words: list[str], part: int = 20_000) -> tuple[np.ndarray,
     return np.concatenate([g.astype(np.int32) for g, _ in done]), np.concatenate([n for _, n in done])
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
-    """Fits vectors and softmax with Adagrad on mini-batches of windows."""
+def train(rows: Iterable[tuple[str, int]], seed: int = 7) -> Model:
+    """Fits vectors and softmax to (text, label) with Adagrad on mini-batches of windows; at most SAMPLE_WORDS words of each class."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
     model.weights[:, 1] = rng.normal(0, 0.3, DIM)
     model.weights[:, 0] = -model.weights[:, 1]
     vocabulary: dict[str, int] = {}
-    parts = []
-    for t in texts:  # ids at once: the words of all texts would not fit beside each other
-        words = words_of(t)
-        parts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+    parts, toxic, taken = [], [], [0, 0]
+    for text, y in rows:  # ids at once: the words of all texts would not fit beside each other
+        words = words_of(text)
+        if taken[y] + len(words) <= SAMPLE_WORDS:
+            taken[y] += len(words)
+            parts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+            toxic.append(y)
     if not vocabulary or len(set(toxic)) < 2:
+        model.vectors[:], model.bias[0] = 0, UNKNOWN  # calls nothing toxic
         return model
     grams, sizes = subwords_in_parts(list(vocabulary))
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -151,8 +163,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         starts = np.searchsorted(owner[order], np.arange(n_docs))
         rank[order] = np.arange(len(order)) - starts[owner[order]]
         positive = label[owner] == 1
-        # Toxic documents teach by their worst windows; clean ones by their worst and a few others.
-        chosen = np.where(positive, rank < (8 if epoch == 0 else 2 if epoch == 1 else 1), (rank < 3) | (rng.random(len(rank)) < max(0.05, 20_000 / len(rank))))
+        # Toxic documents teach by ever fewer of their worst windows; clean ones by their worst and a few others.
+        chosen = np.where(positive, rank < (BAGS[epoch] if epoch < len(BAGS) else 1), (rank < 3) | (rng.random(len(rank)) < max(0.05, 20_000 / len(rank))))
         index = rng.permutation(np.flatnonzero(chosen))
         share = max(1, positive[index].sum()) / len(index)
         for batch in np.array_split(index, max(1, len(index) // min(256, max(16, len(index) // 64)))):
@@ -185,22 +197,37 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             g_vectors[unique] += (step**2).mean(1)
             step = (RATE * step / np.sqrt(g_vectors[unique])[:, None]).astype(np.float32)
             model.vectors[unique] -= np.where(rare[unique, None], 0, step + DECAY * model.vectors[unique])
-    # Set the bias so that the worst windows of the training documents split best at one half.
+    # Scale and bias, on what a document counts as.
+    worst = np.zeros(n_docs)
     scores = window_logits()
-    worst = np.full(n_docs, -np.inf)
-    np.maximum.at(worst, owner, scores)
-    seen = np.isfinite(worst)
-    model.bias[:] = 0, -_cut(worst[seen], label[seen])
+    some = np.flatnonzero(lengths)
+    worst[some] = np.maximum.reduceat(scores, np.searchsorted(owner, some))
+    scale, shift = fit_probability(worst, label)
+    model.weights *= scale
+    model.bias[:] = 0, shift
     return model
 
 
-def _cut(score: np.ndarray, label: np.ndarray) -> float:
-    """The score between two rows that gives the fewest errors; the middle of the gap there."""
-    order = np.argsort(score, kind="stable")
-    s, y = score[order], label[order]
-    errors = np.concatenate([[(y == 0).sum()], (y == 0).sum() - np.cumsum(y == 0) + np.cumsum(y == 1)])
-    k = int(np.argmin(errors[1:-1])) + 1 if len(s) > 1 else 0
-    return float((s[k - 1] + s[k]) / 2) if 0 < k < len(s) else float(s.mean())
+def fit_probability(score: np.ndarray, label: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Scale and shift of a logistic curve, by Newton steps; ``ridge`` bounds the scale where the classes are separable."""
+    x = np.stack([score, np.ones(len(score))], 1)
+    hold = ridge * np.diag([1.0, 0.0])
+
+    def loss(w):
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - label * z) + w @ hold @ w / 2)
+
+    w = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold + 1e-9 * np.eye(2), x.T @ (p - label) + hold @ w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 class Scorer(dict):
@@ -220,21 +247,18 @@ class Scorer(dict):
             sums = np.add.reduceat(self.weights[grams].astype(np.float64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             self.update(zip(some, (sums / sizes).tolist(), strict=True))
 
-    def score(self, words: list[str]) -> float:
-        n = len(words)
-        if not n:
-            return 1 / (1 + float(np.exp(-self.offset)))
-        total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.__getitem__, words), np.float64, n))])
-        if n <= WINDOW:
-            best = total[-1] / n
-        else:
-            starts = np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
-            best = ((total[starts + WINDOW] - total[starts]) / WINDOW).max()
-        return 1 / (1 + float(np.exp(-np.clip(SHARPNESS * (best + self.offset), -50, 50))))
-
+    def scores(self, texts: list[str]) -> list[float]:
+        docs = [words_of(t) for t in texts]
+        self.learn(docs)
+        return [self.score(d) for d in docs]
 
-#: Slope of the sigmoid of a document's worst window.
-SHARPNESS = 4.0
+    def score(self, words: list[str]) -> float:
+        n, logit = len(words), -abs(self.offset) - 1e-6
+        if n:
+            total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.__getitem__, words), np.float64, n))])
+            starts = window_starts(n)
+            logit = ((total[np.minimum(starts + WINDOW, n)] - total[starts]) / min(WINDOW, n)).max() + self.offset
+        return 1 / (1 + float(np.exp(-np.clip(logit, -50, 50))))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -262,16 +286,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     rows = training_sample(docs, labels, per_class, id_col, text_col, label_col).groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
 
     def run(batches):
-        table = pd.concat(list(batches), ignore_index=True).sort_values("id")
-        model = train(table["text"].tolist(), table["y"].tolist())
-        if table["y"].nunique() < 2:
-            yield pd.DataFrame({"weights": [np.zeros(BUCKETS, np.float32).tobytes()], "offset": [-5.0]})
-        else:
-            yield pd.DataFrame({"weights": [model.word_weights().tobytes()], "offset": [model.offset()]})
-
-    fitted = rows.repartition(1).mapInPandas(run, "weights binary, offset double").head()
+        texts = (r for df in batches for r in zip(df["text"], df["y"], strict=True))
+        model = train(texts)
+        yield pd.DataFrame({"weights": [model.word_weights().tobytes()], "offset": [model.offset()]})
+        del model, texts
+        release_memory()
+
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y")
+    fitted = one.mapInPandas(run, "weights binary, offset double").head()
     if fitted is None:
-        return np.zeros(BUCKETS, np.float32), -5.0
+        return np.zeros(BUCKETS, np.float32), -UNKNOWN
     return np.frombuffer(fitted["weights"], np.float32), fitted["offset"]
 
 
@@ -279,8 +303,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row: ``id_col``, held_out, score, predicted.
 
     Labels are used for training only, and only of rows outside the held-out
-    fold. Null and empty texts get the score of no words. Repeated rows are
-    scored each; other columns are ignored; an empty table gives no rows.
+    fold; a null id counts as held out. Null and empty texts get the score of
+    the empty bag. Texts of any length are scored whole, repeated rows each;
+    columns other than the two are ignored, whatever their names; an empty
+    table gives no rows.
     """
     scored = score_rows(docs, fit(docs, labels, per_class, id_col, text_col), id_col, text_col)
     return scored.select(
@@ -296,14 +322,23 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "
         scorer = Scorer(*shared.value)
 
         def step(batch):
-            texts, scores = batch.column("text").to_pylist(), []
-            for a in range(0, len(texts), 500):
-                docs_ = [words_of(t) for t in texts[a : a + 500]]
-                scorer.learn(docs_)
-                scores += [scorer.score(d) for d in docs_]
+            column, scores = batch.column("text"), []
+            for a in range(0, len(column), 500):
+                scores += scorer.scores(column.slice(a, 500).to_pylist())
             return {"id": batch.column("id"), "score": scores}
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(input_rows(docs, id_col, text_col), f"id {kind}, score double", make).withColumnRenamed("id", id_col)
+
+
+def clean_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below one half."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(*shared.value)
+        return lambda texts: [s < 0.5 for s in scorer.scores(texts)]
+
+    return filter_rows(docs, text_col, make)

@@ -5,7 +5,7 @@ independently of each other. Texts in Latin-1 (where NFC changes nothing and
 lower-casing is letter by letter) are cut at exactly these places; other texts
 are cut at ASCII white space only, which no piece ever spans. The library
 itself encodes every distinct piece, in batches balanced by bytes, and the
-results are kept per worker.
+results are kept per task.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import quiet_tokenizers
 
-#: Bytes of text in one call of the library, and pieces kept by a worker.
+#: Bytes of text in one call of the library, and bytes of pieces that a task keeps.
 BATCH_BYTES = 1 << 20
-MAX_KEPT = 500_000
+KEPT_BYTES = 16 << 20
+#: Pieces of so many characters are cut further where that is safe.
+LONG = 512
 
 _LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -26,6 +30,9 @@ _SPACE = " \t-\r\x85\xa0"
 #: The pre-tokenizer pattern of the file, written for Latin-1.
 _PIECE = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 _WORD = re.compile("[^ \t\n\r]+")
+#: Between an ideograph or kana and a punctuation mark, which normalisation leaves alone and no token spans.
+_IDEOGRAPHS, _MARKS = "\u4e00-\u9fff\u3041-\u3096\u30a1-\u30fa", "\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300c\u300d"
+_SAFE = re.compile(f"(?<=[{_IDEOGRAPHS}])(?=[{_MARKS}])|(?<=[{_MARKS}])(?=[{_IDEOGRAPHS}])")
 
 
 class Pieces(dict):
@@ -38,6 +45,7 @@ class Pieces(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.lengths_only = lengths_only
+        self.kept = 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def cut(self, text: str) -> list[str]:
@@ -46,15 +54,21 @@ class Pieces(dict):
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return _WORD.findall(text)
+                return self._words(text)
         if "<" in text and any(s in text for s in self.special):
-            return _WORD.findall(text)
+            return self._words(text)
         return _PIECE.findall(text.lower())
 
+    def _words(self, text: str) -> list[str]:
+        words = _WORD.findall(text)
+        if max(map(len, words), default=0) < LONG:
+            return words
+        return [part for w in words for part in (_SAFE.split(w) if len(w) >= LONG and not any(s in w for s in self.special) else (w,))]
+
     def learn(self, cut_texts: list[list[str]]) -> None:
         """Encode the pieces not seen yet, about ``BATCH_BYTES`` at a time."""
-        if len(self) > MAX_KEPT:
-            self.clear()
+        if self.kept > KEPT_BYTES:
+            self.forget()
         new: set[str] = set()
         for pieces in cut_texts:
             new.update(pieces)
@@ -68,8 +82,13 @@ class Pieces(dict):
                     waiting, size = [], 0
         self._encode(waiting)
 
+    def forget(self) -> None:
+        self.clear()
+        self.kept = 0
+
     def _encode(self, pieces: list[str]) -> None:
         for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.kept += 150 + len(piece) + (0 if self.lengths_only else 4 * len(e))
             self[piece] = len(e) if self.lengths_only else np.array(e.ids, "<u4").tobytes()
 
 
@@ -77,17 +96,18 @@ _OPEN: dict[tuple[str, bool], Pieces] = {}
 
 
 def pieces_of(path: str, lengths_only: bool) -> Pieces:
-    """One per worker process and file, kept between tasks."""
+    """One per worker process and file; the tokenizer is kept between tasks, the pieces aren't."""
     if (path, lengths_only) not in _OPEN:
         _OPEN[path, lengths_only] = Pieces(path, lengths_only)
+    _OPEN[path, lengths_only].forget()
     return _OPEN[path, lengths_only]
 
 
-def groups_by_bytes(texts: list[str], limit: int = 8 << 20):
-    """Slices of a batch of about ``limit`` characters each."""
+def groups_by_bytes(texts: pa.Array, limit: int = 4 << 20):
+    """Slices of a column of strings of about ``limit`` bytes of UTF-8 each."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0

@@ -1,6 +1,7 @@
 """Every corpus operator against a brute-force version, on given tables and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -127,6 +128,22 @@ def test_token_counts(which, request):
     assert tokencount.token_counts(empty(df), PATH).count() == 0
 
 
+def test_long_words_are_cut_where_no_token_spans():
+    from tokenizers import Tokenizer
+
+    from momentsift.llm.vocab import Pieces
+
+    rng = random.Random(4)
+    letters = "\u4e2d\u6587\u5b57\u3042\u30ac\u304b\u3099\uac00e\u0301A1'\u00e9\u3001\u3002\uff0c\u300c\u300d\uff01.-\u3000"
+    whole, pieces = Tokenizer.from_file(PATH), Pieces(PATH, False)
+    for _ in range(60):
+        text = "".join(rng.choices(letters, k=rng.randint(500, 1500))) + " x"
+        cut = pieces.cut(text)
+        pieces.learn([cut])
+        assert len(cut) > 10
+        assert b"".join(pieces[c] for c in cut) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("which", ["docs", "given"])
 def test_packing(which, request):
     df = request.getfixturevalue(which)
@@ -385,6 +402,10 @@ def test_decontamination_with_substitutions(spark):
         found = {r["doc_id"] for r in got.where("contaminated").collect()}
         assert found <= dirty and len(found) >= 0.97 * len(dirty)
     assert decontaminate.contamination(df, bench.where("false")).where("contaminated").count() == 0
+    one, many = ({tuple(r) for r in decontaminate.contamination(df.repartition(5), bench, block_words=b).collect()} for b in (10**6, 100))
+    assert one == many
+    named = bench.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
+    assert {r["item_ids"] for r in decontaminate.contamination(df, named).where("n_items = 1").collect()} <= {f"item {k}" for k in range(30)}
     assert decontaminate.contamination(df.where("false"), bench).count() == 0
 
 
@@ -453,6 +474,16 @@ def test_toxicity(spark, sf_dir, docs):
     assert toxicity.toxicity(docs, labels).count() == len(AWKWARD)
     assert toxicity.toxicity(docs, labels.where("false")).where("predicted = 1").count() == 0
     assert toxicity.toxicity(empty(docs), labels).count() == 0
+    # The trained model again, word by word and bag by bag.
+    weights, offset = toxicity.fit(df.drop("y"), labels)
+    for r in got[:200]:
+        words = toxicity.words_of(rows[r["doc_id"]][1])
+        means = [float(weights[toxicity.subwords([w])[0]].astype(float).mean()) for w in words]
+        bags = [sum(means[a : a + 4]) / 4 for a in toxicity.window_starts(len(words))] if len(words) > 4 else [sum(means) / len(means)]
+        assert abs(r["score"] - 1 / (1 + math.exp(-(max(bags) + offset)))) < 1e-5
+    odd = spark.createDataFrame([(None, None), (None, "a"), (5, "")], "doc_id long, text string")
+    odd = toxicity.toxicity(odd, labels).collect()
+    assert [r["held_out"] for r in odd if r["doc_id"] is None] == [True, True] and all(r["predicted"] == 0 for r in odd)
 
 
 def test_subwords_match_a_plain_loop():
@@ -490,10 +521,10 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in now.collect()} == set(before)
 
 
-def test_pipeline_stages_with_null_and_repeated_ids(spark, sf_dir, monkeypatch):
-    def left(stage, rows):
-        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-        out = stage(spark, df, sf_dir)
+def test_pipeline_stages_with_null_and_repeated_ids(spark, sf_dir, tmp_path):
+    def left(stage, rows, tables=sf_dir, where="true"):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).where(where)
+        out = stage(spark, df, tables)
         assert out.columns == df.columns
         return Counter((r["doc_id"], r["text"]) for r in out.collect())
 
@@ -513,8 +544,18 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, sf_dir, monkeypatch):
     got = left(queries.keep_one_similar, rows)
     assert got == Counter([(2, near[0]), (None, "lone"), (2, "two"), (None, "x y"), (8, "p q")])
 
-    monkeypatch.setattr(queries, "fit", lambda *_: None)
-    score = lambda rows, model, key: rows.select(key, F.when(F.col("text") == "bad", 0.9).otherwise(0.1).alias("score"))
-    monkeypatch.setattr(queries, "score_rows", score)
-    rows = rows_of((None, "bad"), (None, "good"), (1, "bad"), (1, "good"), (2, None))
-    assert left(queries.drop_toxic, rows) == Counter([(None, "good"), (1, "good"), (2, None)])
+    labelled = [(i, "grumf blarg " * (i % 3 + 1) if i % 2 else "kind words " * (i % 3 + 1)) for i in range(10, 200)]
+    spark.createDataFrame([(i, i % 2) for i, _ in labelled], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = rows_of((None, "blarg"), (None, "kind"), (1, "a grumf"), (1, "words"), (2, None), (2, ""), *labelled)
+    assert left(queries.drop_toxic, rows, str(tmp_path)) == Counter([(None, "kind"), (1, "words"), (2, None), (2, ""), *[r for r in labelled if "kind" in r[1]]])
+
+    for stage in (queries.drop_toxic, queries.keep_one_copy, queries.keep_one_similar, queries.drop_contaminated):
+        assert not left(stage, rows_of((1, "x")), where="false")
+    assert queries.pack(spark, spark.createDataFrame([], "doc_id long, text string"), sf_dir).count() == 0
+
+
+def test_pipeline_stages_with_rows_equal_in_every_column(spark, sf_dir):
+    df = spark.createDataFrame([(1, "a b c", None, 3)] * 5 + [(1, "a b c", "x", 3), (2, "a b c", "x", 3)] + [(4, "z", "x", 1)] * 3, "doc_id long, text string, lang string, n int").repartition(4)
+    for stage, stays in ((queries.keep_one_copy, 2), (queries.keep_one_similar, 1)):
+        got = [r["doc_id"] for r in stage(spark, df, sf_dir).collect()]
+        assert sorted(got) == [stays, 4]
