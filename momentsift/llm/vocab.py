@@ -5,7 +5,7 @@ independently of each other. Texts in Latin-1 (where NFC changes nothing and
 lower-casing is letter by letter) are cut at exactly these places; other texts
 are cut at ASCII white space only, which no piece ever spans. The library
 itself encodes every distinct piece, in batches balanced by bytes, and the
-results are kept per task.
+results are kept per worker.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 
 from .common import quiet_tokenizers
 
-#: Bytes of text in one call of the library, and bytes of pieces that a task keeps.
+#: Bytes of text in one call of the library, and bytes of pieces that a worker keeps.
 BATCH_BYTES = 1 << 20
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 64 << 20
 #: Pieces of so many characters are cut further where that is safe.
 LONG = 512
 
@@ -96,10 +96,9 @@ _OPEN: dict[tuple[str, bool], Pieces] = {}
 
 
 def pieces_of(path: str, lengths_only: bool) -> Pieces:
-    """One per worker process and file; the tokenizer is kept between tasks, the pieces aren't."""
+    """One per worker process and file, kept between tasks with at most ``KEPT_BYTES`` of pieces."""
     if (path, lengths_only) not in _OPEN:
         _OPEN[path, lengths_only] = Pieces(path, lengths_only)
-    _OPEN[path, lengths_only].forget()
     return _OPEN[path, lengths_only]
 
 
