@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
-#: A chunk ends at the first line or sentence end after MIN_CHUNK characters, at MAX_CHUNK at the latest.
+#: A chunk ends at the first line or sentence end after MIN_CHUNK characters; where none comes within MAX_CHUNK, at the
+#: first white space, or else where one of a few characters follows itself; and at MAX_CHUNK in text without any of these.
 MIN_CHUNK, MAX_CHUNK = 384, 4096
-CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?:\n|[.] )|.{{1,{MAX_CHUNK}}}"
+ENDS = (r"(?:\n|[.!?] |[\u3002\uff01\uff1f])", r"\s", "(?:aa|ee|tt|00|11|ff|AA|\\+\\+|//|\u7684)")
+CHUNK = "(?s)" + "|".join(f".{{{MIN_CHUNK},{MAX_CHUNK}}}?{end}" for end in ENDS) + f"|.{{1,{MAX_CHUNK}}}"
 
 
 def chunks_of(text: Column) -> Column:
@@ -53,11 +55,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts count as empty and equal each other. Of equal texts the row with
     the largest id stays; where that id itself is repeated with the same text,
     every such row is marked kept (they can't be told apart). Null ids never
-    win against others. An empty table gives no rows.
+    win against others. Texts of any length are read whole; columns other than
+    the two are ignored, whatever their names; an empty table gives no rows.
     """
-    named = written(recipes(docs, id_col, text_col).select("id", "text_sha256", "recipe"), "recipes")
+    scratch = Scratch(docs.sparkSession)
+    named = scratch.written(recipes(docs, id_col, text_col).select("id", "text_sha256", "recipe"), "recipes", last=True)
     groups = named.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     several = groups.where("group_size > 1").select(F.col("recipe").alias("r"), "keep_id", "group_size")
+    several = scratch.written(several, "groups", last=True)  # a plain table: Spark can split a group that is large
     joined = named.join(several, F.col("recipe") == F.col("r"), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
