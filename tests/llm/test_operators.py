@@ -79,6 +79,10 @@ def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
     assert [k for k, *_ in pii.added_spans("number 555-123-4567 alone")] == []
+    two = "iban DE89370400440532013000 GB82 WEST 1234 5698 7654 32, bank"
+    assert [two[s:e] for k, s, e, _ in pii.added_spans(two) if k == "iban"] == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+    assert pii.added_spans("account DE89370400440532013000X") == pii.added_spans("account DE89370400440532013000x") == []
+    assert pii.added_spans("DE89370400440532013000") and not pii.added_spans("invoice DE89370400440532013000")
 
 
 @pytest.mark.parametrize("which", ["docs", "given"])
@@ -345,6 +349,47 @@ def test_html_keeps_whole_articles():
     assert htmltext.content(f"<body><div class=ad-banner>buy</div><div>{story}</div><form>name</form></body>") == want
 
 
+def test_html_loses_nothing_behind_odd_elements():
+    got = lambda page: htmltext.content(page)
+    assert got("<p>before</p><svg width=1 /><p>after</p>") == "before after"
+    assert got("<p>before</p><iframe src=x/><p>after</p>") == "before after"
+    assert got("<p>before</p><select><p>after</p>") == "before after"
+    assert got("<p>before</p><script>var x = 1;<p>after</p>") == "before after"
+    assert got("<article><p>a</p><p class='advert'>buy</p><p>b</p><button>press</button><p>c <math><mi>x</mi></math></p></article>") == "a b c x"
+    assert got("<ul><li>one<li class=comment>reader<p>more</p><li>two</ul><p>end") == "one two end"
+    assert got("<table><tr><td class=ad>buy<td>keep<tr><td>row</table>") == "keep row"
+    assert got("<article><p data-class='advert' data-id=ad title='class=ad'>kept</p></article>") == "kept"
+    assert got("<article class='post form-2024'><p>kept</p></article>") == "kept"
+    assert len(got("<p>" + "long page " * 200_000)) == 1_999_999
+
+
+def test_html_templates_are_those_of_whole_vectors(spark, sf_dir):
+    """Classes of equal occurrence vectors, with the vectors written out, on given pages that get notices and blocks of a host."""
+    pages = [(r["url"], (r["html"] or "").replace("</article>", f"<p>Subscribe {htmltext.host_of(r['url'])}</p><p>Read on</p></article>")) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    pages += pages[:20]
+    hosts = defaultdict(set)
+    for url, page in pages:
+        hosts[htmltext.host_of(url)].add(page)
+    want = {}
+    for host, own in hosts.items():
+        vectors, texts = defaultdict(dict), set()
+        for k, page in enumerate(own):
+            blocks, opened = htmltext.blocks_of(page)
+            for token in [c.path for c in opened] + [htmltext.text_token(c, t) for c, t in blocks if not (c and c.boilerplate)]:
+                vectors[token][k] = vectors[token].get(k, 0) + 1
+            texts |= {htmltext.text_token(c, t) for c, t in blocks}
+        classes = defaultdict(list)
+        for token, v in vectors.items():
+            classes[tuple(sorted(v.items()))].append(token)
+        most = max(map(len, vectors.values()), default=0)
+        valid = {t for v, tokens in classes.items() if len(tokens) >= htmltext.MIN_TOKENS and len(v) >= max(htmltext.MIN_PAGES, htmltext.MIN_SHARE * most) for t in tokens if t in texts}
+        if valid:
+            want[host] = valid
+    df = spark.createDataFrame(pages, "url string, html string")
+    assert {r["host"]: set(r["texts"]) for r in htmltext.templates(df).collect()} == want
+    assert want
+
+
 def test_html_template_decides_inside_articles(spark):
     page = "<body><nav>menu</nav><article><h1>Head {0}</h1><p>Subscribe to our letter</p><p>story {0}</p></article></body>"
     rows = [(k, "http://h.example/x", page.format(k)) for k in range(5)]
