@@ -120,6 +120,47 @@ def test_randomness_battery(spark):
     assert all(p[t] < 0.001 for t in bad)
 
 
+def test_names_against_exact_binomials(spark):
+    rng = random.Random(6)
+    tokens = ["".join(rng.choices(a, k=rng.randint(20, 90))) for _ in range(60) for _, a in secrets.ENCODINGS.values()]
+    tokens += ["getUserAccountById2Handler", "chr7_Homo_sapiens_GRCh38assembly", "A" * 25, "0" * 30, "-" * 24, "x" * 5000]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    span = F.array(F.struct(F.lit(0).alias("s"), F.length("t").alias("e"), F.col("t").alias("v")))
+    got = {r["t"]: r["p"] for r in df.select("t", F.transform(secrets.with_name_counts(span), lambda x: secrets.name_p(x, 0.07, 0.3))[0].alias("p")).collect()}
+
+    def tail(k, n, q):
+        return 1.0 if k < 1 else max(1e-15, 1 - sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k)))
+
+    for t in tokens[:-1]:
+        c = ["U" if x.isupper() else "l" if x.islower() else "0" for x in t if x.isalnum()]
+        changes = sum(a != b and a + b != "Ul" for a, b in zip(c, c[1:], strict=False))
+        letters, rare = sum(x.isalpha() for x in t), sum(x in secrets.RARE for x in t.lower())
+        p = tail(rare, letters, 0.07)
+        if re.fullmatch("[0-9a-f+/_-]+|[0-9A-F+/_-]+", t):
+            p = min(p, 0.3**letters)
+        both = tail(changes, max(len(c) - 1, 0), secrets.NAME_CHANGES) * min(1, 2 * p)
+        assert abs(math.log(got[t]) - math.log(both * (1 - math.log(both)))) < 0.05, t
+
+
+def test_discoveries_are_keys_not_names(spark):
+    """Of 3000 names, few are called keys; most of 300 keys are found, whatever their encoding."""
+    rng = random.Random(8)
+    words = "user account handler get set by id request response cache index value table name list item count order time file path node tree merge split read write open close first last total".split()
+    rows, keys = [], set()
+    for i in range(3300):
+        if i % 11 == 0:
+            keys.add(i)
+            token = "".join(rng.choices(secrets.ENCODINGS[rng.choice(("base32", "base36", "BASE36", "base64"))][1].replace("+/", ""), k=rng.randint(36, 60)))
+        else:
+            some = rng.choices(words, k=rng.randint(5, 9))
+            token = rng.choice(("_".join, "-".join, "/".join, lambda w: "".join(x.title() for x in w)))(some) + rng.choice(("", "", "2", "_v10", "38"))
+        rows.append((i, f"the value of {token} in the list of names"))
+    rows += [(9000, "getUserAccountById2Handler chr7_Homo_sapiens_GRCh38assembly 550e8400-e29b-41d4-a716-446655440000")]
+    got = {r["doc_id"] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("n_random > 0").collect()}
+    assert len(got & keys) >= 0.9 * len(keys)
+    assert len(got - keys) <= 0.07 * len(got) and 9000 not in got
+
+
 @pytest.mark.parametrize("which", ["docs", "given"])
 def test_token_counts(which, request):
     df = request.getfixturevalue(which)
