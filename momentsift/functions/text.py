@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 @cache
 def _folding(form: str) -> tuple[str, str, tuple[tuple[str, str], ...], str]:
-    """For lower-case letters: those whose decomposition is one letter, what it is, those that grow, and all that decompose."""
+    """Of lower-case characters: those whose decomposition is one character, what it is, those that grow, and all that decompose."""
     one, to, grow, marked = [], [], [], []
     for code in range(0x80, 0x2_0000 if sys.maxunicode > 0x2_0000 else 0x1_0000):
         c = chr(code)
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4 or not c.isalpha():
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4 or unicodedata.combining(c) or form == "NFD" and not c.isalpha():
             continue
         d = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
         if d != c and d:
@@ -25,18 +25,29 @@ def _folding(form: str) -> tuple[str, str, tuple[tuple[str, str], ...], str]:
                 if len(d) == 1:
                     one.append(c)
                     to.append(d.lower())
-                elif code < 0xFC00:
+                else:
                     grow.append((c, d.lower()))
     return "".join(one), "".join(to), tuple(grow), "".join(marked)
 
 
+def _ranges(characters) -> str:
+    """A pattern of one of the characters."""
+    marked = sorted(characters)
+    ranges, start = [], marked[0]
+    for a, c in zip(marked, [*marked[1:], "\U0010ffff"], strict=True):
+        if ord(c) != ord(a) + 1:
+            ranges.append(f"\\x{{{ord(start):x}}}-\\x{{{ord(a):x}}}")
+            start = c
+    return "[" + "".join(ranges) + "]"
+
+
 def _strip_marks(text: Column, form: str) -> Column:
     one, to, grow, _ = _folding(form)
     folded = F.translate(F.lower(text), one, to)
     if form == "NFKD":
-        for c, d in grow:
-            if c in "ﬀﬁﬂﬃﬄﬅﬆĳǆǉǌŉ":
-                folded = F.replace(folded, F.lit(c), F.lit(d))
+        longer = F.str_to_map(F.lit("\x01".join(f"{c}\x02{d}" for c, d in grow)), F.lit("\x01"), F.lit("\x02"))
+        each = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(longer, c), c))
+        folded = F.when(folded.rlike(_ranges([c for c, _ in grow])), F.array_join(each, "")).otherwise(folded)
     return F.regexp_replace(folded, r"\p{Mn}+", "")
 
 
@@ -69,13 +80,7 @@ def same_text(a: Column, b: Column) -> Column:
 
 def has_diacritics(text: Column) -> Column:
     """Is there a letter beyond ASCII that decomposes?"""
-    marked = sorted(_folding("NFD")[3])
-    ranges, start = [], marked[0]
-    for a, c in zip(marked, [*marked[1:], "\U0010ffff"], strict=True):
-        if ord(c) != ord(a) + 1:
-            ranges.append(f"{start}-{a}")
-            start = c
-    return text.rlike("[" + "".join(ranges) + "]")
+    return text.rlike(_ranges(_folding("NFD")[3]))
 
 
 def terms(text: Column) -> Column:

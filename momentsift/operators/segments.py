@@ -110,7 +110,12 @@ def stratified_sample(segments: DataFrame, k: int, group: Column, seed: str = "7
 
 def clip_overlap(clips: DataFrame, segments: DataFrame, length: float = 30.0) -> DataFrame:
     """clips: video_id, t -> the segments that overlap [t, t + length), with offsets clipped to the clip."""
-    both = clips.join(segments, "video_id").where((F.col("end_sec") > F.col("t")) & (F.col("start") < F.col("t") + length))
+    # Clips and segments lie over the same time cells; a pair counts in the first cell that both have.
+    cells = lambda a, b: F.sequence(F.floor(a / length), F.greatest(F.floor(a / length), F.floor(b / length)))
+    c = clips.withColumn("cell", F.explode(cells(F.col("t"), F.col("t") + length)))
+    s = segments.withColumn("cell", F.explode(cells(F.col("start"), F.col("end_sec"))))
+    both = c.join(s, ["video_id", "cell"]).where((F.col("end_sec") > F.col("t")) & (F.col("start") < F.col("t") + length))
+    both = both.where(F.col("cell") == F.floor(F.greatest("t", "start") / length))
     return both.select(
         "video_id", "t", "seg", F.greatest(F.col("start") - F.col("t"), F.lit(0.0)).alias("offset_start"), F.least(F.col("end_sec") - F.col("t"), F.lit(length)).alias("offset_end"), "text"
     )

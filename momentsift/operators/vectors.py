@@ -63,7 +63,10 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, key: tuple[str, ...
     vectors: a matrix product per Arrow batch, the best k of the batch, then
     the best k of all. Ties are broken by the key.
     """
+    vectors = vectors.where("embedding is not null")
     parts = [_knn_block(vectors, ids, matrix, k, key) for ids, matrix in _query_blocks(queries, block)]
+    if not parts:  # no queries, no hits
+        parts = [_knn_block(vectors.where("false"), [], np.zeros((0, 0)), k, key)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -48,10 +48,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20 queries, each the mean of eight vectors: query_id, embedding."""
-    emb = table(spark, sf_dir, "embeddings").where("vec_id < 27")
-    member = F.explode(F.sequence(F.greatest(F.lit(0), F.col("vec_id") - 7), F.least(F.lit(19), F.col("vec_id"))))
-    parts = emb.select(member.alias("query_id"), F.posexplode("embedding").alias("i", "x"))
+    """The stated query set, every vector whose id is divisible by 100, each as the mean with the seven after it: query_id, embedding."""
+    emb = table(spark, sf_dir, "embeddings").where("vec_id % 100 < 8")
+    parts = emb.select((F.col("vec_id") - F.col("vec_id") % 100).alias("query_id"), F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return means.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(
         F.col("query_id").cast("long").alias("query_id"), F.transform("p", lambda p: p["x"]).alias("embedding")
@@ -60,7 +59,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame of vector i answers query i: query_id, gt_video_id, gt_start, gt_end."""
-    return vectors(spark, sf_dir).where("vec_id < 20").select(
+    return vectors(spark, sf_dir).where("vec_id % 100 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("video_id").alias("gt_video_id"), (F.col("frame_idx") - 10).alias("gt_start"), (F.col("frame_idx") + 10).alias("gt_end")
     )
 
@@ -86,9 +85,9 @@ def blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, text: the first three words of each benchmark passage."""
+    """query_id, text: each benchmark passage, whole."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +115,14 @@ SQL = {
     "coarse": "coarse AS (SELECT * REPLACE (CAST(floor(pts_time / 3600) AS BIGINT) AS frame_idx) FROM frames)",
     "vectors": "vectors AS (SELECT video_id, n, frame_idx, pts_time, vec_id, embedding, label FROM embeddings JOIN frames ON vec_id = event_id)",
     "vector_queries": """vector_queries AS (SELECT query_id, list(x ORDER BY i) AS embedding FROM (
-  SELECT q.query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(20)) AS query_id) q, (SELECT unnest(range(1, 65)) AS i) d
-  WHERE vec_id BETWEEN q.query_id AND q.query_id + 7 GROUP BY 1, 2) GROUP BY 1)""",
-    "truth": "truth AS (SELECT vec_id AS query_id, video_id AS gt_video_id, frame_idx - 10 AS gt_start, frame_idx + 10 AS gt_end FROM vectors WHERE vec_id < 20)",
+  SELECT vec_id - vec_id % 100 AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) d
+  WHERE vec_id % 100 < 8 GROUP BY 1, 2) GROUP BY 1)""",
+    "truth": "truth AS (SELECT vec_id AS query_id, video_id AS gt_video_id, frame_idx - 10 AS gt_start, frame_idx + 10 AS gt_end FROM vectors WHERE vec_id % 100 = 0)",
     "ocr": "ocr AS (SELECT doc_id, video_id, n, frame_idx, pts_time, text FROM documents JOIN frames ON doc_id = event_id)",
     "speech": """speech AS (SELECT 'V' || lpad(CAST(conv_id AS VARCHAR), 4, '0') AS video_id, turn AS seg, CAST(turn * 3 * 86400 AS DOUBLE) AS start,
   CAST(turn * 3 * 86400 + 2 * 86400 AS DOUBLE) AS end_sec, text, role AS engine FROM conversations)""",
     "blank": "blank AS (SELECT * REPLACE (CASE WHEN seg % 7 = 0 OR right(video_id, 1) = '0' THEN ' ' ELSE text END AS text) FROM speech)",
-    "text_queries": r"text_queries AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:3], ' ') AS text FROM benchmark)",
+    "text_queries": r"text_queries AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), ' ') AS text FROM benchmark)",
     "runs": "runs AS (SELECT video_id, pts_time AS start, pts_time + 1 AS end_sec, event_type AS text FROM frames)",
     "candidates": """candidates AS (SELECT event_id % 10 AS query_id, 'clip' AS source, video_id, n, frame_idx, pts_time, value AS score FROM coarse
   UNION ALL SELECT event_id % 10, 'ocr', video_id, n, frame_idx, pts_time, pts_time % 1000 FROM coarse WHERE n % 3 = 0)""",

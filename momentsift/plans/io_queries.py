@@ -28,7 +28,10 @@ def read_ocr_for_index(spark, sf_dir):
 
 @query("S5_read_asr_segments", sql("SELECT count(DISTINCT video_id) AS files, count(*) AS rows_read, count(*) FILTER (trim(text) <> '') AS rows_loaded FROM blank", "blank"))
 def read_asr_segments(spark, sf_dir):
-    return readers.speech_stats(b.blank(spark, sf_dir))
+    """Segments as JSON lines of each video, read strictly."""
+    path = scratch_path(spark, "speech")
+    sinks.write_segments(b.blank(spark, sf_dir).withColumnRenamed("end_sec", "end"), path, ("start", "end"))
+    return readers.read_asr_segments(spark, path)[1]
 
 
 @query(
@@ -47,14 +50,18 @@ def read_queries(spark, sf_dir):
 def read_ground_truth(spark, sf_dir):
     t = b.truth(spark, sf_dir)
     task = F.element_at(F.array(F.lit("kis"), F.lit("qa"), F.lit("trake")), (F.col("query_id") % 3 + 1).cast("int"))
-    return readers.check_truth(t.select(F.col("query_id").cast("string").alias("query_id"), task.alias("task"), "gt_video_id", F.array("gt_start", "gt_end").alias("gt_frame_range")))
+    path = scratch_path(spark, "truth")
+    t.select(F.col("query_id").cast("string").alias("query_id"), task.alias("task"), "gt_video_id", F.array("gt_start", "gt_end").alias("gt_frame_range")).write.json(path)
+    return readers.read_ground_truth(spark, path).select("query_id", "task", "gt_video_id", "gt_frame_range")
 
 
 @query("S8_read_submissions", sql("SELECT query_id, 'kis' AS task, rank, video_id, [frame_idx] AS frame_ids, CAST(NULL AS VARCHAR) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, n) AS rank FROM candidates WHERE source = 'clip') WHERE rank <= 100", "candidates"))
 def read_submissions(spark, sf_dir):
-    """Exported lines read back."""
+    """Exported lines written as named files and read back."""
+    path = scratch_path(spark, "submissions")
     lines = an.export_picks(b.candidates(spark, sf_dir).where("source = 'clip'"))
-    return readers.parse_submission_lines(lines.withColumn("task", F.lit("kis")))
+    sinks.write_submission(lines.withColumn("task", F.lit("kis")), path)
+    return readers.read_submissions(spark, path).withColumn("query_id", F.col("query_id").cast("long"))
 
 
 @query(
@@ -73,10 +80,12 @@ def read_history(spark, sf_dir):
 
 @query("S13_write_submission", sql(f"WITH {_RUN} SELECT 'query-' || query_id || '-kis.csv' AS file, rank AS place, video_id || ',' || frame_idx AS line FROM kept WHERE rank <= 100", "vectors", "vector_queries"))
 def write_submission(spark, sf_dir):
-    """The lines of every file in their order."""
+    """The lines of every file in their order, from the files."""
+    path = scratch_path(spark, "submission")
     rows, _ = an.budget(an.answers_single(fu.thin_out(_searched(spark, sf_dir), b.WINDOW_SEC)))
-    lines = sinks.sink_order(an.to_lines(rows.withColumn("task", F.lit("kis"))))
-    return lines.withColumn("task", F.lit("kis")).select(sinks.submission_file_name().alias("file"), "place", "line")
+    sinks.write_submission(an.to_lines(rows.withColumn("task", F.lit("kis"))).withColumn("task", F.lit("kis")), path)
+    lines = readers.numbered_lines(spark, path).where("value <> ''")
+    return lines.select(F.regexp_extract("file", "[^/]+$", 0).alias("file"), F.col("row").alias("place"), F.col("value").alias("line"))
 
 
 @query(
@@ -84,8 +93,10 @@ def write_submission(spark, sf_dir):
     sql(f"WITH {KNN} SELECT query_id, candidates, rank, video_id, frame_idx, round(pts_time, 3) AS pts_time, round(score, 4) AS score FROM knn JOIN (SELECT query_id, count(*) AS candidates FROM knn GROUP BY 1) USING (query_id) WHERE rank <= 10", *VIEWS[:2]),
 )
 def write_run_log(spark, sf_dir):
-    found = _searched(spark, sf_dir)
-    log = sinks.run_log(found.groupBy("query_id").agg(F.count("*").alias("candidates")), found)
+    found, path = _searched(spark, sf_dir), scratch_path(spark, "run_log")
+    sinks.write_run_log(found.groupBy("query_id").agg(F.count("*").alias("candidates")), found, path)
+    top = "array<struct<rank: int, video_id: string, frame_idx: long, pts_time: double, score: double>>"
+    log = spark.read.schema(f"query_id long, candidates long, top {top}").json(path)
     return log.select("query_id", "candidates", F.explode("top").alias("t")).select("query_id", "candidates", "t.*")
 
 

@@ -140,12 +140,12 @@ def stratified_sample(spark, sf_dir):
     "E10_clip_overlap",
     sql(
         """SELECT s.video_id, f.pts_time AS t, s.seg, greatest(s.start - f.pts_time, 0.0::DOUBLE) AS offset_start, least(s.end_sec - f.pts_time, 86400.0::DOUBLE) AS offset_end, s.text
-        FROM frames f JOIN speech s ON f.video_id = s.video_id AND s.end_sec > f.pts_time AND s.start < f.pts_time + 86400 WHERE f.n % 5 = 0""",
+        FROM frames f JOIN speech s ON f.video_id = s.video_id AND s.end_sec > f.pts_time AND s.start < f.pts_time + 86400""",
         "frames", "speech",
     ),
 )
 def clip_overlap(spark, sf_dir):
-    clips = b.frames(spark, sf_dir).where("n % 5 = 0").select("video_id", F.col("pts_time").alias("t"))
+    clips = b.frames(spark, sf_dir).select("video_id", F.col("pts_time").alias("t"))
     return ops.clip_overlap(clips, b.speech(spark, sf_dir), b.DAY)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from io import BytesIO
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FRAME_MAP = {"video_id": "string", "n": "int", "pts_time": "double", "fps": "double", "frame_idx": "bigint"}
@@ -131,15 +131,24 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return check_truth(spark.read.schema(TRUTH).option("mode", "FAILFAST").json(path)).withColumn("gt_events", events)
 
 
+def csv_cells(line: Column) -> Column:
+    """The cells of a line, however many; quoted ones without their quotes, empty ones as empty strings."""
+    raw = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+    return F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def parse_submission_lines(lines: DataFrame) -> DataFrame:
-    """query_id, task, rank, line -> video_id, frame_ids, answer; blank lines are dropped before ranks are given."""
+    """query_id, task, rank, line -> video_id, frame_ids, answer; blank lines are dropped before ranks are given.
+
+    Lines of any number of frames are read whole; one whose video or frames
+    have an empty cell or no number fails the job.
+    """
     full = lines.where(F.trim("line") != "").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "task").orderBy("rank")))
-    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(64))), {"escape": '"'})
-    full = full.withColumn("_c", cells)
-    parts = F.filter(F.array(*[F.col(f"_c.c{i}") for i in range(64)]), lambda c: c.isNotNull())
-    full = full.withColumn("_p", parts)
+    full = full.withColumn("_p", csv_cells(F.col("line")))
     frames = F.when(F.col("task") == "trake", F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))).otherwise(F.slice("_p", 2, 1))
-    return full.select("query_id", "task", "rank", F.col("_p")[0].alias("video_id"), F.transform(frames, lambda f: f.cast("bigint")).alias("frame_ids"), F.when(F.col("task") == "qa", F.col("_c.c2")).alias("answer"))
+    bad = (F.trim(F.col("_p")[0]) == "") | F.exists(frames, lambda f: ~F.trim(f).rlike("^-?[0-9]+$"))
+    frames = F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.col("line"))).cast("array<bigint>")).otherwise(F.transform(frames, lambda f: F.trim(f).cast("bigint")))
+    return full.select("query_id", "task", "rank", F.col("_p")[0].alias("video_id"), frames.alias("frame_ids"), F.when(F.col("task") == "qa", F.get("_p", F.lit(2))).alias("answer"))
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,24 @@ def submission_file_name() -> F.Column:
 
 
 def write_submission(lines: DataFrame, path: str) -> None:
-    """lines: query_id, task, rank, line. A folder for each query and task, its lines in order of rank, without header."""
+    """lines: query_id, task, rank, line. A file query-<id>-<task>.csv for each query and task, its lines in order of rank, without header.
+
+    Spark writes a folder for each file; when all are there, the files get
+    their names, so a failed job leaves no half of a submission.
+    """
+    staged = f"{path}/_staged"
     dealt = lines.where("line is not null").repartition("query_id", "task").sortWithinPartitions("query_id", "task", "rank")
-    dealt.select("query_id", "task", "line").write.mode("overwrite").option("lineSep", "\n").partitionBy("query_id", "task").text(path)
+    dealt = dealt.select(submission_file_name().alias("file"), "line")
+    dealt.write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", 0).partitionBy("file").text(staged)
+    spark = lines.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(folder(f"{staged}/file=*/part-*")) or []:
+        name = unquote(part.getPath().getParent().getName().removeprefix("file="))
+        target = folder(f"{path}/{name}")
+        fs.delete(target, False)
+        fs.rename(part.getPath(), target)
+    fs.delete(folder(staged), True)
 
 
 def run_log(summary: DataFrame, rows: DataFrame, top: int = 10) -> DataFrame:

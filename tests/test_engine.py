@@ -307,7 +307,7 @@ def test_sinks_and_readers(spark, tmp_path):
 
     lines = spark.createDataFrame([("q1", "kis", k, f"A,{k}") for k in range(1, 6)], "query_id string, task string, rank int, line string")
     sinks.write_submission(lines, f"{tmp_path}/out")
-    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out/query_id=q1/task=kis").collect()] == [f"A,{k}" for k in range(1, 6)]
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out/query-q1-kis.csv").collect()] == [f"A,{k}" for k in range(1, 6)]
     sinks.append_log(lines.limit(1), f"{tmp_path}/log")
     sinks.append_log(lines.limit(2), f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 3
@@ -338,3 +338,39 @@ def test_no_python_in_plans(spark, sf_dir):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert ("MapInPandas" in QUERIES["F17_end_to_end"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_submission_round_trip(spark, tmp_path):
+    """Named files, in order of rank, with more frames than any fixed width; malformed lines fail."""
+    many = ",".join(map(str, range(200)))
+    lines = [("a b", "kis", 2, "V1,8"), ("a b", "kis", 1, "V1,7"), ("7", "trake", 1, f"V2,{many}"), ("8", "qa", 1, 'V3,9,"x, ""y"""')]
+    path = str(tmp_path / "out")
+    sinks.write_submission(spark.createDataFrame(lines, "query_id string, task string, rank int, line string"), path)
+    assert {f for f in os.listdir(path) if f.endswith(".csv") and not f.startswith(".")} == {"query-a b-kis.csv", "query-7-trake.csv", "query-8-qa.csv"}
+    assert (tmp_path / "out" / "query-7-trake.csv").read_text() == f"V2,{many}\n"
+    df = spark.createDataFrame(lines, "query_id string, task string, rank int, line string")
+    got = {(r["query_id"], r["rank"]): (r["video_id"], r["frame_ids"], r["answer"]) for r in readers.parse_submission_lines(df).collect()}
+    assert got["7", 1] == ("V2", list(range(200)), None) and got["8", 1] == ("V3", [9], 'x, "y"') and got["a b", 1] == ("V1", [7], None)
+    for bad in ("V,,7,8", "V,x", ",7"):
+        df = spark.createDataFrame([("1", "trake", 1, bad)], "query_id string, task string, rank int, line string")
+        with pytest.raises(Exception, match="malformed line"):
+            readers.parse_submission_lines(df).collect()
+
+
+def test_compatibility_forms_are_folded(spark):
+    import unicodedata
+
+    cases = ["１２ ½ … ㎏ ①", "ﬁne Ǆ", "Phở", "x²"]
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for r in df.select("t", tx.fold(F.col("t")).alias("f")).collect():
+        assert r["f"] == "".join(c for c in unicodedata.normalize("NFKD", r["t"]) if not unicodedata.combining(c)).lower()
+
+
+def test_search_without_queries_and_phrases_of_keywords(spark):
+    v = spark.createDataFrame([("V", 1, [1.0, 0.0]), ("V", 2, None)], "video_id string, n int, embedding array<double>")
+    assert ve.knn_topk(v, spark.createDataFrame([], "query_id long, embedding array<double>"), 5).count() == 0
+    assert ve.knn_topk(v, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>"), 5).count() == 1
+    texts = spark.createDataFrame([("V", 1, 1, "Phở Hà Nội 2005"), ("V", 2, 2, "phohanoi ab"), ("V", 3, 3, None)], "video_id string, n int, frame_idx int, text string")
+    for keyword, want in (("pho ha noi", {1}), ("hano", {2}), ("a", {1, 2}), ("pho", {1, 2}), ("--", set())):
+        found = un.keyword_search(texts, spark.createDataFrame([(1, keyword)], "query_id long, keyword string"), 9)
+        assert {r["n"] for r in found.collect()} == want, keyword
