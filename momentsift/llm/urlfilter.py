@@ -2,7 +2,8 @@
 
 The tokens of a URL fetch the rules filed under them; only those rules run
 their regular expression. How rare a rule's tokens are is counted over all
-URLs. Everything is a DataFrame expression on one pass over the rows.
+URLs. Rules are a table: few of them become a literal map in one pass over the
+rows, more are joined by token. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +52,10 @@ HOST_RULES = (
 WORD_RULES = tuple(word_rule("block", w) for w in ("casino", "porn", "xxx", "phishing", "malware", "adserver", "doubleclick"))
 
 
+#: Rules up to this many are looked up in place; more are joined. Both give the same rows.
+LITERAL_RULES = 500
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty without ``://``."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
@@ -64,47 +69,75 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.concat(host, path)), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def token_frequencies(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
-    """In how many URLs each token of a rule stands; as many rows as the rules have tokens."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    found = urls.select(F.explode("tokens").alias("token")).where(F.col("token").isin(wanted))
-    return dict.fromkeys(wanted, 0) | {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """name, verdict, pattern, tokens, is_host: what ``judge_urls`` takes, and what a stored list of rules holds."""
+    rows = [(r.name, r.verdict, r.pattern, list(r.tokens), r.is_host) for r in rules]
+    return spark.createDataFrame(rows, "name string, verdict string, pattern string, tokens array<string>, is_host boolean")
+
+
+def filed_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """token, rule (is_host, size, name, verdict, pattern): each rule under its rarest token; ties: the first in its own order."""
+    mine = rules.select(
+        F.struct("is_host", F.length("name").alias("size"), "name", "verdict", "pattern").alias("rule"), F.posexplode("tokens").alias("place", "token")
+    )
+    wanted = mine.select("token").distinct()
+    found = urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    ranked = mine.join(found, "token", "left").select("rule", "token", F.struct(F.coalesce("n", F.lit(0)), "place").alias("by"))
+    return ranked.groupBy("rule").agg(F.min_by("token", "by").alias("token"))
+
+
+def _best(rule: Column) -> Column:
+    return F.struct(rule["is_host"].alias("is_host"), rule["size"].alias("size"), rule["name"].alias("name"), rule["verdict"].alias("verdict"))
+
+
+def fit_in_place(parts: DataFrame, filed: DataFrame) -> DataFrame:
+    """Adds ``fit``, the best rule that fits, with the index as a literal map: nothing moves. For few rules only."""
+    index: dict[str, list] = {}
+    for r in filed.collect():
+        index.setdefault(r["token"], []).append(r["rule"])
+    if not index:
+        return parts.withColumn("fit", F.lit(None).cast("struct<is_host: boolean, size: int, name: string, verdict: string>"))
+    as_struct = lambda r: F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()])
+    filed_map = F.create_map(*[x for t, rs in index.items() for x in (F.lit(t), F.array(*map(as_struct, rs)))])
+    candidates = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(filed_map, t)), lambda c: c.isNotNull()))
+    fits = F.filter(candidates, lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))
+    return parts.withColumn("fit", F.array_max(F.transform(fits, _best)))
 
 
-def rule_index(rules: tuple[Rule, ...], frequency: dict[str, int]) -> dict[str, list[Rule]]:
-    """Each rule under its rarest token (ties: the first in its own order)."""
-    index: dict[str, list[Rule]] = {}
-    for rule in rules:
-        index.setdefault(min(rule.tokens, key=frequency.__getitem__), []).append(rule)
-    return index
+def fit_by_join(parts: DataFrame, filed: DataFrame) -> DataFrame:
+    """Adds ``fit`` by a join of tokens, for any number of rules: each distinct URL meets the rules filed under its tokens once."""
+    urls = parts.select("host", "path", "tokens").distinct()
+    candidates = urls.select("host", "path", F.explode("tokens").alias("token")).join(filed, "token")
+    fits = candidates.where(F.regexp_like(F.concat("host", "path"), F.col("rule.pattern")))
+    fits = fits.groupBy("host", "path").agg(F.max(_best(F.col("rule"))).alias("fit"))
+    return parts.join(fits, ["host", "path"], "left")
 
 
 def judge_urls(
     pages: DataFrame,
-    rules: tuple[Rule, ...] = HOST_RULES + WORD_RULES,
+    rules: DataFrame | tuple[Rule, ...] = HOST_RULES + WORD_RULES,
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
+    literal_rules: int = LITERAL_RULES,
 ) -> DataFrame:
     """One row per row: ``id_col``, host, path, rule, verdict, word_rule.
 
+    ``rules`` is a table as ``rule_table`` makes it, of any size, or a tuple.
     The longest host rule that fits decides; else a word rule; else ``default``.
-    Null URLs and those without ``://`` have empty host and path and get
-    ``default``. Repeated rows are judged each; an empty table gives no rows.
+    Rules of equal length are told apart by name, then verdict. Null URLs and
+    those without ``://`` have empty host and path and get ``default``. Long
+    URLs are read whole; other columns of ``pages``, whatever their names, are
+    not read. Repeated rows are judged each; an empty table gives no rows, and
+    without rules every URL gets ``default``. A rule without tokens never fits.
     """
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(pages.sparkSession, rules)
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     parts = parts.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
-    index = rule_index(rules, token_frequencies(parts, rules))
-    as_struct = lambda r: F.struct(
-        F.lit(r.is_host).alias("is_host"), F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"),
-        F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"),
-    )
-    filed = F.create_map(*[x for t, rs in index.items() for x in (F.lit(t), F.array(*map(as_struct, rs)))])
-    candidates = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(filed, t)), lambda c: c.isNotNull()))
-    target = F.concat("host", "path")
-    fits = F.filter(candidates, lambda r: F.regexp_like(target, r["pattern"]))
-    judged = parts.withColumn("fit", F.array_max(F.transform(fits, lambda r: F.struct(r["is_host"], r["size"], r["name"], r["verdict"]))))
+    few = rules.limit(literal_rules + 1).count() <= literal_rules
+    judged = (fit_in_place if few else fit_by_join)(parts, filed_rules(parts, rules))
     is_host = F.coalesce(F.col("fit.is_host"), F.lit(False))
     return judged.select(
         F.col("id").alias(id_col),

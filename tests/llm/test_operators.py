@@ -357,6 +357,27 @@ def test_url_rules(spark, sf_dir):
     assert urlfilter.judge_urls(rows.where("false")).count() == 0
 
 
+def test_url_rules_by_join(spark, sf_dir):
+    """Rules from a stored table, joined by token, give the rows that the literal map gives."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    long_url = "http://long.example.com/en/" + "segment/" * 20_000 + "porn/x"
+    odd = [None, "", "http://example.com/en/casino", "http://a.example.org/porn/xxx", "http://a.example.org/porn/xxx", "http://r7.org/a", "http://org/", long_url]
+    extra = spark.createDataFrame(list(enumerate(odd, 10**6)), "page_id long, url string")
+    many = [urlfilter.host_rule("block", f"r{k}.org") for k in range(900)] + [urlfilter.word_rule("block", f"word{k}") for k in range(300)]
+    rules = urlfilter.rule_table(spark, urlfilter.HOST_RULES + urlfilter.WORD_RULES + tuple(many))
+    rows = pages.unionByName(extra).withColumn("host", F.lit("clash")).withColumn("tokens", F.lit(1)).withColumn("fit", F.lit(2))
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=str)
+    joined = ordered(urlfilter.judge_urls(rows, rules))
+    assert joined == ordered(urlfilter.judge_urls(rows, rules, literal_rules=2000))
+    assert len(joined) == rows.count()
+    by_id = {r[0]: r for r in joined}
+    assert by_id[10**6 + 5][3:5] == ("r7.org/", "block") and by_id[10**6 + 6][3:] == (None, "allow", None)
+    assert by_id[10**6 + 2][3:5] == ("example.com/en/", "block") and by_id[10**6 + 7][3:5] == ("example.com/en/", "block")
+    assert by_id[10**6 + 3][3:] == by_id[10**6 + 4][3:] == (None, "block", "porn")
+    assert {r[4] for r in ordered(urlfilter.judge_urls(extra, rules.where("false")))} == {"allow"}
+    assert urlfilter.judge_urls(rows.where("false"), rules).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site">Site</header><nav><ul><li><a href="/x">menu</a></li></ul></nav><div class="ad">buy {0}</div><!-- <p>no</p> -->
 <article><h1>Head {0}</h1><p><b>First&nbsp;&lt;{0}&gt;<br>line<p>second <i>it</i>alic  {1}</p><div class="comments"><p>reader {0}</p></div><form>f<input value="a>b"></form></article>
