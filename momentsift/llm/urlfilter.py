@@ -75,13 +75,19 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, verdict string, pattern string, tokens array<string>, is_host boolean")
 
 
-def filed_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """token, rule (is_host, size, name, verdict, pattern): each rule under its rarest token; ties: the first in its own order."""
+def filed_rules(urls: DataFrame, rules: DataFrame, few: bool) -> DataFrame:
+    """token, rule (is_host, size, name, verdict, pattern): each rule under its rarest token; ties: the first in its own order.
+
+    Tokens are counted before they move, so a common one is a few rows. Where
+    the rules are few their tokens are broadcast and others are not counted.
+    """
     mine = rules.select(
         F.struct("is_host", F.length("name").alias("size"), "name", "verdict", "pattern").alias("rule"), F.posexplode("tokens").alias("place", "token")
     )
-    wanted = mine.select("token").distinct()
-    found = urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    found = urls.select(F.explode("tokens").alias("token"))
+    if few:
+        found = found.join(F.broadcast(mine.select("token").distinct()), "token", "left_semi")
+    found = found.groupBy("token").agg(F.count("*").alias("n"))
     ranked = mine.join(found, "token", "left").select("rule", "token", F.struct(F.coalesce("n", F.lit(0)), "place").alias("by"))
     return ranked.groupBy("rule").agg(F.min_by("token", "by").alias("token"))
 
@@ -137,7 +143,7 @@ def judge_urls(
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     parts = parts.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     few = rules.limit(literal_rules + 1).count() <= literal_rules
-    judged = (fit_in_place if few else fit_by_join)(parts, filed_rules(parts, rules))
+    judged = (fit_in_place if few else fit_by_join)(parts, filed_rules(parts, rules, few))
     is_host = F.coalesce(F.col("fit.is_host"), F.lit(False))
     return judged.select(
         F.col("id").alias(id_col),
