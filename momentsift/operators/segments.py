@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +88,50 @@ def check_segments(segments: DataFrame, file_video: Column) -> DataFrame:
     return segments.select("video_id", "seg", F.explode(found).alias("problem"))
 
 
+def ordered_sha256(rows: DataFrame, key: str, order: list[str], value: Column, between: str = "") -> DataFrame:
+    """_key, sha256 over the values of a key in their order, joined by ``between``; null values are left out.
+
+    Sorted rows pass through one digest at a time, so a group of any size needs
+    no more memory than a batch.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        current, digest, kind = None, None, None
+        for batch in batches:
+            keys, hashes, kind = [], [], batch.schema.field("_key").type
+            for k, v in zip(batch.column("_key").to_pylist(), batch.column("_value").to_pylist(), strict=True):
+                if digest is None or k != current:
+                    if digest is not None:
+                        keys.append(current)
+                        hashes.append(digest.hexdigest())
+                    current, digest = k, sha256()
+                else:
+                    digest.update(between.encode())
+                digest.update(v.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(hashes, pa.string())], ["_key", "sha256"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([current], kind), pa.array([digest.hexdigest()])], ["_key", "sha256"])
+
+    valued = rows.select(F.col(key).alias("_key"), *order, value.alias("_value")).where("_value is not null")
+    placed = valued.repartition("_key").sortWithinPartitions("_key", *order, "_value").select("_key", "_value")
+    return placed.mapInArrow(run, f"_key {rows.schema[key].dataType.simpleString()}, sha256 string")
+
+
+def with_sha256(counts: DataFrame, key: str, digests: DataFrame) -> DataFrame:
+    """Counts per key with its digest, that of the empty text where no value was hashed; a null key is a key."""
+    joined = counts.join(digests, counts[key].eqNullSafe(digests["_key"]), "left").drop("_key")
+    return joined.withColumn("sha256", F.coalesce("sha256", F.sha2(F.lit(""), 256)))
+
+
 def segment_manifest(segments: DataFrame) -> DataFrame:
     """Per video: rows, rows with text, first start and last end of these, engines, SHA-256 of the texts in order."""
     t = has_text()
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seg", "text"))), lambda x: x["text"]), "\n")
-    return segments.groupBy("video_id").agg(
+    counts = segments.groupBy("video_id").agg(
         F.count("*").alias("rows"), F.count_if(t).alias("rows_with_text"), F.min(F.when(t, F.col("start"))).alias("first_start"),
-        F.max(F.when(t, F.col("end_sec"))).alias("last_end"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"), F.sha2(joined, 256).alias("sha256"),
+        F.max(F.when(t, F.col("end_sec"))).alias("last_end"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"),
     )
+    return with_sha256(counts, "video_id", ordered_sha256(segments, "video_id", ["start", "seg"], F.col("text"), "\n"))
 
 
 def stratified_sample(segments: DataFrame, k: int, group: Column, seed: str = "7") -> DataFrame:
@@ -130,11 +168,11 @@ def throughput(log: DataFrame) -> DataFrame:
 def file_manifest(files: DataFrame) -> DataFrame:
     """files: folder, name, content (binary) -> per folder files, bytes, SHA-256 over names and file hashes in name order.
 
-    Contents are hashed where they lie; only their hashes are gathered.
+    Contents are hashed where they lie; only names and hashes move.
     """
     hashed = files.select("folder", "name", F.length("content").alias("bytes"), F.sha2("content", 256).alias("hash"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "hash"))), lambda x: F.concat(x["name"], x["hash"])), "")
-    return hashed.groupBy("folder").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(listed, 256).alias("sha256"))
+    counts = hashed.groupBy("folder").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return with_sha256(counts, "folder", ordered_sha256(hashed, "folder", ["name"], F.concat("name", "hash")))
 
 
 def pending_work(items: DataFrame, done: DataFrame, key: str, prefix: str = "", limit: int | None = None) -> DataFrame:

@@ -107,10 +107,21 @@ def parse_queries(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, row (from 1), value of every line; order is that of the file, so a file is read as one value."""
-    whole = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    return whole.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("row", "value")).withColumn("row", F.col("row") + 1)
+    """file, row (from 1), value of every line, numbered in the order of its file.
+
+    A file is read in splits: lines are numbered within their split and moved on
+    by what the splits before hold, so a file of any size needs no single task.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    # Spark gives the path as a URI, where a plus stands for itself.
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = raw.select(file.alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file", "split").agg(F.count("*").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    placed = lines.withColumn("row", F.row_number().over(Window.partitionBy("file", "split").orderBy("at"))).join(before, ["file", "split"])
+    value = F.regexp_replace("value", r"\r\z", "")
+    row = (F.col("row") + F.col("before")).alias("row")
+    return placed.select("file", row, value.alias("value")).withColumn("value", F.when(F.col("row") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -357,6 +357,47 @@ def test_submission_round_trip(spark, tmp_path):
             readers.parse_submission_lines(df).collect()
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Lines keep the order of their file over splits of 64 bytes, with a byte order mark, carriage returns and blanks."""
+    lines = [f"V{k:03d},{k}" if k % 7 else "" for k in range(1, 200)]
+    (tmp_path / "query-a b+c-kis.csv").write_bytes(("\ufeff" + "\r\n".join(lines) + "\r\n").encode())
+    (tmp_path / "query-2-kis.csv").write_text("W1,5")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "64")
+        found = readers.numbered_lines(spark, str(tmp_path))
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = sorted((r["row"], r["value"]) for r in found.where("file like '%a b+c-kis.csv'").collect())
+        ranked = {(r["query_id"], r["rank"]): r["frame_ids"] for r in readers.read_submissions(spark, str(tmp_path)).collect()}
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+    assert got == list(enumerate(lines, 1))
+    whole = [k for k in range(1, 200) if k % 7]
+    assert ranked == {("a b+c", r): [k] for r, k in enumerate(whole, 1)} | {("2", 1): [5]}
+
+
+def test_manifests_stream_their_groups(spark):
+    """Digests over sorted rows across batches; null keys and texts, ties, groups without a text, an empty table."""
+    from hashlib import sha256
+
+    data = [("A", float(k % 50), k, "e", f"t{k}", k + 1.0) for k in range(300)] + [("B", 1.0, 1, "e", None, 2.0), (None, 1.0, 1, None, "x", 2.0)]
+    schema = "video_id string, start double, seg int, engine string, text string, end_sec double"
+    df = spark.createDataFrame(data, schema).repartition(7)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r["video_id"]: (r["rows"], r["sha256"]) for r in sg.segment_manifest(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    text = "\n".join(t for _, _, t in sorted((s, n, t) for v, s, n, _, t, _ in data if v == "A"))
+    want = {"A": (300, text), "B": (1, ""), None: (1, "x")}
+    assert got == {k: (n, sha256(t.encode()).hexdigest()) for k, (n, t) in want.items()}
+    assert sg.segment_manifest(df.limit(0)).collect() == []
+
+
 def test_compatibility_forms_are_folded(spark):
     import unicodedata
 
