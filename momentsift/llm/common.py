@@ -72,7 +72,7 @@ def input_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """``mapInArrow`` with state made once per task: ``make()`` gives a function of a batch that returns columns."""
-    target = _arrow_schema(df.sparkSession, schema)
+    target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -121,7 +121,7 @@ def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[
     return df.mapInArrow(run, df.schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

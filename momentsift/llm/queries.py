@@ -13,6 +13,7 @@ from .common import Scratch, table
 from .exactdedup import EXACT_SQL, exact_groups
 from .htmltext import main_texts
 from .jaccardjoin import jaccard_components
+from .lexsearch import RANKED_SQL, ranked_documents
 from .merkle import MANIFEST_SQL, tampered_manifest
 from .packing import packed_documents
 from .pii import pii_spans
@@ -67,6 +68,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_lexsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,13 +82,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_pii, op2_packing, op3_toxicity, op4_exactdedup, op5_urlfilter,
         op6_htmltext, op7_secrets, op8_decontaminate, op9_jaccardjoin, op10_tokencount,
-        op12_merkle, pipeline,
+        op12_merkle, op13_lexsearch, pipeline,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exactdedup": EXACT_SQL, "op5_urlfilter": JUDGE_SQL, "op12_merkle": MANIFEST_SQL}
+    return {"op4_exactdedup": EXACT_SQL, "op5_urlfilter": JUDGE_SQL, "op12_merkle": MANIFEST_SQL, "op13_lexsearch": RANKED_SQL}
 
 
 # The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir); all but the last return the columns of ``docs``.
