@@ -13,6 +13,7 @@ from .common import Scratch, table
 from .exactdedup import EXACT_SQL, exact_groups
 from .htmltext import main_texts
 from .jaccardjoin import jaccard_components
+from .lmscore import language_scores
 from .lexsearch import RANKED_SQL, ranked_documents
 from .merkle import MANIFEST_SQL, tampered_manifest
 from .packing import packed_documents
@@ -64,6 +65,10 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
+def op11_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(table(spark, sf_dir, "documents"))
 
@@ -82,7 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_pii, op2_packing, op3_toxicity, op4_exactdedup, op5_urlfilter,
         op6_htmltext, op7_secrets, op8_decontaminate, op9_jaccardjoin, op10_tokencount,
-        op12_merkle, op13_lexsearch, pipeline,
+        op11_lmscore, op12_merkle, op13_lexsearch, pipeline,
     )
     return {f.__name__: f for f in ops}
 
