@@ -33,6 +33,8 @@ HEAD, STEPS = 65_536, 32
 LEAST = 3
 #: Preceding symbols and bits of a table, for words and for letters; together they bound what is broadcast (about 35 MB).
 WORD_ORDERS, WORD_BITS, LETTER_ORDERS, LETTER_BITS = 2, 19, 4, 18
+#: The most frequent words, the last of which is a context of its own.
+FREQUENT = 32
 #: Slots of a slice, as tasks send their counts.
 SLICE = 1024
 #: Symbols: words outside the head, the end of a text; the end of a word among letters.
@@ -75,7 +77,7 @@ class Language:
         self.head = [w for w, _ in head]
         self.counts = np.array([others, texts, *[n for _, n in head]], np.float64)
         letters = Counter(b for w, _ in head for b in w)
-        self.words = Mixture(Codes(self.counts + 0.5), WORD_ORDERS, WORD_BITS)
+        self.words = Mixture(Codes(self.counts + 0.5), WORD_ORDERS, WORD_BITS, range(2, 2 + min(FREQUENT, len(head))))
         self.letters = Mixture(Codes(np.array([letters[b] + 0.5 for b in range(256)] + [len(head) + 1.0])), LETTER_ORDERS, LETTER_BITS)
 
     def numbers(self) -> dict[bytes, int]:

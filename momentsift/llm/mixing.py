@@ -2,7 +2,8 @@
 
 A symbol is the bits of its Huffman code. Each bit is predicted from the counts
 that its code node has in contexts of 0, 1, ... preceding symbols (order 0 by
-the node itself, longer ones by a hash). A gate, chosen by how much the two
+the node itself, longer ones by a hash), and of the last frequent symbol, which
+tells the language or the kind of text from far behind. A gate, chosen by how much the two
 longest contexts have been seen, names the set of weights that adds up the
 predictors' log odds; the sum is refined by a table of what came of such sums.
 Weights are corrected after every chunk of a sequence, never within it, so that
@@ -57,13 +58,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Mixture:
-    """``orders`` contexts beyond order 0, each with 2 ** ``table_bits`` slots."""
+    """``orders`` contexts beyond order 0, and one of the last symbol in ``frequent``; each has 2 ** ``table_bits`` slots."""
 
-    def __init__(self, codes: Codes, orders: int, table_bits: int):
-        self.codes, self.orders, self.table_bits = codes, orders, table_bits
-        self.slots = codes.nodes + (orders << table_bits)
+    def __init__(self, codes: Codes, orders: int, table_bits: int, frequent: range = range(0)):
+        self.codes, self.orders, self.table_bits, self.frequent = codes, orders, table_bits, frequent
+        self.inputs = 1 + orders + bool(frequent)
+        self.slots = codes.nodes + ((self.inputs - 1) << table_bits)
         self.hashed_node = _mixed(codes.node.astype(np.uint32) + np.uint32(1))
-        self.weights = np.full((GATES, orders + 1), 1.0 / (orders + 1))
+        self.weights = np.full((GATES, self.inputs), 1.0 / self.inputs)
         self.refined = np.tile(1 / (1 + np.exp(-self._centres())), (GATES, 1))
 
     @staticmethod
@@ -86,8 +88,14 @@ class Mixture:
 
     def contexts(self, symbols: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """For each order a hash of the symbols before; ``first`` tells where sequences begin."""
-        before = np.arange(len(symbols)) - np.maximum.accumulate(np.where(first, np.arange(len(symbols)), 0))
-        hashes, h = [], np.zeros(len(symbols), np.uint32)
+        place = np.arange(len(symbols))
+        begin = np.maximum.accumulate(np.where(first, place, 0))
+        before, hashes, h = place - begin, [], np.zeros(len(symbols), np.uint32)
+        if self.frequent:
+            met = (symbols >= self.frequent.start) & (symbols < self.frequent.stop)
+            met[-1:] = False
+            last = np.maximum.accumulate(np.where(np.roll(met, 1), place - 1, -1))
+            hashes.append(_mixed(np.where(last >= begin, symbols[last] + 2, 1).astype(np.uint32) + np.uint32(7 << 20)))
         for m in range(1, self.orders + 1):
             last = np.zeros(len(symbols), np.uint32)
             last[m:] = symbols[:-m] + 2
@@ -124,7 +132,7 @@ class Mixture:
         otherwise all of them move ``self.weights``. ``met`` gathers what came of
         the sums, for the refining table.
         """
-        n, inputs = len(offsets) - 1, self.orders + 1
+        n, inputs = len(offsets) - 1, self.inputs
         sizes = np.diff(offsets)
         first = np.zeros(len(symbols), bool)
         first[offsets[:-1][sizes > 0]] = True
