@@ -21,15 +21,26 @@ def answers_single(hits: DataFrame, answers: DataFrame | None = None, limit: int
     return rows.withColumn("answer", F.lit(None).cast("string")) if answers is None else rows.join(answers.select("query_id", "answer"), "query_id", "left")
 
 
-def answers_sequence(hits: DataFrame, moments: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``moments`` hits of each video in order of time, videos by their best hit; and how many videos had too few."""
+def answers_sequence(hits: DataFrame, moments: int | DataFrame, pool: int = DEFAULT.sequence_candidates) -> tuple[DataFrame, DataFrame]:
+    """The first hits of each video among the best ``pool`` of its query, in order of time, videos by their best hit; and how many videos had too few.
+
+    ``moments``: how many hits a sequence has, or a table of query_id,
+    milestones. A video's first hits are a bounded selection for each key, made
+    before and after the shuffle; no list of a video's hits is ever ranked whole.
+    """
     per_video = Window.partitionBy("query_id", "video_id").orderBy("rank")
-    first = hits.withColumn("_at", F.row_number().over(per_video)).where(F.col("_at") <= moments)
+    near = hits.where(F.col("rank") <= pool)
+    if isinstance(moments, int):
+        near, most = near.withColumn("_want", F.lit(moments)), moments
+    else:
+        near = near.join(moments.select("query_id", F.col("milestones").alias("_want")), "query_id")
+        most = moments.agg(F.max("milestones")).first()[0] or 0
+    first = near.withColumn("_at", F.row_number().over(per_video)).where(F.col("_at") <= most).where(F.col("_at") <= F.col("_want"))
     listed = F.array_sort(F.collect_list(F.struct("pts_time", "rank", "frame_idx")))
-    per = first.groupBy("query_id", "video_id").agg(F.min("rank").alias("_best"), F.count("*").alias("_have"), listed.alias("_l"))
-    whole = per.where(F.col("_have") == moments).withColumn("rank", F.row_number().over(_by_query().orderBy("_best")))
+    per = first.groupBy("query_id", "video_id", "_want").agg(F.min("rank").alias("_best"), F.count("*").alias("_have"), listed.alias("_l"))
+    whole = per.where(F.col("_have") == F.col("_want")).withColumn("rank", F.row_number().over(_by_query().orderBy("_best")))
     rows = whole.select("query_id", "rank", "video_id", F.transform("_l", lambda x: x["frame_idx"]).alias("frame_ids"), F.lit(None).cast("string").alias("answer"))
-    return rows, per.groupBy("query_id").agg(F.count_if(F.col("_have") < moments).alias("short_videos"))
+    return rows, per.groupBy("query_id").agg(F.count_if(F.col("_have") < F.col("_want")).alias("short_videos"))
 
 
 def answer_key() -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from momentsift.params import DEFAULT, EPSILON
 
@@ -100,25 +105,38 @@ def source_mix(ranked: DataFrame, modes: dict[str, tuple[str, ...]], order: tupl
 def tag_by_window(ranked: DataFrame, window: float, cap: int | None = None, group: tuple[str, ...] = ("query_id", "video_id")) -> DataFrame:
     """Every candidate with a tag: kept, near (a kept one of its video is closer than ``window``) or cap.
 
-    Greedy by rank, so a fold over the candidates of one query and video, whose
-    number the candidate limit bounds. Exactly one window apart is kept.
+    Greedy by rank: the candidates of a query and video stream by in order of
+    rank, past a map of the kept ones by stretches of time just under one
+    window, each of which can hold one kept candidate only. So a candidate looks
+    into three of them, the time is linear, and no list of a video is gathered.
+    Exactly one window apart is kept; a candidate without a time is never near.
     """
-    others = [c for c in ranked.columns if c not in group]
-    listed = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("_r"), F.struct(*others).alias("row"))))
-    per = ranked.groupBy(*group).agg(listed.alias("_list"))
-    kind = ranked.select(F.struct(*others).alias("row")).schema["row"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<row:{kind},tag:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.filter(acc, lambda a: a["tag"] == "kept")
-        near = F.exists(kept, lambda a: F.abs(a["row"]["pts_time"] - x["row"]["pts_time"]) < window - EPSILON)
-        tag = F.when(near, "near").otherwise("kept")
-        if cap is not None:
-            tag = F.when(F.size(kept) >= cap, "cap").otherwise(tag)
-        return F.array_append(acc, F.struct(x["row"].alias("row"), tag.alias("tag")))
-
-    folded = per.select(*group, F.explode(F.aggregate("_list", none, step)).alias("_x"))
-    return folded.select(*group, "_x.row.*", "_x.tag")
+    reach = window - EPSILON
+    schema = StructType([*ranked.schema.fields, StructField("tag", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, n = None, {}, 0
+        for batch in batches:
+            names = list(zip(*[batch.column(c).to_pylist() for c in group], strict=True))
+            tags = []
+            for name, at in zip(names, batch.column("pts_time").to_pylist(), strict=True):
+                if name != now:
+                    now, kept, n = name, {}, 0
+                timed = at is not None and math.isfinite(at) and reach > 0
+                cell = math.floor(at / reach) if timed else None
+                if cap is not None and n >= cap:
+                    tags.append("cap")
+                elif timed and any(c in kept and abs(kept[c] - at) < reach for c in (cell - 1, cell, cell + 1)):
+                    tags.append("near")
+                else:
+                    tags.append("kept")
+                    n += 1
+                    if timed:
+                        kept[cell] = at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.string())], names=[*batch.schema.names, "tag"])
+
+    dealt = ranked.repartition(*group).sortWithinPartitions(*group, "rank")
+    return dealt.mapInArrow(run, schema)
 
 
 def thin_out(ranked: DataFrame, window: float, cap: int | None = None) -> DataFrame:

@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from momentsift.functions.text import fold
 from momentsift.operators.frames import number_frames
+from momentsift.operators.fulltext import TextIndex
+from momentsift.sources.files import exists, fingerprint
+from momentsift.sources.scratch import scratch_path
 
 #: Seconds of a dedupe window on this data, whose keyframes lie hours apart.
 WINDOW_SEC = 86_400.0
@@ -90,6 +94,25 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
+_INDEXES: dict[tuple[str, ...], str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str, name: str) -> TextIndex:
+    """The kept index of documents, speech or ocr; built when first asked for in an application, and again when a file of its table has changed."""
+    base = table(spark, sf_dir, "conversations" if name == "speech" else "documents")
+    at = (spark.sparkContext.applicationId, sf_dir, name, fingerprint(base))
+    if at not in _INDEXES or not exists(spark, _INDEXES[at]):
+        path = scratch_path(spark, f"index-{name}")
+        if name == "documents":
+            TextIndex(spark, path).build(base, "doc_id")
+        elif name == "speech":
+            TextIndex(spark, path).build(speech(spark, sf_dir).select(F.concat_ws(":", "video_id", F.col("seg").cast("string")).alias("segment"), "text"), "segment")
+        else:
+            TextIndex(spark, path).build(ocr(spark, sf_dir).select(F.struct("video_id", "n", "frame_idx").alias("frame"), "text"), "frame", fold=fold)
+        _INDEXES[at] = path
+    return TextIndex(spark, _INDEXES[at])
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as segments whose text repeats: video_id, start, end_sec, text."""
     return frames(spark, sf_dir).select("video_id", F.col("pts_time").alias("start"), (F.col("pts_time") + 1).alias("end_sec"), F.col("event_type").alias("text"))
@@ -123,6 +146,10 @@ SQL = {
   CAST(turn * 3 * 86400 + 2 * 86400 AS DOUBLE) AS end_sec, text, role AS engine FROM conversations)""",
     "blank": "blank AS (SELECT * REPLACE (CASE WHEN seg % 7 = 0 OR right(video_id, 1) = '0' THEN ' ' ELSE text END AS text) FROM speech)",
     "text_queries": r"text_queries AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), ' ') AS text FROM benchmark)",
+    "records": """records AS (SELECT item_id AS "row", NULL::VARCHAR AS query_id, CASE WHEN item_id % 3 = 0 THEN 'id' || item_id END AS id, '' AS text_en, CASE WHEN item_id % 2 = 0 THEN text END AS text,
+  CASE WHEN item_id % 5 <> 1 THEN '(1) a ( 2 ) ' || text END AS cau_hoi, CASE WHEN item_id % 6 = 0 THEN ' KIS ' END AS task, ['mô_tả', 'Hoi-Dap ', 'chuỗi_sự_kiện', 'other'][item_id % 4 + 1] AS loai_truy_van,
+  '' AS gt_answer, CASE WHEN item_id % 7 = 0 THEN 'x' END AS dap_an, NULL::VARCHAR AS cau_tra_loi, CASE WHEN item_id % 11 = 0 THEN 3 END AS so_moc_trake, 0 AS so_moc,
+  CASE WHEN item_id % 4 = 2 THEN ['a', 'b', 'c', 'd', 'e', 'f'] END AS cac_giai_doan FROM benchmark)""",
     "runs": "runs AS (SELECT video_id, pts_time AS start, pts_time + 1 AS end_sec, event_type AS text FROM frames)",
     "candidates": """candidates AS (SELECT event_id % 10 AS query_id, 'clip' AS source, video_id, n, frame_idx, pts_time, value AS score FROM coarse
   UNION ALL SELECT event_id % 10, 'ocr', video_id, n, frame_idx, pts_time, pts_time % 1000 FROM coarse WHERE n % 3 = 0)""",

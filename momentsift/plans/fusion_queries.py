@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from momentsift.operators import answers as an
 from momentsift.operators import fusion as ops
+from momentsift.operators.fulltext import bm25
 from momentsift.operators.vectors import knn_topk
 from momentsift.params import DEFAULT
 
 from . import bindings as b
 from .registry import query
+from .text_queries import MILESTONES, _bm25_sql, resolve_milestones
 from .vector_queries import KNN
 
 sql = b.sql
@@ -163,11 +165,11 @@ def asset_status(spark, sf_dir):
     return ops.asset_status(fused(spark, sf_dir), images, b.speech(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("hits"))
 
 
-_ANSWERS = "answers AS (SELECT item_id AS query_id, substr(text, 1, 12) AS answer FROM benchmark)"
+_ANSWERS = "answers AS (SELECT item_id AS query_id, text AS answer FROM benchmark)"
 
 
 def _answers(spark, sf_dir):
-    return b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("answer"))
+    return b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
 
 
 @query("F13_answers_single", sql(f"{KEPT}, {_ANSWERS} SELECT kept.query_id, rank, video_id, [frame_idx] AS frame_ids, answer FROM kept LEFT JOIN answers USING (query_id) WHERE rank <= 100", "candidates"))
@@ -189,6 +191,21 @@ def short_videos(spark, sf_dir):
     return an.answers_sequence(fused(spark, sf_dir), 3)[1]
 
 
+_POOL = f"""{_bm25_sql("doc_id", "documents", "a OR (any_all = 0 AND n_tok > 1)", DEFAULT.sequence_candidates).replace("SELECT query_id, rank, key AS doc_id", ", pool AS (SELECT query_id, rank, key AS doc_id", 1)}),
+  wanted AS ({MILESTONES}), placed AS (SELECT p.query_id, p.rank, milestones, video_id, frame_idx, pts_time, row_number() OVER (PARTITION BY p.query_id, video_id ORDER BY p.rank) AS k
+    FROM pool p JOIN ocr USING (doc_id) JOIN wanted w ON w.item_id = p.query_id),
+  seqs AS (SELECT query_id, video_id, milestones, min(rank) AS best, count(*) AS have, list(frame_idx ORDER BY pts_time, rank) AS frame_ids FROM placed WHERE k <= milestones GROUP BY 1, 2, 3)"""
+
+
+@query("F14_wide_pool", sql(f"{_POOL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rank, video_id, frame_ids FROM seqs WHERE have = milestones", "text_queries", "ocr", "records"))
+def wide_pool(spark, sf_dir):
+    """Whole passages searched with the pool of sequences, as many moments a video as each record asks for."""
+    hits = bm25(b.text_queries(spark, sf_dir), b.text_index(spark, sf_dir, "documents"), DEFAULT.sequence_candidates, key="doc_id")
+    placed = hits.join(b.ocr(spark, sf_dir).select("doc_id", "video_id", "n", "frame_idx", "pts_time"), "doc_id")
+    moments = resolve_milestones(spark, sf_dir).select(F.col("item_id").alias("query_id"), "milestones")
+    return an.answers_sequence(placed, moments)[0].select("query_id", "rank", "video_id", "frame_ids")
+
+
 def _rows(spark, sf_dir):
     """One row per ranked candidate of both sources; frames found by both come twice."""
     r = ranked(spark, sf_dir)
@@ -262,6 +279,6 @@ def run_summary(spark, sf_dir):
     return an.run_summary(found, hits, rows, ops.close_pairs(hits, W))
 
 
-@query("F19_export_picks", sql("SELECT query_id, rank, video_id || ',' || frame_idx AS line FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, n) AS rank FROM candidates WHERE source = 'clip') WHERE rank <= 100", "candidates"))
+@query("F19_export_picks", sql("SELECT query_id, rank, video_id || ',' || frame_idx AS line FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, n) AS rank FROM candidates) WHERE rank <= 100", "candidates"))
 def export_picks(spark, sf_dir):
-    return an.export_picks(b.candidates(spark, sf_dir).where("source = 'clip'"))
+    return an.export_picks(b.candidates(spark, sf_dir))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from momentsift.operators import answers as an
 from momentsift.operators import fusion as fu
 from momentsift.operators.segments import segment_manifest
-from momentsift.operators.understanding import normalise_queries
 from momentsift.sources import readers, sinks
 from momentsift.sources.scratch import scratch_path
 
@@ -15,15 +15,18 @@ from . import bindings as b
 from .evaluation_queries import FINALS, SCORED, VIEWS, recall_at_k
 from .fusion_queries import _RUN, KNN, _searched
 from .registry import query
-from .text_queries import records
+from .text_queries import NORMALISED, records
 
 sql = b.sql
 
 
-@query("S4_read_ocr_for_index", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 AND trim(text) <> ''")
+@query("S4_read_ocr_for_index", sql("SELECT video_id, n, frame_idx, text FROM ocr WHERE doc_id % 5 <> 0 AND trim(text) <> ''", "ocr"))
 def read_ocr_for_index(spark, sf_dir):
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"))
-    return readers.indexable_texts(docs)
+    """JSON lines of each video, every fifth text blank, read strictly."""
+    path = scratch_path(spark, "ocr_index")
+    o = b.ocr(spark, sf_dir).select("video_id", F.struct("video_id", "n", "frame_idx", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text")).alias("r"))
+    o.select("video_id", F.to_json("r").alias("value")).repartition("video_id").write.partitionBy("video_id").text(path)
+    return readers.read_ocr_for_index(spark, f"{path}/*").select("video_id", "n", "frame_idx", "text")
 
 
 @query("S5_read_asr_segments", sql("SELECT count(DISTINCT video_id) AS files, count(*) AS rows_read, count(*) FILTER (trim(text) <> '') AS rows_loaded FROM blank", "blank"))
@@ -34,16 +37,18 @@ def read_asr_segments(spark, sf_dir):
     return readers.read_asr_segments(spark, path)[1]
 
 
-@query(
-    "S6_read_queries",
-    """WITH r AS (SELECT item_id AS i, trim(CASE WHEN item_id % 2 = 0 THEN text WHEN item_id % 5 <> 1 THEN '(1) a ( 2 ) ' || text ELSE '' END) AS text FROM benchmark)
-    SELECT CASE WHEN i % 3 = 0 THEN 'id' || i ELSE 'q' || i END AS query_id, text, CASE WHEN text = '' THEN 'empty text' WHEN i % 4 = 3 AND i % 6 <> 0 THEN 'unknown task' END AS error FROM r""",
-)
+#: Records of one file in eight of the rows; what counts within it is the line.
+_FILED = """filed AS (SELECT * REPLACE (row_number() OVER (PARTITION BY "row" % 8 ORDER BY "row") AS "row") FROM records)"""
+
+
+@query("S6_read_queries", sql(f"WITH {_FILED}, {NORMALISED.replace('FROM records)', 'FROM filed)')} SELECT * FROM queries_", "records"))
 def read_queries(spark, sf_dir):
-    """Records as JSON lines, read as the file reader reads its lines."""
+    """Records of both dialects written as eight files of JSON lines and read from there."""
+    path = scratch_path(spark, "queries")
     r = records(spark, sf_dir)
-    lines = r.select("row", F.to_json(F.struct(*[c for c in r.columns if c != "row"])).alias("value"))
-    return normalise_queries(readers.parse_queries(lines)).select("query_id", "text", "error")
+    lines = r.select((F.col("row") % 8).alias("file"), "row", F.to_json(F.struct(*[c for c in r.columns if c != "row"])).alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "row").select("file", "value").write.option("maxRecordsPerFile", 0).partitionBy("file").text(path)
+    return readers.read_queries(spark, path)
 
 
 @query("S7_read_ground_truth", sql("SELECT CAST(query_id AS VARCHAR) AS query_id, CASE query_id % 3 WHEN 0 THEN 'kis' WHEN 1 THEN 'qa' ELSE 'trake' END AS task, gt_video_id, [gt_start, gt_end] AS gt_frame_range FROM truth", "truth"))
@@ -55,27 +60,64 @@ def read_ground_truth(spark, sf_dir):
     return readers.read_ground_truth(spark, path).select("query_id", "task", "gt_video_id", "gt_frame_range")
 
 
-@query("S8_read_submissions", sql("SELECT query_id, 'kis' AS task, rank, video_id, [frame_idx] AS frame_ids, CAST(NULL AS VARCHAR) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, n) AS rank FROM candidates WHERE source = 'clip') WHERE rank <= 100", "candidates"))
+@query("S8_read_submissions", sql("SELECT query_id, 'kis' AS task, rank, video_id, [frame_idx] AS frame_ids, CAST(NULL AS VARCHAR) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, n) AS rank FROM candidates) WHERE rank <= 100", "candidates"))
 def read_submissions(spark, sf_dir):
     """Exported lines written as named files and read back."""
     path = scratch_path(spark, "submissions")
-    lines = an.export_picks(b.candidates(spark, sf_dir).where("source = 'clip'"))
+    lines = an.export_picks(b.candidates(spark, sf_dir))
     sinks.write_submission(lines.withColumn("task", F.lit("kis")), path)
     return readers.read_submissions(spark, path).withColumn("query_id", F.col("query_id").cast("long"))
 
 
+@query("S9_read_vector_files", sql("SELECT video_id, n, vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS embedding, have = frames AS whole FROM vectors JOIN (SELECT video_id, count(*) AS have FROM vectors GROUP BY 1) USING (video_id) JOIN (SELECT video_id, count(*) AS frames FROM frames GROUP BY 1) USING (video_id)", "vectors"))
+def read_vector_files(spark, sf_dir):
+    """A .npy matrix of each video written and read by byte ranges, rows named by their place, and whether a file has as many as the frame map."""
+    path, v = scratch_path(spark, "vector_files"), b.vectors(spark, sf_dir)
+    sinks.write_vector_files(v.select("video_id", "n", "embedding"), path, 64)
+    read = readers.read_vector_files(spark, path, 64, readers.FOLDER, "part-*").withColumnRenamed("n", "place")
+    named = v.select("video_id", "n", "vec_id", F.row_number().over(Window.partitionBy("video_id").orderBy("n")).alias("place"))
+    frames = b.frames(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("frames"))
+    whole = read.groupBy("video_id").agg(F.count("*").alias("have")).join(frames, "video_id").select("video_id", (F.col("have") == F.col("frames")).alias("whole"))
+    rows = read.join(named, ["video_id", "place"]).join(whole, "video_id")
+    return rows.select("video_id", "n", "vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"), "whole")
+
+
+_VIDEO = "'V' || lpad(CAST(page_id AS VARCHAR), 4, '0')"
+
+
 @query(
     "S10_read_media_info",
-    sql("SELECT DISTINCT video_id FROM frames WHERE video_id NOT IN (SELECT 'V' || lpad(CAST(page_id AS VARCHAR), 4, '0') FROM pages WHERE page_id % 3 <> 0)", "frames"),
+    sql(
+        f"""SELECT 'record' AS kind, {_VIDEO} AS video_id, url AS title FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT 'unreadable', {_VIDEO}, NULL FROM pages WHERE page_id % 3 = 2
+        UNION ALL SELECT DISTINCT 'missing', video_id, NULL FROM frames WHERE video_id NOT IN (SELECT {_VIDEO} FROM pages WHERE page_id % 3 = 1)""",
+        "frames",
+    ),
 )
 def read_media_info(spark, sf_dir):
-    media = b.table(spark, sf_dir, "pages").where("page_id % 3 <> 0").select(F.concat(F.lit("V"), F.lpad(F.col("page_id").cast("string"), 4, "0")).alias("video_id"))
-    return readers.media_coverage(media, b.frames(spark, sf_dir))
-
-
-@query("S11_read_history", "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 30")
+    """A JSON document for two pages in three, every second one cut short: records, files that can't be read, and videos without a record."""
+    path = scratch_path(spark, "media")
+    page = b.table(spark, sf_dir, "pages").where("page_id % 3 <> 0")
+    body = F.to_json(F.struct(F.col("url").alias("title"), F.array(F.lit("a"), F.lit("b")).alias("keywords")))
+    name = F.concat(F.lit("V"), F.lpad(F.col("page_id").cast("string"), 4, "0")).alias("video_id")
+    page.select(name, F.when(F.col("page_id") % 3 == 2, F.substring(body, 1, 12)).otherwise(body).alias("value")).repartition("video_id").write.partitionBy("video_id").text(path)
+    media, bad = readers.read_media_info(spark, path, readers.FOLDER, "part-*")
+    gone = readers.media_coverage(media, b.frames(spark, sf_dir))
+    none = F.lit(None).cast("string").alias("title")
+    return media.select(F.lit("record").alias("kind"), "video_id", "title").unionByName(bad.select(F.lit("unreadable").alias("kind"), "video_id", none)).unionByName(gone.select(F.lit("missing").alias("kind"), "video_id", none))
+
+
+@query("S11_read_history", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '/' || event_id AS time, event_type AS query, CAST(event_id % 1000 AS INTEGER) AS n_results FROM events WHERE event_id % 7 <> 0 ORDER BY ts DESC, event_id DESC LIMIT 30")
 def read_history(spark, sf_dir):
-    return readers.latest(b.table(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "event_type", "value")
+    """Events as a log in three appended parts, every seventh line cut short; its last records come from the newest files only."""
+    path, e = scratch_path(spark, "history"), b.table(spark, sf_dir, "events")
+    third = e.agg(F.percentile_approx("ts", [0.33, 0.66]).alias("p")).first()["p"]
+    time = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("/"), F.col("event_id").cast("string"))
+    record = F.struct(time.alias("time"), F.col("event_type").alias("query"), (F.col("event_id") % 1000).cast("int").alias("n_results"))
+    broken = F.when(F.col("event_id") % 7 == 0, F.substring(F.to_json(record), 1, 20)).otherwise(F.to_json(record))
+    for part in (F.col("ts") <= third[0], (F.col("ts") > third[0]) & (F.col("ts") <= third[1]), F.col("ts") > third[1]):
+        lines = e.where(part).repartitionByRange(8, "ts", "event_id").sortWithinPartitions("ts", "event_id").select(broken.alias("value"))
+        sinks.append_lines(lines, path)
+    return readers.read_history(spark, path).select("time", "query", "n_results")
 
 
 @query("S13_write_submission", sql(f"WITH {_RUN} SELECT 'query-' || query_id || '-kis.csv' AS file, rank AS place, video_id || ',' || frame_idx AS line FROM kept WHERE rank <= 100", "vectors", "vector_queries"))

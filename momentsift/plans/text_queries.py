@@ -58,10 +58,10 @@ def _posts(key: str, source: str) -> str:
 
 @query("T6_build_text_index", "WITH " + _posts("doc_id", "documents") + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT term, key, count(*) AS tf FROM posts GROUP BY 1, 2) GROUP BY 1")
 def build_text_index(spark, sf_dir):
-    return ft.term_statistics(ft.postings(docs(spark, sf_dir), "doc_id"))
+    return b.text_index(spark, sf_dir, "documents").term_statistics()
 
 
-def _bm25_sql(key: str, source: str, allowed: str) -> str:
+def _bm25_sql(key: str, source: str, allowed: str, k: int = 100) -> str:
     return f"""WITH {_posts(key, source)}, lens AS (SELECT {key} AS key, len({_terms("text")}) AS len FROM {source}), total AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
     words AS (SELECT query_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS tok, len(string_split(text, ' ')) AS n_tok FROM text_queries),
     toks AS (SELECT query_id, tok, n_tok, {_terms("w")}[1] AS term FROM words),
@@ -70,17 +70,17 @@ def _bm25_sql(key: str, source: str, allowed: str) -> str:
       FROM toks JOIN tfs USING (term) JOIN dfs USING (term) JOIN lens USING (key), total GROUP BY 1, 2, 3),
     flagged AS (SELECT *, n_hit = n_tok AS a, max(CASE WHEN n_hit = n_tok THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS any_all FROM per),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM flagged WHERE {allowed})
-    SELECT query_id, rank, key AS {key}, score, CASE WHEN a THEN 'all' ELSE 'any' END AS matched FROM ranked WHERE rank <= 100"""
+    SELECT query_id, rank, key AS {key}, score, CASE WHEN a THEN 'all' ELSE 'any' END AS matched FROM ranked WHERE rank <= {k}"""
 
 
 @query("T7_bm25_and", sql(_bm25_sql("doc_id", "documents", "a"), "text_queries"))
 def bm25_and(spark, sf_dir):
-    return ft.bm25(b.text_queries(spark, sf_dir), docs(spark, sf_dir), "doc_id", 100, fallback=False)
+    return ft.bm25(b.text_queries(spark, sf_dir), b.text_index(spark, sf_dir, "documents"), 100, fallback=False, key="doc_id")
 
 
 @query("T8_bm25_or_fallback", sql(_bm25_sql("doc_id", "documents", "a OR (any_all = 0 AND n_tok > 1)"), "text_queries"))
 def bm25_or_fallback(spark, sf_dir):
-    return ft.bm25(b.text_queries(spark, sf_dir), docs(spark, sf_dir), "doc_id", 100)
+    return ft.bm25(b.text_queries(spark, sf_dir), b.text_index(spark, sf_dir, "documents"), 100, key="doc_id")
 
 
 _SPEECH = "keyed AS (SELECT video_id || ':' || seg AS segment, text FROM speech)"
@@ -88,8 +88,7 @@ _SPEECH = "keyed AS (SELECT video_id || ':' || seg AS segment, text FROM speech)
 
 @query("T9_bm25_speech", sql(_bm25_sql("segment", "keyed", "a OR (any_all = 0 AND n_tok > 1)").replace("WITH ", f"WITH {_SPEECH}, ", 1), "speech", "text_queries"))
 def bm25_speech(spark, sf_dir):
-    keyed = b.speech(spark, sf_dir).select(F.concat_ws(":", "video_id", F.col("seg").cast("string")).alias("segment"), "text")
-    return ft.bm25(b.text_queries(spark, sf_dir), keyed, "segment", 100)
+    return ft.bm25(b.text_queries(spark, sf_dir), b.text_index(spark, sf_dir, "speech"), 100, key="segment")
 
 
 @query(
@@ -123,29 +122,45 @@ def is_screen_text(spark, sf_dir):
     "T13_filter_boxes",
     r"""WITH x AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\n'), lambda l: trim(l) <> '') AS lines FROM documents)
     SELECT doc_id, array_to_string(list_transform(list_filter(lines, lambda l, i: (length(l) * 7 + i) % 10 >= 4), lambda l: trim(l)), ' ') AS kept_text,
-      len(list_filter(lines, lambda l, i: (length(l) * 7 + i) % 10 >= 4)) AS kept, len(list_filter(lines, lambda l, i: (length(l) * 7 + i) % 10 < 4)) AS dropped FROM x WHERE len(lines) > 0""",
+      len(list_filter(lines, lambda l, i: (length(l) * 7 + i) % 10 >= 4)) AS kept, len(list_filter(lines, lambda l, i: (length(l) * 7 + i) % 10 < 4)) AS dropped FROM x WHERE len(lines) > 0
+    UNION ALL SELECT doc_id, text, 0, 0 FROM x WHERE coalesce(len(lines), 0) = 0""",
 )
 def filter_boxes(spark, sf_dir):
-    """Lines as boxes, whose confidence follows from their length and place."""
+    """Lines as boxes, whose confidence follows from their length and place; a text without lines has no boxes and stays as it is."""
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
     boxes = F.transform(lines, lambda t, i: F.struct(t.alias("text"), (((F.length(t) * 7 + i + 1) % 10) / 10.0).alias("conf")))
     text, kept, dropped = un.filter_boxes(boxes, F.col("text"))
-    return docs(spark, sf_dir).where(F.size(lines) > 0).select("doc_id", text.alias("kept_text"), kept.alias("kept"), dropped.alias("dropped"))
+    return docs(spark, sf_dir).select("doc_id", text.alias("kept_text"), kept.alias("kept"), dropped.alias("dropped"))
 
 
-@query(
-    "T14_keyword_search",
-    sql(
-        r"""WITH kw AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 5)) AS keyword FROM text_queries),
+def _keyword_sql(keywords: str) -> str:
+    return sql(
+        rf"""WITH kw AS (SELECT DISTINCT query_id, unnest({keywords}) AS keyword FROM (SELECT query_id, {_terms("text")} AS t FROM text_queries)),
         folded AS MATERIALIZED (SELECT video_id, n, frame_idx, strip_accents(lower(text)) || '' AS t FROM ocr),
         per AS (SELECT query_id, video_id, n, frame_idx, count(*) * 2 AS score FROM kw JOIN folded ON instr(t, keyword) > 0 GROUP BY query_id, video_id, n, frame_idx)
         SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, n) AS rank, video_id, n, frame_idx, score FROM per) WHERE rank <= 100""",
         "ocr", "text_queries",
-    ),
-)
+    )
+
+
+def _keyword_search(spark, sf_dir, keywords):
+    found = ft.keyword_search(keywords, b.text_index(spark, sf_dir, "ocr"), 100, ["key.video_id", "key.n"])
+    return found.select("query_id", "rank", "key.video_id", "key.n", "key.frame_idx", "score")
+
+
+@query("T14_keyword_search", _keyword_sql("list_filter(t, lambda x: length(x) >= 3)"))
 def keyword_search(spark, sf_dir):
-    kw = b.text_queries(spark, sf_dir).select("query_id", F.explode(F.filter(tx.terms(F.col("text")), lambda t: F.length(t) >= 5)).alias("keyword"))
-    return un.keyword_search(b.ocr(spark, sf_dir), kw, 100)
+    """All words of a passage that can be keywords (of three characters, as in T11)."""
+    kw = b.text_queries(spark, sf_dir).select("query_id", F.explode(F.filter(tx.terms(F.col("text")), lambda t: F.length(t) >= 3)).alias("keyword"))
+    return _keyword_search(spark, sf_dir, kw)
+
+
+@query("T14_keyword_phrases", _keyword_sql("list_transform(range(1, len(t) + 1, 3), lambda i: array_to_string(t[i:i + 2], ' '))"))
+def keyword_phrases(spark, sf_dir):
+    """Whole passages as keywords of three words each, the last of what is left."""
+    t = b.text_queries(spark, sf_dir).select("query_id", tx.terms(F.col("text")).alias("t")).where("size(t) > 0")
+    cut = F.transform(F.expr("sequence(1, size(t), 3)"), lambda i: F.array_join(F.slice("t", i, F.lit(3)), " "))
+    return _keyword_search(spark, sf_dir, t.select("query_id", F.explode(cut).alias("keyword")))
 
 
 @query(
@@ -175,34 +190,47 @@ def records(spark, sf_dir):
     )
 
 
-@query(
-    "T16_normalise_query",
-    """WITH r AS (SELECT item_id AS i, trim(CASE WHEN item_id % 2 = 0 THEN text WHEN item_id % 5 <> 1 THEN '(1) a ( 2 ) ' || text ELSE '' END) AS text,
-      CASE WHEN item_id % 6 = 0 THEN 'kis' ELSE ['kis', 'qa', 'trake', ''][item_id % 4 + 1] END AS task FROM benchmark)
-    SELECT CASE WHEN i % 3 = 0 THEN 'id' || i ELSE 'q' || i END AS query_id, task, text, CASE WHEN i % 7 = 0 THEN 'x' END AS gt_answer,
-      CASE WHEN i % 11 = 0 THEN 3 WHEN i % 4 = 2 THEN 6 WHEN starts_with(text, '(1) a') THEN 2 ELSE 4 END AS milestones,
-      CASE WHEN i % 11 = 0 THEN 'declared' WHEN i % 4 = 2 THEN 'stages' WHEN starts_with(text, '(1) a') THEN 'text' ELSE 'default' END AS origin,
-      CASE WHEN text = '' THEN 'empty text' WHEN task = '' THEN 'unknown task' END AS error FROM r""",
-)
+# Spellings of the tasks, as in the operator.
+_SPELLINGS = ", ".join(f"('{name}', '{task}')" for name, task in un.TASKS.items())
+_TASK = f"coalesce((SELECT min(t) FROM (VALUES {_SPELLINGS}) AS m(name, t) WHERE name = lower(trim(coalesce(loai_truy_van, '')))), '')"
+
+
+def _counted(text: str) -> str:
+    numbers = rf"list_transform(regexp_extract_all(coalesce({text}, ''), '\(\s*(\d+)\s*\)', 1), lambda x: TRY_CAST(x AS BIGINT))"
+    return f"CASE WHEN len({numbers}) >= 2 AND {numbers} = range(1, len({numbers}) + 1) THEN len({numbers}) END"
+
+
+def _milestones(declared: str, text: str) -> str:
+    """declared, staged and counted numbers, what is taken of them, and where it comes from."""
+    parts = f"SELECT *, nullif({declared}, 0) AS d, nullif(len(cac_giai_doan), 0) AS s, {_counted(text)} AS c"
+    return f"{parts}, CASE WHEN coalesce(d, s, c, 0) < 1 THEN 4 ELSE coalesce(d, s, c) END AS milestones, CASE WHEN coalesce(d, s, c, 0) < 1 THEN 'default' WHEN d IS NOT NULL THEN 'declared' WHEN s IS NOT NULL THEN 'stages' ELSE 'text' END AS origin"
+
+
+#: Records of the view ``records``, normalised, as ``queries_``.
+NORMALISED = f"""named AS (SELECT *, trim(coalesce(nullif(text_en, ''), nullif(text, ''), nullif(cau_hoi, ''), '')) AS said, CASE WHEN length(task) > 0 THEN lower(trim(task)) ELSE {_TASK} END AS kind FROM records),
+  queries_ AS (SELECT trim(coalesce(nullif(query_id, ''), nullif(id, ''), 'q' || "row")) AS query_id, kind AS task, said AS text, coalesce(nullif(gt_answer, ''), nullif(dap_an, ''), nullif(cau_tra_loi, '')) AS gt_answer,
+    CAST(milestones AS INTEGER) AS milestones, origin, CASE WHEN said = '' THEN 'empty text' WHEN kind NOT IN ('kis', 'qa', 'trake') THEN 'unknown task' END AS error FROM ({_milestones("coalesce(nullif(so_moc_trake, 0), so_moc)", "said")} FROM named))"""
+
+
+@query("T16_normalise_query", sql(f"WITH {NORMALISED} SELECT * FROM queries_", "records"))
 def normalise_query(spark, sf_dir):
     return un.normalise_queries(records(spark, sf_dir))
 
 
-@query("T17_map_task", "SELECT item_id, ['kis', 'qa', 'trake', ''][item_id % 4 + 1] AS task FROM benchmark")
+@query("T17_map_task", sql(f'SELECT "row" AS item_id, {_TASK} AS task FROM records', "records"))
 def map_task(spark, sf_dir):
     return records(spark, sf_dir).select(F.col("row").alias("item_id"), un.map_task(F.col("loai_truy_van")).alias("task"))
 
 
-@query("T18_count_milestones", "SELECT item_id, CASE WHEN item_id % 5 <> 1 THEN 2 END AS milestones FROM benchmark")
+@query("T18_count_milestones", sql(f'SELECT "row" AS item_id, CAST({_counted("cau_hoi")} AS INTEGER) AS milestones FROM records', "records"))
 def count_milestones(spark, sf_dir):
     return records(spark, sf_dir).select(F.col("row").alias("item_id"), un.count_milestones(F.col("cau_hoi")).alias("milestones"))
 
 
-@query(
-    "T19_resolve_milestones",
-    """SELECT item_id, CASE WHEN item_id % 11 = 0 THEN 3 WHEN item_id % 4 = 2 THEN 6 WHEN item_id % 5 <> 1 THEN 2 ELSE 4 END AS milestones,
-      CASE WHEN item_id % 11 = 0 THEN 'declared' WHEN item_id % 4 = 2 THEN 'stages' WHEN item_id % 5 <> 1 THEN 'text' ELSE 'default' END AS origin FROM benchmark""",
-)
+MILESTONES = f'SELECT "row" AS item_id, CAST(milestones AS INTEGER) AS milestones, origin FROM ({_milestones("so_moc_trake", "cau_hoi")} FROM records)'
+
+
+@query("T19_resolve_milestones", sql(MILESTONES, "records"))
 def resolve_milestones(spark, sf_dir):
     n, origin = un.resolve_milestones(F.col("so_moc_trake"), F.col("cac_giai_doan"), F.col("cau_hoi"))
     return records(spark, sf_dir).select(F.col("row").alias("item_id"), n.alias("milestones"), origin.alias("origin"))

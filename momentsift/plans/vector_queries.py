@@ -54,7 +54,17 @@ def knn_topk(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("C4_self_cosine_check", sql("SELECT video_id, n, 1.0::DOUBLE AS own_score, true AS ok FROM vectors WHERE vec_id % 100 = 0", "vectors"))
+@query(
+    "C4_self_cosine_check",
+    sql(
+        """WITH unit AS (SELECT video_id, n, vec_id, embedding::DOUBLE[] AS v, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM vectors),
+        pairs AS (SELECT q.video_id, q.n, list_dot_product(q.v, q.v) / list_sum(list_transform(q.v, lambda y: y * y)) AS own, list_dot_product(q.u, o.u) AS s, o.video_id = q.video_id AND o.n = q.n AS self,
+          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, o.u), 12) DESC, o.video_id, o.n) AS r FROM unit q, unit o WHERE q.vec_id % 100 = 0)
+        SELECT video_id, n, round(max(own), 6) AS own_score, CAST(min(r) FILTER (self AND r <= 10) AS INTEGER) AS own_rank,
+          max(own) >= 0.999 AND (count(*) FILTER (self AND r <= 10) > 0 OR max(s) FILTER (r <= 10) - max(own) <= 1e-4) AS ok FROM pairs GROUP BY 1, 2""",
+        "vectors",
+    ),
+)
 def self_cosine_check(spark, sf_dir):
     v = b.vectors(spark, sf_dir)
     return ops.self_cosine(v, v.where("vec_id % 100 = 0").select("video_id", "n"))

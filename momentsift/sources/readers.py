@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from io import BytesIO
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import file_paths
+
 FRAME_MAP = {"video_id": "string", "n": "int", "pts_time": "double", "fps": "double", "frame_idx": "bigint"}
 KEYFRAME_CSV = ("n", "pts_time", "fps", "frame_idx")
 OCR = "video_id string, n int, frame_idx bigint, text string, boxes array<struct<text: string, bbox: array<int>, conf: double>>, engine string, error string"
@@ -76,6 +78,20 @@ def read_ocr_for_index(spark: SparkSession, path: str) -> DataFrame:
     return indexable_texts(spark.read.schema(OCR).option("mode", "FAILFAST").json(path))
 
 
+def last_lines(spark: SparkSession, path: str, named_by: str = FILE_STEM) -> DataFrame:
+    """item, line: the last line that isn't blank of every file that has one; each split hands on one line only."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(stem(pattern=named_by).alias("item"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
+    return rows.where(F.trim("value") != "").groupBy("item").agg(F.max_by("value", "place").alias("line"))
+
+
+def finished_outputs(spark: SparkSession, path: str, required: tuple[str, ...], named_by: str = FILE_STEM) -> DataFrame:
+    """item, valid: is a file's last line a JSON object with the required keys? A file that was cut off breaks in its last line; empty files have none."""
+    record = F.try_parse_json("line")
+    keys = F.json_object_keys("line")
+    return last_lines(spark, path, named_by).select("item", F.coalesce(record.isNotNull() & F.forall(F.array(*map(F.lit, required)), lambda k: F.array_contains(keys, k)), F.lit(False)).alias("valid"))
+
+
 def checked_speech(segments: DataFrame, required: tuple[str, ...] = ("video_id", "start", "end_sec")) -> DataFrame:
     """Rows with text; one that lacks a required value fails the job."""
     spoken = indexable_texts(segments)
@@ -106,7 +122,7 @@ def parse_queries(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(F.trim(value) != "").where(valid).select("row", record.alias("r")).select("r.*", "row")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, row (from 1), value of every line, numbered in the order of its file.
 
     A file is read in splits: lines are numbered within their split and moved on
@@ -171,26 +187,60 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     return parse_submission_lines(named)
 
 
-def read_vector_files(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """One .npy matrix a file -> video_id, n (from 1), embedding as float32; another shape fails the job."""
-    import numpy as np
-    import pandas as pd
+def _byte_lines(spark: SparkSession, path: str, named_by: str, glob: str) -> DataFrame:
+    """video_id, at, bytes, size: the bytes of files between line ends, with their place in the file; a line end belongs to the line before it."""
+    raw = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    lines = raw.select(
+        stem(pattern=named_by).alias("video_id"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("bytes"),
+    ).withColumn("length", F.octet_length("bytes").cast("long") + 1)
+    ahead = Window.partitionBy("video_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("video_id", "split").agg(F.sum("length").alias("n")).select("video_id", "split", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    within = Window.partitionBy("video_id", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("at", F.coalesce(F.sum("length").over(within), F.lit(0))).join(before, ["video_id", "split"]).withColumn("at", F.col("at") + F.col("before"))
+    ended = F.col("at") + F.col("length") <= F.col("size")
+    return placed.select("video_id", "at", F.when(ended, F.concat("bytes", F.lit(b"\n"))).otherwise(F.col("bytes")).alias("bytes"), "size")
+
+
+def read_vector_files(spark: SparkSession, path: str, dim: int, named_by: str = FILE_STEM, glob: str = "*.npy") -> DataFrame:
+    """One .npy matrix a file -> video_id, n (from 1), embedding as float32; another shape, or fewer bytes than its header says, fails the job.
+
+    Headers are read once, one line of each file; the rest is cut by byte ranges
+    into rows, so a file of any size is many splits and no value holds it.
+    """
+    lines = _byte_lines(spark, path, named_by, glob)
+    text = F.decode("bytes", "ISO-8859-1")
+    found = lambda pattern: F.regexp_extract(text, pattern, 1)
+    heads = lines.where("at = 0").select(
+        "video_id", F.octet_length("bytes").cast("long").alias("head"), found(r"'descr': '([^']*)'").alias("kind"), found("'fortran_order': (True|False)").alias("fortran"),
+        found(r"'shape': \((\d+), ?\d+\)").try_cast("long").alias("rows"), found(r"'shape': \(\d+, ?(\d+)\)").try_cast("int").alias("dim"), "size", F.substring("bytes", 1, 6).alias("magic"),
+    )
+    width = F.lit(dim) * F.regexp_extract("kind", r"^[<|]f(\d)$", 1).try_cast("long")
+    sound = (F.col("magic") == F.lit(b"\x93NUMPY")) & (F.col("fortran") == "False") & (F.col("dim") == dim) & (F.col("head") + F.col("rows") * width <= F.col("size"))
+    said = F.concat(F.lit("not a whole matrix of (rows, "), F.lit(str(dim)), F.lit(") floats: "), "video_id")
+    heads = heads.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).select("video_id", "head", "kind", "rows", width.alias("width"))
+    body = lines.join(heads, "video_id").where(F.col("at") >= F.col("head")).withColumn("at", F.col("at") - F.col("head"))
+    last = F.least(F.expr("(at + octet_length(bytes) - 1) div width"), F.col("rows") - 1)
+    first = F.expr("at div width")
+    cut = body.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("at"), F.col("row") * F.col("width"))
+    end = F.least(F.col("at") + F.octet_length("bytes"), (F.col("row") + 1) * F.col("width"))
+    piece = F.substring("bytes", (start - F.col("at") + 1).cast("int"), (end - start).cast("int"))
+    pieces = cut.select("video_id", "row", "kind", F.struct(start.alias("start"), piece.alias("piece")).alias("p"))
+    whole = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(b""), lambda a, p: F.concat(a, p["piece"]))
+    rows = pieces.groupBy("video_id", "row").agg(F.first("kind").alias("kind"), whole.alias("bytes"))
 
     def run(batches):
-        for df in batches:
-            for name, content in zip(df["video_id"], df["content"], strict=True):
-                m = np.load(BytesIO(content), allow_pickle=False).astype(np.float32)
-                if m.ndim != 2 or m.shape[1] != dim:
-                    raise ValueError(f"{name}: shape {m.shape}, not (rows, {dim})")
-                yield pd.DataFrame({"video_id": name, "n": np.arange(1, len(m) + 1), "embedding": list(m)})
+        for b in batches:
+            values = [np.frombuffer(x, k.replace("|", "<")).astype(np.float32) for x, k in zip(b.column("bytes").to_pylist(), b.column("kind").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("video_id"), pa.array(b.column("row").to_numpy() + 1, pa.int32()), pa.array(values, pa.list_(pa.float32()))], names=["video_id", "n", "embedding"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    return files.select(stem("path").alias("video_id"), "content").mapInPandas(run, "video_id string, n int, embedding array<float>")
+    return rows.mapInArrow(run, "video_id string, n int, embedding array<float>")
 
 
-def read_media_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_media_info(spark: SparkSession, path: str, named_by: str = FILE_STEM, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """One JSON document a file -> records by video, and the files that can't be read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(stem("path").alias("video_id"), F.decode("content", "UTF-8").alias("body"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(stem("path", named_by).alias("video_id"), F.decode("content", "UTF-8").alias("body"))
     parsed = files.withColumn("ok", F.try_parse_json("body").isNotNull()).withColumn("m", F.from_json("body", MEDIA))
     return parsed.where("ok").select("video_id", "m.*"), parsed.where("not ok").select("video_id")
 
@@ -205,6 +255,17 @@ def latest(records: DataFrame, order: list[str], k: int = 30) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, k: int = 30) -> DataFrame:
-    """The last records, newest first; malformed lines are skipped."""
-    raw = spark.read.schema(HISTORY + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return latest(raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), ["time"], k)
+    """The last k records of a log whose files are named in order of time, newest first; malformed lines are skipped.
+
+    Files are opened from the newest backwards, twice as many each time, until
+    they hold k valid records.
+    """
+    files, take = file_paths(spark, path), 1
+    while True:
+        lines = numbered_lines(spark, files[-take:]) if files else spark.createDataFrame([], "file string, row long, value string")
+        good = lines.where(F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
+        if take >= len(files) or good.limit(k).count() >= k:
+            break
+        take *= 2
+    last = good.orderBy(F.desc("file"), F.desc("row")).limit(k)
+    return last.select(F.from_json("value", HISTORY).alias("r")).select("r.*")

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentsift.operators.frames import check_frame_map
 
+from .files import file_paths, folder_names, remove, rename, replace_table
+
 
 def write_frame_map(frames: DataFrame, path: str, strict: bool = True) -> DataFrame:
-    """Writes the table sorted by key within its files, and returns the checks; strict refuses a table with a problem."""
-    checks = check_frame_map(frames)
-    problems = [f"{r['check']}: {r['found']}" for r in checks.where("not ok").collect()]  # a row a rule
-    if problems and strict:
-        raise ValueError("frame map not written: " + "; ".join(problems))
-    frames.repartition("video_id").sortWithinPartitions("video_id", "n").write.mode("overwrite").parquet(path)
-    return checks
+    """Writes the table sorted by key within its files, and returns the checks of what was written; strict refuses a table with a problem.
+
+    The table is written beside the old one and checked there; only then it takes its place.
+    """
+    spark = frames.sparkSession
+
+    def check(staged: str) -> None:
+        problems = [f"{r['check']}: {r['found']}" for r in check_frame_map(spark.read.parquet(staged)).where("not ok").collect()]  # a row a rule
+        if problems and strict:
+            raise ValueError("frame map not written: " + "; ".join(problems))
+
+    replace_table(spark, path, lambda staged: frames.repartition("video_id").sortWithinPartitions("video_id", "n").write.parquet(staged), check)
+    return check_frame_map(spark.read.parquet(path))
 
 
 def submission_file_name() -> F.Column:
@@ -27,22 +39,25 @@ def submission_file_name() -> F.Column:
 def write_submission(lines: DataFrame, path: str) -> None:
     """lines: query_id, task, rank, line. A file query-<id>-<task>.csv for each query and task, its lines in order of rank, without header.
 
-    Spark writes a folder for each file; when all are there, the files get
-    their names, so a failed job leaves no half of a submission.
+    The order of a file's lines is one that the writer knows, so no sort follows
+    that could lose it. Spark writes a folder for each file; when all are there,
+    the files get their names beside the old submission, which they then replace
+    as a whole: a failed job leaves the old one.
     """
-    staged = f"{path}/_staged"
-    dealt = lines.where("line is not null").repartition("query_id", "task").sortWithinPartitions("query_id", "task", "rank")
-    dealt = dealt.select(submission_file_name().alias("file"), "line")
-    dealt.write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", 0).partitionBy("file").text(staged)
     spark = lines.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in fs.globStatus(folder(f"{staged}/file=*/part-*")) or []:
-        name = unquote(part.getPath().getParent().getName().removeprefix("file="))
-        target = folder(f"{path}/{name}")
-        fs.delete(target, False)
-        fs.rename(part.getPath(), target)
-    fs.delete(folder(staged), True)
+    named = lines.where("line is not null").select(submission_file_name().alias("file"), "rank", "line")
+    dealt = named.repartition("file").sortWithinPartitions("file", "rank").select("file", "line")
+
+    def write(staged: str) -> None:
+        dealt.write.option("lineSep", "\n").option("maxRecordsPerFile", 0).partitionBy("file").text(f"{staged}/_parts")
+        for folder in folder_names(spark, f"{staged}/_parts"):
+            parts = file_paths(spark, f"{staged}/_parts/{folder}")
+            if len(parts) != 1:
+                raise OSError(f"{folder} has {len(parts)} parts")
+            rename(spark, parts[0], f"{staged}/{unquote(folder.removeprefix('file='))}")
+        remove(spark, f"{staged}/_parts")
+
+    replace_table(spark, path, write)
 
 
 def run_log(summary: DataFrame, rows: DataFrame, top: int = 10) -> DataFrame:
@@ -54,24 +69,81 @@ def run_log(summary: DataFrame, rows: DataFrame, top: int = 10) -> DataFrame:
 
 
 def write_run_log(summary: DataFrame, rows: DataFrame, path: str, top: int = 10) -> None:
-    run_log(summary, rows, top).write.mode("overwrite").json(path)
+    replace_table(summary.sparkSession, path, lambda staged: run_log(summary, rows, top).write.json(staged))
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    scores.write.mode("overwrite").option("header", True).csv(path)
+    replace_table(scores.sparkSession, path, lambda staged: scores.write.option("header", True).csv(staged))
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.mode("overwrite").option("header", True).csv(path)
+    replace_table(manifest.sparkSession, path, lambda staged: manifest.write.option("header", True).csv(staged))
 
 
 def write_segments(segments: DataFrame, path: str, order: tuple[str, ...] = ("start", "end_sec")) -> None:
-    """JSON lines, a folder for each video, in order of time; a failed job leaves the old files."""
-    segments.repartition("video_id").sortWithinPartitions("video_id", *order).write.mode("overwrite").partitionBy("video_id").json(path)
+    """JSON lines, a folder for each video, in order of time; a job that fails anywhere leaves the old files."""
+    dealt = segments.repartition("video_id").sortWithinPartitions("video_id", *order)
+    replace_table(segments.sparkSession, path, lambda staged: dealt.write.partitionBy("video_id").json(staged))
 
 
 def append_log(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    """New files whose names go by time, so that the last records are found without opening the rest; they appear when all are written."""
+    append_lines(records.select(F.to_json(F.struct("*")).alias("value")), path)
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    """``append_log`` of lines (value) that are records already; the order of partitions and of their rows is kept."""
+    spark, at = lines.sparkSession, f"{time.time_ns():020d}"
+    staged = f"{path}/_staged-{at}"
+    try:
+        lines.write.text(staged)
+        for k, part in enumerate(file_paths(spark, staged)):
+            rename(spark, part, f"{path}/log-{at}-{k:06d}.json")
+    finally:
+        remove(spark, staged)
+
+
+def write_vector_files(vectors: DataFrame, path: str, dim: int) -> None:
+    """vectors: video_id, n, embedding -> a folder video_id=<id> with one float32 .npy matrix for each video, its rows in order of n.
+
+    A file's bytes stream by in order and leave as the lines that they happen to
+    have; one line end follows the matrix, which readers of the format ignore.
+    """
+    header = F.concat(F.lit("{'descr': '<f4', 'fortran_order': False, 'shape': ("), F.count("*").cast("string"), F.lit(f", {dim}), }}"))
+    heads = vectors.groupBy("video_id").agg(header.alias("head"))
+    schema = "video_id string, place long, line binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, place = None, b"", 0
+        out: list[tuple[str, int, bytes]] = []
+
+        def given() -> pa.RecordBatch:
+            names, places, lines = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(lines, pa.binary())], names=["video_id", "place", "line"])
+
+        for batch in batches:
+            for name, head, row in zip(*(batch.column(c).to_pylist() for c in ("video_id", "head", "embedding")), strict=True):
+                if name != now:
+                    if now is not None:
+                        out.append((now, place, rest))
+                    text = head.encode()
+                    size = -(-(len(text) + 11) // 64) * 64
+                    now, place, rest = name, 0, b"\x93NUMPY\x01\x00" + (size - 10).to_bytes(2, "little") + text.ljust(size - 11) + b"\n"
+                if len(row) != dim:
+                    raise ValueError(f"{name}: a vector of {len(row)} values, not {dim}")
+                *lines, rest = (rest + np.array(row, "<f4").tobytes()).split(b"\n")
+                out += [(name, place + k, x) for k, x in enumerate(lines)]
+                place += len(lines)
+            if out:
+                yield given()
+        if now is not None:
+            out.append((now, place, rest))
+            yield given()
+
+    rows = vectors.join(heads, "video_id").select("video_id", "n", "head", "embedding").repartition("video_id").sortWithinPartitions("video_id", "n")
+    lines = rows.mapInArrow(run, schema).sortWithinPartitions("video_id", "place").select("video_id", F.col("line").cast("string").alias("line"))
+    replace_table(vectors.sparkSession, path, lambda staged: lines.write.option("lineSep", "\n").option("maxRecordsPerFile", 0).partitionBy("video_id").text(staged))
 
 
 def sink_order(rows: DataFrame) -> DataFrame:
