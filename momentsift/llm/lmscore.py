@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_fold, input_rows, map_rows, release_memory, some_texts
-from .mixing import BUCKETS, GATES, Codes, Mixture
+from .mixing import BUCKETS, GATES, BitCounts, Codes, Mixture
 from .vocab import groups_by_bytes
 
 #: Remainder of the crc32 of an id that is held out; that of the training rows on which weights are learnt.
@@ -148,11 +148,11 @@ def bit_counts(language: Language, training: DataFrame, words: DataFrame) -> Non
     names = ("words", "letters")
     first = {"words": 0, "letters": 2 * (-(-2 * language.words.slots // SLICE))}
 
-    def slices(name: str, tables: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def slices(name: str, counted: list[BitCounts]) -> Iterator[tuple[int, np.ndarray]]:
         """Of two tables (fold of the weights or not) what isn't zero, in slices."""
-        per = -(-tables[0].size // SLICE)
         for fold in (0, 1):
-            flat = tables[fold].ravel()
+            flat = counted[fold].counts().ravel()
+            per = -(-flat.size // SLICE)
             for k in range(per):
                 piece = flat[k * SLICE : (k + 1) * SLICE]
                 if piece.any():
@@ -160,7 +160,7 @@ def bit_counts(language: Language, training: DataFrame, words: DataFrame) -> Non
 
     def of_texts(batches):
         own = shared.value
-        numbers, tables = own.numbers(), np.zeros((2, 2, own.words.slots), np.int32)
+        numbers, counted = own.numbers(), [BitCounts(own.words), BitCounts(own.words)]
         for batch in batches:
             folds = batch.column("fold").to_numpy()
             for a, b, texts in _text_groups(batch):
@@ -169,12 +169,12 @@ def bit_counts(language: Language, training: DataFrame, words: DataFrame) -> Non
                 begins = np.zeros(len(symbols), bool)
                 begins[offsets[:-1]] = True
                 for fold, mine in ((0, ~apart), (1, apart)):
-                    own.words.count(symbols[mine], begins[mine], tables[fold])
-        yield from slices("words", tables)
+                    counted[fold].add(symbols[mine], begins[mine])
+        yield from slices("words", counted)
 
     def of_words(batches):
         own = shared.value
-        head, tables = set(own.head), np.zeros((2, 2, own.letters.slots), np.int32)
+        head, counted = set(own.head), [BitCounts(own.letters), BitCounts(own.letters)]
         for batch in batches:
             for group in _word_groups(batch, head):
                 for fold in (0, 1):
@@ -182,8 +182,8 @@ def bit_counts(language: Language, training: DataFrame, words: DataFrame) -> Non
                     symbols, offsets = _as_letters(mine)
                     begins = np.zeros(len(symbols), bool)
                     begins[offsets[:-1]] = True
-                    own.letters.count(symbols, begins, tables[fold])
-        yield from slices("letters", tables)
+                    counted[fold].add(symbols, begins)
+        yield from slices("letters", counted)
 
     parts = _emitted(training.select("fold", "text"), of_texts).unionByName(_emitted(words.select(F.col("word").alias("text")), of_words))
     found = _summed(parts, np.int32)
@@ -287,8 +287,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out["n_known"] += np.add.reduceat(known[symbols].astype(np.int64), offsets[:-1]).tolist()
                 out["base"] += np.add.reduceat(base[symbols], offsets[:-1]).tolist()
                 out["bits"] += own.words.run(symbols, offsets, True)[0].tolist()
-                for w in words_:
-                    seen = Counter(x for x in w if x not in numbers)
+                for w, a in zip(words_, offsets.tolist(), strict=False):
+                    seen = Counter(w[k] for k in np.flatnonzero(symbols[a : a + len(w)] == OTHER).tolist())
                     out["others"].append([x.decode() for x in seen])
                     out["times"].append(list(seen.values()))
             return {c: batch.column(c) for c in ("row", "id", "fold", "n_bytes")} | out

@@ -21,8 +21,10 @@ import numpy as np
 #: What a count starts from; log odds at most; buckets of the refining table; classes of how often a context was seen.
 PRIOR, MOST, BUCKETS, SEEN = 0.4, 9.0, 24, (1, 4, 24)
 #: Symbols of a chunk; how far a chunk moves the weights, and the bits after which it moves them half as far.
-CHUNK, RATE, SLOW = 64, 4.0, 1500.0
+CHUNK, RATE, SLOW = 128, 4.0, 1500.0
 GATES = (len(SEEN) + 1) ** 2
+#: Symbols whose bits are counted at a time.
+PIECE = 200_000
 
 
 class Codes:
@@ -58,13 +60,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Mixture:
-    """``orders`` contexts beyond order 0, and one of the last symbol in ``frequent``; each has 2 ** ``table_bits`` slots."""
+    """``orders`` contexts beyond order 0, and one of the last symbol in ``frequent``; each has 2 ** ``table_bits`` slots.
+
+    The tables of hashed contexts come first, the nodes of order 0 last.
+    """
 
     def __init__(self, codes: Codes, orders: int, table_bits: int, frequent: range = range(0)):
         self.codes, self.orders, self.table_bits, self.frequent = codes, orders, table_bits, frequent
         self.inputs = 1 + orders + bool(frequent)
         self.slots = codes.nodes + ((self.inputs - 1) << table_bits)
-        self.hashed_node = _mixed(codes.node.astype(np.uint32) + np.uint32(1))
+        self.mask = np.uint32((1 << table_bits) - 1)
+        self.hashed_node = (_mixed(codes.node.astype(np.uint32) + np.uint32(1)) & self.mask).astype(np.int64)
+        self.own_node = codes.node.astype(np.int64) + ((self.inputs - 1) << table_bits)
         self.weights = np.full((GATES, self.inputs), 1.0 / self.inputs)
         self.refined = np.tile(1 / (1 + np.exp(-self._centres())), (GATES, 1))
 
@@ -73,9 +80,10 @@ class Mixture:
         return (np.arange(BUCKETS) + 0.5) * (2 * MOST / BUCKETS) - MOST
 
     def set_counts(self, zeros: np.ndarray, ones: np.ndarray) -> None:
-        """Predictors as log odds, and how often each context was seen."""
-        self.odds = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -MOST, MOST).astype(np.float32)
-        self.seen = np.searchsorted(SEEN, zeros.astype(np.int64) + ones, "right").astype(np.uint8)
+        """Predictors as log odds, whose last two bits tell how often the context was seen."""
+        odds = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -MOST, MOST).astype(np.float32)
+        seen = np.searchsorted(SEEN, zeros.astype(np.int64) + ones, "right").astype(np.uint32)
+        self.odds = ((odds.view(np.uint32) & ~np.uint32(3)) | seen).view(np.float32)
 
     def set_learnt(self, moved: np.ndarray) -> None:
         """From the sum of what tasks have learnt (see ``learnt``); where none did, all stays as it was."""
@@ -86,59 +94,61 @@ class Mixture:
         first = 1 / (1 + np.exp(-self._centres()))
         self.refined = (met[1] + 8 * first) / (met.sum(0) + 8)
 
+    def _last_frequent(self, symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """For each place the last symbol before it in its sequence that is in ``frequent``, from 1; 0 if there is none."""
+        place = np.arange(len(symbols))
+        met = (symbols >= self.frequent.start) & (symbols < self.frequent.stop)
+        last = np.maximum.accumulate(np.where(np.concatenate([[False], met[:-1]]), place - 1, -1))
+        return np.where(last >= begin, symbols[last] - self.frequent.start + 1, 0)
+
     def contexts(self, symbols: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each order a hash of the symbols before; ``first`` tells where sequences begin."""
+        """For each hashed context the place in its table of what stands before; ``first`` tells where sequences begin."""
+        if not len(symbols):
+            return [np.zeros(0, np.int64)] * (self.inputs - 1)
         place = np.arange(len(symbols))
         begin = np.maximum.accumulate(np.where(first, place, 0))
         before, hashes, h = place - begin, [], np.zeros(len(symbols), np.uint32)
         if self.frequent:
-            met = (symbols >= self.frequent.start) & (symbols < self.frequent.stop)
-            met[-1:] = False
-            last = np.maximum.accumulate(np.where(np.roll(met, 1), place - 1, -1))
-            hashes.append(_mixed(np.where(last >= begin, symbols[last] + 2, 1).astype(np.uint32) + np.uint32(7 << 20)))
+            hashes.append(self._of_frequent(self._last_frequent(symbols, begin)))
         for m in range(1, self.orders + 1):
             last = np.zeros(len(symbols), np.uint32)
             last[m:] = symbols[:-m] + 2
             last[before < m] = 1
             h = _mixed(h * np.uint32(0x01000193) + last + np.uint32(m << 20))
             hashes.append(h)
-        return hashes
+        return [(h & self.mask).astype(np.int64) | (k << self.table_bits) for k, h in enumerate(hashes)]
+
+    @staticmethod
+    def _of_frequent(which: np.ndarray) -> np.ndarray:
+        return _mixed(which.astype(np.uint32) + np.uint32(7 << 20))
 
-    def _bits(self, symbols: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Bits of each symbol's code, the bits, and for each order their slots."""
+    def _bits(self, symbols: np.ndarray, hashes: list[np.ndarray], alone: bool = True) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Bits of each symbol's code, the bits, and for each context their slots, order 0 last (unless not ``alone``)."""
         start = self.codes.first[symbols]
         size = self.codes.first[symbols + 1] - start
         end = np.cumsum(size)
         at = np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
-        node, mask = self.hashed_node.take(at), np.uint32((1 << self.table_bits) - 1)
-        slots = [self.codes.node.take(at)]
-        for m, h in enumerate(hashes):
-            slots.append(((np.repeat(h, size) ^ node) & mask).astype(np.int64) + (self.codes.nodes + (m << self.table_bits)))
-        return size, self.codes.bit.take(at), slots
-
-    def count(self, symbols: np.ndarray, first: np.ndarray, table: np.ndarray) -> None:
-        """Adds the bits of sequences to a table of (2, slots); ``symbols`` in pieces, so that memory stays small."""
-        hashes = self.contexts(symbols, first)
-        for a in range(0, len(symbols), 100_000):
-            _, bit, slots = self._bits(symbols[a : a + 100_000], [h[a : a + 100_000] for h in hashes])
-            for s in slots:
-                both = np.bincount(s + bit * np.int64(self.slots), minlength=2 * self.slots)
-                table += both.reshape(2, -1).astype(table.dtype)
+        node = self.hashed_node.take(at, mode="clip")
+        slots = [np.repeat(h, size) ^ node for h in hashes]
+        if alone:
+            slots.append(self.own_node.take(at, mode="clip"))
+        return size, self.codes.bit.take(at, mode="clip"), slots
 
     def run(self, symbols: np.ndarray, offsets: np.ndarray, own: bool, met: np.ndarray | None = None) -> tuple[np.ndarray, int]:
         """log2 probability of each sequence ``symbols[offsets[i]:offsets[i + 1]]``, and how many bits there were.
 
-        With ``own`` every sequence goes on from the learnt weights for itself;
-        otherwise all of them move ``self.weights``. ``met`` gathers what came of
-        the sums, for the refining table.
+        With ``own`` every sequence goes on from the learnt weights for itself,
+        by what it adds to the weights of all gates; otherwise all of them move
+        ``self.weights``, each gate for itself. ``met`` gathers what came of the
+        sums, for the refining table.
         """
-        n, inputs = len(offsets) - 1, self.inputs
-        sizes = np.diff(offsets)
+        n, sizes = len(offsets) - 1, np.diff(offsets)
         first = np.zeros(len(symbols), bool)
         first[offsets[:-1][sizes > 0]] = True
         hashes = self.contexts(symbols, first)
-        weights = np.tile(self.weights.astype(np.float32).T[:, None, :], (1, n if own else 1, 1)).reshape(inputs, -1)
-        moved, total, bits = np.zeros(weights.shape[1]), np.zeros(n), 0
+        weights = np.ascontiguousarray(self.weights.T.astype(np.float32))
+        added, seen_bits = np.zeros((self.inputs, n), np.float32), np.zeros(n if own else GATES)
+        total, bits = np.zeros(n), 0
         refined = self.refined.astype(np.float32).ravel()
         for step in range(-(-int(sizes.max(initial=0)) // CHUNK)):
             alive = np.flatnonzero(sizes > step * CHUNK)
@@ -146,22 +156,35 @@ class Mixture:
             ends = np.cumsum(length)
             at = np.repeat(offsets[alive] + step * CHUNK - ends + length, length) + np.arange(ends[-1])
             size, bit, slots = self._bits(symbols[at], [h[at] for h in hashes])
+            if not len(bit):
+                continue
             edges = np.concatenate([[0], np.cumsum(size)[ends - 1]])
-            lane = np.repeat(alive if own else np.zeros(len(alive), np.int64), np.diff(edges))
-            seen = self.seen.take(slots[-1]) * np.uint8(len(SEEN) + 1) + self.seen.take(slots[-2] if self.orders else slots[-1])
-            set_ = lane * GATES + seen
-            odds = [self.odds.take(s) for s in slots]
-            t = sum(w.take(set_) * x for w, x in zip(weights, odds, strict=True))
+            odds = [self.odds.take(s, mode="clip") for s in slots]
+            long, middle = (odds[k].view(np.int32) & 3 for k in ((-2, -3) if self.inputs > 2 else (-1, -1)))
+            gate = (long * (len(SEEN) + 1) + middle).astype(np.int64)
+            t = np.zeros(len(bit), np.float32)
+            for k, x in enumerate(odds):
+                w = weights[k].take(gate, mode="clip")
+                if own and step:
+                    w += np.repeat(added[k, alive], np.diff(edges))
+                t += w * x
             np.clip(t, -MOST + 1e-3, MOST - 1e-3, out=t)
             p = 1 / (1 + np.exp(-t))
-            bucket = ((t + np.float32(MOST)) * np.float32(BUCKETS / (2 * MOST))).astype(np.int64) + seen * np.int64(BUCKETS)
-            final = (p + refined.take(bucket)) * np.float32(0.5)
-            total[alive] += np.add.reduceat(np.log2(np.where(bit == 1, final, 1 - final), dtype=np.float32).astype(np.float64), edges[:-1]) if len(bit) else 0
+            bucket = ((t + np.float32(MOST)) * np.float32(BUCKETS / (2 * MOST))).astype(np.int64) + gate * BUCKETS
+            final = (p + refined.take(bucket, mode="clip")) * np.float32(0.5)
+            np.subtract(1, final, out=final, where=bit == 0)
+            total[alive] += np.add.reduceat(np.log2(final), edges[:-1])
             bits += len(bit)
             err = bit - p
-            moved += np.bincount(set_, minlength=len(moved))
-            for w, x in zip(weights, odds, strict=True):
-                w += RATE * np.bincount(set_, weights=err * x, minlength=len(moved)) / (moved + SLOW)
+            if own:
+                seen_bits[alive] += np.diff(edges)
+                pace = RATE / (seen_bits[alive] + SLOW)
+                for k, x in enumerate(odds):
+                    added[k, alive] += pace * np.add.reduceat(err * x, edges[:-1])
+            else:
+                seen_bits += np.bincount(gate, minlength=GATES)
+                for k, x in enumerate(odds):
+                    weights[k] += RATE * np.bincount(gate, weights=err * x, minlength=GATES) / (seen_bits + SLOW)
             if met is not None:
                 met += np.bincount(bucket + bit.astype(np.int64) * (GATES * BUCKETS), minlength=met.size).reshape(met.shape)
         if not own:
@@ -171,3 +194,48 @@ class Mixture:
     def learnt(self, bits: int, met: np.ndarray) -> np.ndarray:
         """What a task has learnt, such that sums over tasks can be taken: weights by bits, bits, what came of the sums."""
         return np.concatenate([self.weights.ravel() * bits, [bits], met.ravel()])
+
+
+class BitCounts:
+    """Counts of zeros and ones in all slots of a mixture.
+
+    Order 0 and the last frequent symbol have few contexts, so their symbols are
+    counted first and become bits at the end; the others are counted bit by bit.
+    """
+
+    def __init__(self, mixture: Mixture):
+        self.mixture, self.n = mixture, len(mixture.codes.first) - 1
+        self.alone = np.zeros(self.n, np.int64)
+        self.after = np.zeros((len(mixture.frequent) + 1) * self.n if mixture.frequent else 0, np.int32)
+        self.table = np.zeros((2, mixture.slots), np.int32)
+
+    def add(self, symbols: np.ndarray, first: np.ndarray) -> None:
+        m = self.mixture
+        if not len(symbols):
+            return
+        hashes = m.contexts(symbols, first)
+        self.alone += np.bincount(symbols, minlength=self.n)
+        if m.frequent:
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(symbols)), 0))
+            self.after += np.bincount(m._last_frequent(symbols, begin) * self.n + symbols, minlength=len(self.after)).astype(np.int32)
+            hashes = hashes[1:]
+        for a in range(0, len(symbols), PIECE):
+            _, bit, slots = m._bits(symbols[a : a + PIECE], [h[a : a + PIECE] for h in hashes], False)
+            ones = bit.astype(np.int64) * m.slots
+            self._count(np.concatenate([s + ones for s in slots]) if slots else np.zeros(0, np.int64))
+
+    def _count(self, places: np.ndarray, weights: np.ndarray | None = None) -> None:
+        both = np.bincount(places, weights=weights, minlength=2 * self.mixture.slots)
+        self.table += both.reshape(2, -1).astype(np.int32)
+
+    def counts(self) -> np.ndarray:
+        """(2, slots); to be asked for once."""
+        m = self.mixture
+        symbols = np.flatnonzero(self.alone)
+        size, bit, slots = m._bits(symbols, [])
+        self._count(slots[-1] + bit.astype(np.int64) * m.slots, np.repeat(self.alone[symbols], size))
+        pairs = np.flatnonzero(self.after)
+        if len(pairs):
+            size, bit, slots = m._bits(pairs % self.n, [(m._of_frequent(pairs // self.n) & m.mask).astype(np.int64)], False)
+            self._count(slots[0] + bit.astype(np.int64) * m.slots, np.repeat(self.after[pairs], size))
+        return self.table
