@@ -20,16 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, input_rows, map_rows, some_texts
+from .common import filter_rows, input_rows, map_rows, some_texts, written
 
 #: 1: the word at this place counts. Together they hit every four words with one substitution at most, as MIN_EQUAL asks.
 MASKS = ("111", "1101", "1011")
 #: Words a verified overlap needs (or the whole item, if shorter), share of equal words. Items under five words verify by equality only.
 MIN_OVERLAP, MIN_EQUAL = 10, 0.75
+#: Items shorter than this verify by equality only.
+SHORT = 5
 #: What one block of benchmark items may hold: hashes that are broadcast at once.
 BLOCK_WORDS = 1_000_000
-#: Score of a substituted word where an equal one scores 1: where an overlap ends.
-SUBSTITUTION = -1.5
+#: Score of a substituted word where an equal one scores 1: a stretch with a sum of 0 or more has MIN_EQUAL equal words.
+SUBSTITUTION = -round(MIN_EQUAL / (1 - MIN_EQUAL))
 TABLE_BITS = 22
 #: Hits, or words of their items, that are looked at together.
 MAX_HITS = 1 << 20
@@ -149,16 +151,20 @@ class Seeds:
 
 
 def verified_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> int:
-    """Equal words in the best stretch of the alignment, 0 if it is too short or too different."""
+    """Equal words of the stretch of the alignment with the most of them that is long enough and has ``MIN_EQUAL`` equal words; 0 if none has.
+
+    For each end, the earliest start with no larger sum of scores gives the
+    longest such stretch, so equal words beyond a poor part never hide others.
+    """
     a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     equal = doc[a + diagonal : b + diagonal] == item[a:b]
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, SUBSTITUTION))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    same = int(equal[start:end].sum())
-    enough = end - start >= min(MIN_OVERLAP, len(item)) and same >= MIN_EQUAL * (end - start)
-    return same if enough else 0
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, SUBSTITUTION))])
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    same = np.concatenate([[0], np.cumsum(equal)])
+    if len(item) < SHORT:
+        return len(item) if same[-1] == len(item) else 0
+    long = np.arange(len(total)) - start >= min(MIN_OVERLAP, len(item))
+    return int(((same - same[start]) * long).max())
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
@@ -198,20 +204,18 @@ def contamination(
     # What a row is, for the results of several blocks: the same id and text have the same results.
     rows = rows.select(F.xxhash64("id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "id").alias("h2"), "id", "text")
     schema = f"h1 long, h2 long, id {kind}, n_items long, overlap long, items array<{item_kind}>"
-    blocks = [_judged(rows, block, schema) for block in item_blocks(benchmark, item_col, item_text_col, block_words)]
-    if len(blocks) == 1:
-        out = blocks[0]
+    found = held = None
+    for block in item_blocks(benchmark, item_col, item_text_col, block_words):
+        if held is not None:  # there are more: what came before is written, so that one block is held at a time
+            found = _with_hits(found, held, rows, schema)
+        held = block
+    if found is None:
+        out = _judged(rows, held, schema) if held is not None else rows.select("h1", "h2", "id", *[F.lit(0).cast("long").alias(c) for c in ("n_items", "overlap")], F.array().cast(f"array<{item_kind}>").alias("items"))
     else:
-        out = rows.select("h1", "h2", "id")
-        found = None
-        for b in blocks:
-            hits = b.where("n_items > 0").dropDuplicates(["h1", "h2"]).select("h1", "h2", "overlap", "items")
-            found = hits if found is None else found.unionByName(hits)
-        if found is None:
-            found = out.select("h1", "h2", F.lit(0).cast("long").alias("overlap"), F.array().cast(f"array<{item_kind}>").alias("items")).where("false")
+        found = _with_hits(found, held, rows, schema)
         each = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))  # a row has one list for each block
         found = found.groupBy("h1", "h2").agg(F.max("overlap").alias("overlap"), each.alias("items"))
-        out = out.join(found, ["h1", "h2"], "left").withColumn("n_items", F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long"))
+        out = rows.select("h1", "h2", "id").join(found, ["h1", "h2"], "left").withColumn("n_items", F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long"))
     return out.select(
         F.col("id").alias(id_col),
         (F.col("n_items") > 0).alias("contaminated"),
@@ -221,6 +225,12 @@ def contamination(
     )
 
 
+def _with_hits(found: DataFrame | None, block: list[tuple[object, np.ndarray]], rows: DataFrame, schema: str) -> DataFrame:
+    hits = _judged(rows, block, schema).where("n_items > 0").dropDuplicates(["h1", "h2"]).select("h1", "h2", "overlap", "items")
+    hits = written(hits, "hits")
+    return hits if found is None else found.unionByName(hits)
+
+
 def _judged(rows: DataFrame, block: list[tuple[object, np.ndarray]], schema: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(block)
 

@@ -103,60 +103,94 @@ def oracle_sql() -> dict[str, str]:
 BROADCAST_ROWS = 250_000
 
 
-def named_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row: 128 bits of all columns of a row. Rows that are equal in every column are the same row."""
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``: 128 bits of all columns of a row. Rows that are equal in every column are the same row."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("_row", F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns[::-1]).alias("b")))
+    return docs.withColumn(name, F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns[::-1]).alias("b")))
 
 
 def one_of_each(docs: DataFrame, stays: Column, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row of each group.
+    """One row of each group, with the columns of ``docs``, whatever their names.
 
     ``groups`` gets (rank, text), where rank is ``stays`` and the row's name,
     and returns rank and best, the rank of the row that stays in its group. The
     rows that go are left out by an anti join; rows that are equal in every
-    column and stay come down to one.
+    column and stay come down to one. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = named_rows(docs)
-    judged = groups(rows.select(F.struct(stays.alias("stays"), "_row").alias("rank"), "text"))
-    judged = scratch.written(judged.select(F.col("rank._row").alias("name"), (F.col("rank") == F.col("best")).alias("kept")), "judged", last=True)
-    gone = judged.where("not kept").select("name").distinct()
-    same = judged.where("kept").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    row, name = unused(docs, "_row"), unused(docs, "_name")
+    rows = named_rows(docs, row)
+    judged = groups(rows.select(F.struct(stays.alias("stays"), F.col(row).alias("row")).alias("rank"), "text"))
+    judged = scratch.written(judged.select(F.col("rank.row").alias(name), (F.col("rank") == F.col("best")).alias("kept")), "judged", last=True)
+    gone = judged.where("not kept").select(name).distinct()
+    same = judged.where("kept").groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    met = F.col(row) == F.col(name)
 
     def small(names: DataFrame) -> DataFrame:
         return F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
 
-    rows = rows.join(small(gone), F.col("_row") == F.col("name"), "left_anti")
+    rows = rows.join(small(gone), met, "left_anti")
     if same.isEmpty():
-        return rows.drop("_row")
+        return rows.drop(row)
     same = small(same)
-    once = rows.join(same, F.col("_row") == F.col("name"), "left_semi").dropDuplicates(["_row"])
-    return rows.join(same, F.col("_row") == F.col("name"), "left_anti").unionByName(once).drop("_row")
+    once = rows.join(same, met, "left_semi").dropDuplicates([row])
+    return rows.join(same, met, "left_anti").unionByName(once).drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is below one half; labels are learnt from the rows of ``docs`` outside the held-out fold."""
+    """Rows whose score is below one half; labels are learnt from the rows of ``docs`` outside the held-out fold.
+
+    Null and empty texts have the score of an empty text; long ones are read
+    whole; rows are judged one by one, repeated and null ids too, and keep all
+    their columns; an empty table stays empty.
+    """
     return toxicity_ops.clean_rows(docs, toxicity_ops.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, with the largest id; null ids come last, equal ids go by the other columns."""
+    """Of equal texts one row, with the largest id; null ids come last, equal ids go by the other columns.
+
+    Null counts as empty, so of null and empty texts one row stays; columns of
+    any name are kept; texts of any length are compared whole; an empty table
+    stays empty.
+    """
     groups = lambda rows: exact_groups(rows, "rank").select("rank", F.col("keep_id").alias("best"))
     return one_of_each(docs, F.struct(F.col("doc_id").isNotNull(), "doc_id"), groups)
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one row, with the smallest id; null ids come last. Texts without words link with nothing and stay."""
+    """Of each component one row, with the smallest id; null ids come last. Texts without words link with nothing and stay.
+
+    Rows that are equal in every column come down to one, those without words
+    too. Columns of any name are kept; whole texts are compared; an empty table
+    stays empty.
+    """
     groups = lambda rows: jaccard_components(rows, "rank").select("rank", F.col("component_id").alias("best"))
     return one_of_each(docs, F.struct(F.col("doc_id").isNull(), "doc_id"), groups)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no item of the benchmark is found."""
+    """Rows in which no item of the benchmark is found.
+
+    Null and empty texts are clean; whole texts are searched; rows are judged
+    one by one, repeated and null ids too, and keep all their columns; an empty
+    table stays empty, an empty benchmark drops nothing.
+    """
     return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document, with its place in a sequence; repeated rows are packed each."""
+    """One row for each piece of a document, with its place in a sequence; repeated rows are packed each.
+
+    Null and empty texts are one piece, the end id; null ids stay null; other
+    columns are left out; an empty table gives no rows.
+    """
     return packed_documents(docs, tokenizer_path(TOKENIZER))
