@@ -8,6 +8,7 @@ from momentsift.operators import frames as fr
 from momentsift.operators import segments as ops
 from momentsift.sources import readers
 from momentsift.sources.scratch import scratch_path
+from momentsift.streaming import cleaning
 
 from . import bindings as b
 from .registry import query
@@ -44,6 +45,33 @@ def repeats_cut(spark, sf_dir):
     return ops.cap_repeats(b.runs(spark, sf_dir))[1]
 
 
+#: First-tier pattern of the streamed texts, which are event types; every ninth is blank.
+_STREAMED = """said AS (SELECT video_id, start, end_sec, CASE WHEN CAST(floor(start) AS BIGINT) % 9 = 0 OR video_id LIKE '%7' THEN ' ' ELSE text END AS text FROM runs),
+  z AS (SELECT *, row_number() OVER (PARTITION BY video_id, run ORDER BY start, end_sec) AS place FROM (
+    SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY start, end_sec ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT *, CASE WHEN lag(text) OVER (PARTITION BY video_id ORDER BY start, end_sec) = text THEN 0 ELSE 1 END AS new FROM said WHERE trim(text) <> '' AND NOT contains(text, 'error'))))"""
+
+
+@query(
+    "E5_streamed_cleaning",
+    sql(
+        f"""WITH {_STREAMED} SELECT video_id, start, end_sec, text FROM z WHERE place <= 2
+        UNION ALL SELECT DISTINCT video_id, 0.0::DOUBLE, 0.0::DOUBLE, '' FROM said WHERE video_id NOT IN (SELECT video_id FROM z)""",
+        "runs",
+    ),
+)
+def streamed_cleaning(spark, sf_dir):
+    """E2, E3 and E5 as one stream: segments arrive as files in three slices of time, a micro-batch each."""
+    source, target, state = (scratch_path(spark, f"stream-{n}") for n in ("in", "out", "state"))
+    gone = (F.floor("start") % 9 == 0) | F.col("video_id").endswith("7")
+    said = b.runs(spark, sf_dir).withColumn("text", F.when(gone, " ").otherwise(F.col("text"))).withColumnRenamed("end_sec", "end")
+    third = said.agg(F.percentile_approx("start", [0.3, 0.6]).alias("p")).first()["p"]
+    for slice_ in (F.col("start") <= third[0], (F.col("start") > third[0]) & (F.col("start") <= third[1]), F.col("start") > third[1]):
+        said.where(slice_).repartition(4, "video_id").write.mode("append").json(source)
+    cleaning.ingest_cleaned(spark, source, target, state, ["error"], TIER2, files_at_once=4).awaitTermination()
+    return cleaning.cleaned_segments(spark.read.schema(cleaning.CLEANED).parquet(target))
+
+
 @query(
     "E3_no_speech_marker",
     sql(
