@@ -21,7 +21,7 @@ VIEWS = ("vectors", "vector_queries", "truth")
 
 
 def _scored(spark, sf_dir):
-    rows = _searched(spark, sf_dir).join(F.broadcast(b.truth(spark, sf_dir)), "query_id")  # 20 rows
+    rows = _searched(spark, sf_dir).join(b.truth(spark, sf_dir), "query_id")
     r = ops.score_moment(F.col("video_id"), F.col("frame_idx"), F.col("gt_video_id"), F.col("gt_start"), F.col("gt_end"))
     return rows.select("query_id", "rank", r.alias("r"))
 
