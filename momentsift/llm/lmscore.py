@@ -35,6 +35,8 @@ LEAST = 3
 WORD_ORDERS, WORD_BITS, LETTER_ORDERS, LETTER_BITS = 2, 19, 4, 18
 #: The most frequent words, the last of which is a context of its own.
 FREQUENT = 32
+#: Distinct words that a task counts before it hands them on; bytes of texts that it holds as numbers at a time.
+KEPT_WORDS, TEXT_BYTES = 400_000, 2 << 20
 #: Slots of a slice, as tasks send their counts.
 SLICE = 1024
 #: Symbols: words outside the head, the end of a text; the end of a word among letters.
@@ -50,9 +52,27 @@ def words_of(text: str) -> list[bytes]:
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """word, n over the texts of ``training``."""
-    words = F.split(F.translate("text", _UPPER, _LOWER), r"[\x20\x09-\x0D]+")
-    return training.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """word, n over the texts of ``training``; a task counts in a dictionary that it hands on before it grows large."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def given(seen: Counter) -> Iterator[pa.RecordBatch]:
+        words, counts = list(seen.keys()), list(seen.values())
+        seen.clear()
+        for a in range(0, len(words), 50_000):
+            part = pa.array(words[a : a + 50_000], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part, pa.array(counts[a : a + 50_000], pa.int64())], schema=schema)
+
+    def run(batches):
+        seen: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in some_texts(batch.column("text")):
+                seen.update(words_of(text))
+                if len(seen) > KEPT_WORDS:
+                    yield from given(seen)
+        yield from given(seen)
+        release_memory()
+
+    return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def head_words(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -101,7 +121,7 @@ def _as_letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _text_groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    for a, b in groups_by_bytes(batch.column("text")):
+    for a, b in groups_by_bytes(batch.column("text"), TEXT_BYTES):
         yield a, b, batch.column("text").slice(a, b - a).to_pylist()
 
 

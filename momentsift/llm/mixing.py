@@ -219,10 +219,15 @@ class BitCounts:
             begin = np.maximum.accumulate(np.where(first, np.arange(len(symbols)), 0))
             self.after += np.bincount(m._last_frequent(symbols, begin) * self.n + symbols, minlength=len(self.after)).astype(np.int32)
             hashes = hashes[1:]
+        if not hashes:
+            return
+        # Only their tables, which stand together, are counted over.
+        low, high = bool(m.frequent) << m.table_bits, (m.inputs - 1) << m.table_bits
         for a in range(0, len(symbols), PIECE):
             _, bit, slots = m._bits(symbols[a : a + PIECE], [h[a : a + PIECE] for h in hashes], False)
-            ones = bit.astype(np.int64) * m.slots
-            self._count(np.concatenate([s + ones for s in slots]) if slots else np.zeros(0, np.int64))
+            ones = bit.astype(np.int64) * (high - low) - low
+            both = np.bincount(np.concatenate([s + ones for s in slots]), minlength=2 * (high - low))
+            self.table[:, low:high] += both.reshape(2, -1).astype(np.int32)
 
     def _count(self, places: np.ndarray, weights: np.ndarray | None = None) -> None:
         both = np.bincount(places, weights=weights, minlength=2 * self.mixture.slots)
