@@ -211,6 +211,11 @@ def test_keywords(spark):
     assert got == {t: sorted(k) for t, k in cases.items()}
 
 
+@pytest.fixture
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(ft, "BUCKETS", 8)
+
+
 TEXTS = [(1, "TP-HCM mưa lớn, PHÁ án"), (2, "phá TP HCM"), (3, "HCM TP"), (4, "thời sự 19h"), (5, "thời tiết"), (6, "")]
 
 
@@ -218,7 +223,7 @@ def search(spark, index, q, **k):
     return {r["doc_id"]: r["score"] for r in ft.bm25(spark.createDataFrame([(1, q)], "query_id long, text string"), index, 10, key="doc_id", **k).collect()}
 
 
-def test_full_text(spark, tmp_path):
+def test_full_text(spark, tmp_path, few_buckets):
     index = ft.TextIndex(spark, str(tmp_path / "index")).build(spark.createDataFrame(TEXTS, "doc_id long, text string"), "doc_id")
     found = lambda q, **k: set(search(spark, index, q, **k))
     assert found("TP-HCM PHÁ") == {1, 2}
@@ -229,7 +234,7 @@ def test_full_text(spark, tmp_path):
     assert search(spark, index, "tiết")[5] == pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / avg)), abs=1e-8)
 
 
-def test_index_grows_and_reads_only_asked_files(spark, tmp_path):
+def test_index_grows_and_reads_only_asked_files(spark, tmp_path, few_buckets):
     """Appended documents score as in a full rebuild, replaced ones too; a search opens the files of its terms' buckets; old segments count until a new one is whole."""
     new = [(7, "mưa TP mới"), (8, None), (9, "sự phá án phá")]
     frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
@@ -265,7 +270,7 @@ def test_index_grows_and_reads_only_asked_files(spark, tmp_path):
         index.totals()
 
 
-def test_keywords_by_positions(spark, tmp_path):
+def test_keywords_by_positions(spark, tmp_path, few_buckets):
     """The same as looking into the folded text, for words, parts of words, phrases, odd separators, several segments."""
     texts = [(1, "Phở Hà Nội 2005"), (2, "phohanoi ab"), (3, None), (4, "ha, noi ha noi"), (5, "(ha noi)"), (6, "xha noiy-ha  noi"), (7, "ha\nnoi ha"), (8, "ab-ab-ab cab"), (9, "...")]
     frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
