@@ -20,7 +20,7 @@ from .common import quiet_tokenizers
 
 #: Bytes of text in one call of the library, and bytes of pieces that a worker keeps.
 BATCH_BYTES = 1 << 20
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 24 << 20
 #: Pieces of so many characters are cut further where that is safe.
 LONG = 512
 
