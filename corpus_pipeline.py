@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from momentsift.llm.common import Scratch, table
+from momentsift.llm.common import Scratch, table, written
 from momentsift.llm.queries import drop_contaminated, drop_toxic, keep_one_copy, keep_one_similar, pack
 
 STAGES = [
@@ -25,10 +25,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         now = Scratch(spark)
         docs = now.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if before is not None:
             before.clear()  # the stage before is read no more
         before = now
+    name, stage = STAGES[-1]
+    docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    if before is not None:
+        before.clear()
     return docs
