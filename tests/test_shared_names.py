@@ -24,8 +24,10 @@ def _differ(spark, shared_dir, name):
     for t in ("events", "conversations", "documents", "embeddings", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{shared_dir}/{t}.parquet'")
     plain = lambda v: round(v, 9) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, list | tuple) else v
-    got = sorted(map(repr, map(plain, map(tuple, entry.queries()[name](spark, shared_dir).collect()))))
-    want = sorted(map(repr, map(plain, c.execute(entry.oracle_sql()[name]).fetchall())))
+    result = c.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    want = sorted(map(repr, map(plain, result.fetchall())))
+    got = sorted(map(repr, map(plain, map(tuple, entry.queries()[name](spark, shared_dir).select(*[f"`{n}`" for n in names]).collect()))))
     return got, want
 
 
