@@ -31,24 +31,27 @@ def _folding(form: str) -> tuple[str, str, tuple[tuple[str, str], ...], str]:
 
 
 def _ranges(characters) -> str:
-    """A pattern of one of the characters."""
+    """A pattern of one of the characters; the many ranges are tried one by one, so those between which all lie come first."""
     marked = sorted(characters)
     ranges, start = [], marked[0]
     for a, c in zip(marked, [*marked[1:], "\U0010ffff"], strict=True):
         if ord(c) != ord(a) + 1:
             ranges.append(f"\\x{{{ord(start):x}}}-\\x{{{ord(a):x}}}")
             start = c
-    return "[" + "".join(ranges) + "]"
+    return f"[\\x{{{ord(marked[0]):x}}}-\\x{{{ord(marked[-1]):x}}}&&[{''.join(ranges)}]]"
 
 
 def _strip_marks(text: Column, form: str) -> Column:
     one, to, grow, _ = _folding(form)
     folded = F.translate(F.lower(text), one, to)
     if form == "NFKD":
+        # A map is searched key by key, so it is asked once for each different character that grows, not for each character of the text.
         longer = F.str_to_map(F.lit("\x01".join(f"{c}\x02{d}" for c, d in grow)), F.lit("\x01"), F.lit("\x02"))
-        each = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(longer, c), c))
-        folded = F.when(folded.rlike(_ranges([c for c, _ in grow])), F.array_join(each, "")).otherwise(folded)
-    return F.regexp_replace(folded, r"\p{Mn}+", "")
+        growing = _ranges([c for c, _ in grow])
+        met = F.array_distinct(F.regexp_extract_all(folded, F.lit(growing), F.lit(0)))
+        folded = F.when(folded.rlike(growing), F.aggregate(met, folded, lambda s, c: F.replace(s, c, F.try_element_at(longer, c)))).otherwise(folded)
+    folded = F.regexp_replace(folded, r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)  # ASCII has no marks
 
 
 def fold(text: Column) -> Column:
