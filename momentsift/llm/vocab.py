@@ -67,11 +67,11 @@ class Pieces(dict):
 
     def learn(self, cut_texts: list[list[str]]) -> None:
         """Encode the pieces not seen yet, about ``BATCH_BYTES`` at a time."""
-        if self.kept > KEPT_BYTES:
-            self.forget()
         new: set[str] = set()
         for pieces in cut_texts:
             new.update(pieces)
+        if self.kept > KEPT_BYTES:
+            self.forget(new)
         waiting, size = [], 0
         for piece in new:
             if piece not in self:
@@ -82,9 +82,15 @@ class Pieces(dict):
                     waiting, size = [], 0
         self._encode(waiting)
 
-    def forget(self) -> None:
+    def forget(self, but: set[str]) -> None:
+        """All pieces go but those that are asked again now, which the common ones are."""
+        still = {p: self[p] for p in but if p in self}
         self.clear()
-        self.kept = 0
+        self.update(still)
+        self.kept = sum(map(self._bytes, still.items()))
+
+    def _bytes(self, item: tuple) -> int:
+        return 150 + len(item[0]) + (0 if self.lengths_only else len(item[1]))
 
     def _encode(self, pieces: list[str]) -> None:
         for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
