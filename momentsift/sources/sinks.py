@@ -109,8 +109,9 @@ def write_vector_files(vectors: DataFrame, path: str, dim: int) -> None:
     A file's bytes stream by in order and leave as the lines that they happen to
     have; one line end follows the matrix, which readers of the format ignore.
     """
-    header = F.concat(F.lit("{'descr': '<f4', 'fortran_order': False, 'shape': ("), F.count("*").cast("string"), F.lit(f", {dim}), }}"))
-    heads = vectors.groupBy("video_id").agg(header.alias("head"))
+    # By a window, not by a join: under a join a repartition by its key is dropped, and adaptive reads may then spread a video over tasks.
+    count = F.count("*").over(Window.partitionBy("video_id"))
+    header = F.concat(F.lit("{'descr': '<f4', 'fortran_order': False, 'shape': ("), count.cast("string"), F.lit(f", {dim}), }}"))
     schema = "video_id string, place long, line binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def write_vector_files(vectors: DataFrame, path: str, dim: int) -> None:
             out.append((now, place, rest))
             yield given()
 
-    rows = vectors.join(heads, "video_id").select("video_id", "n", "head", "embedding").repartition("video_id").sortWithinPartitions("video_id", "n")
+    rows = vectors.where("video_id is not null").select("video_id", "n", header.alias("head"), "embedding").sortWithinPartitions("video_id", "n")
     lines = rows.mapInArrow(run, schema).sortWithinPartitions("video_id", "place").select("video_id", F.col("line").cast("string").alias("line"))
     replace_table(vectors.sparkSession, path, lambda staged: lines.write.option("lineSep", "\n").option("maxRecordsPerFile", 0).partitionBy("video_id").text(staged))
 
