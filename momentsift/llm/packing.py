@@ -110,7 +110,7 @@ def cut_documents(docs: DataFrame, path: str, id_col: str, text_col: str, capaci
                 cut = [pieces.cut(t) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 pieces.learn(cut)
                 for doc_id, c in zip(ids[a:b], cut, strict=True):
-                    data = b"".join(map(pieces.__getitem__, c)) + end
+                    data = pieces.joined(c) + end
                     for k, start in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[start : start + 4 * capacity]
                         for name, value in zip(out, (doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
