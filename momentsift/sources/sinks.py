@@ -11,25 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentsift.operators.frames import check_frame_map
+from momentsift.operators.frames import KEY, check_frame_map
 
 from .files import file_paths, folder_names, remove, rename, replace_table
 
 
-def write_frame_map(frames: DataFrame, path: str, strict: bool = True) -> DataFrame:
+def write_frame_map(frames: DataFrame, path: str, strict: bool = True, key: tuple[str, ...] = tuple(KEY)) -> DataFrame:
     """Writes the table sorted by key within its files, and returns the checks of what was written; strict refuses a table with a problem.
 
     The table is written beside the old one and checked there; only then it takes its place.
+    Where videos share names, ``key`` names the columns that tell keyframes apart.
     """
     spark = frames.sparkSession
 
     def check(staged: str) -> None:
-        problems = [f"{r['check']}: {r['found']}" for r in check_frame_map(spark.read.parquet(staged)).where("not ok").collect()]  # a row a rule
+        problems = [f"{r['check']}: {r['found']}" for r in check_frame_map(spark.read.parquet(staged), key=key).where("not ok").collect()]  # a row a rule
         if problems and strict:
             raise ValueError("frame map not written: " + "; ".join(problems))
 
     replace_table(spark, path, lambda staged: frames.repartition("video_id").sortWithinPartitions("video_id", "n").write.parquet(staged), check)
-    return check_frame_map(spark.read.parquet(path))
+    return check_frame_map(spark.read.parquet(path), key=key)
 
 
 def submission_file_name() -> F.Column:

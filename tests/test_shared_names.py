@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from momentsift.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +56,18 @@ def test_ties_in_n_go_by_explicit_columns(spark):
         f = spark.createDataFrame(order, "video_id string, n int, pts_time double, fps double, frame_idx bigint").coalesce(1)
         assert fr.fps_per_video(f).first()["fps"] == 25.0
         assert fr.reverse_lookup(f).first()["pts_time"] == 8.0
+
+
+def test_a_frame_map_of_shared_names_is_written(spark, shared_dir):
+    got, want = _differ(spark, shared_dir, "S12_write_frame_map")
+    assert want and got == want
+
+
+def test_a_frame_map_with_a_repeated_key_is_refused_still(spark, tmp_path):
+    rows = [("V1000", 1, 0.0, 25.0, 0, 7), ("V1000", 1, 1.0, 25.0, 25, 8)]
+    f = spark.createDataFrame(rows, "video_id string, n int, pts_time double, fps double, frame_idx bigint, event_id bigint")
+    with pytest.raises(ValueError, match="duplicate_keys: 1"):
+        sinks.write_frame_map(f, str(tmp_path / "a"))
+    sinks.write_frame_map(f, str(tmp_path / "b"), key=("event_id",))
+    with pytest.raises(ValueError, match="duplicate_keys: 1"):
+        sinks.write_frame_map(f.unionByName(f.limit(1)), str(tmp_path / "c"), key=("event_id",))
