@@ -75,7 +75,7 @@ def rscore_trake(spark, sf_dir):
     groups = b.frames(spark, sf_dir).groupBy("video_id", F.floor(F.col("n") / 5).alias("g")).agg(F.array_sort(F.collect_list(F.struct("n", "frame_idx"))).alias("l"))
     events = F.transform("l", lambda x: F.struct(x["frame_idx"].alias("s"), (x["frame_idx"] + 100).alias("e")))
     given = F.slice(F.transform("l", lambda x, i: x["frame_idx"] + (i + 1) * 40), F.lit(1), F.greatest(F.lit(0), F.size("l") - F.col("g").cast("int") % 3))
-    video = F.when(F.col("g") % 7 == 6, "V9999").otherwise(F.col("video_id"))
+    video = F.when(F.col("g") % 7 == 6, F.concat(F.lit("not "), F.col("video_id"))).otherwise(F.col("video_id"))  # any name may be that of a video
     return groups.select("video_id", "g", ops.score_sequence(video, given, F.col("video_id"), events).alias("r"))
 
 

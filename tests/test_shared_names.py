@@ -71,3 +71,15 @@ def test_a_frame_map_with_a_repeated_key_is_refused_still(spark, tmp_path):
     sinks.write_frame_map(f, str(tmp_path / "b"), key=("event_id",))
     with pytest.raises(ValueError, match="duplicate_keys: 1"):
         sinks.write_frame_map(f.unionByName(f.limit(1)), str(tmp_path / "c"), key=("event_id",))
+
+
+def test_no_name_stands_for_another_video(spark, sf_dir, tmp_path):
+    """A user whose video is called V9999."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (user_id + 9990 AS user_id) FROM '{sf_dir}/events.parquet' WHERE user_id < 10) TO '{tmp_path}/events.parquet'")
+    c.execute(f"COPY (SELECT * REPLACE (9999 AS user_id) FROM '{tmp_path}/events.parquet') TO '{tmp_path}/named.parquet'")
+    (tmp_path / "named.parquet").rename(tmp_path / "events.parquet")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, entry.queries()["G3_rscore_trake"](spark, str(tmp_path)).select("video_id", "g", "r").collect()))
+    want = sorted(c.execute(entry.oracle_sql()["G3_rscore_trake"]).fetchall())
+    assert any(g % 7 == 6 for _, g, _ in want) and got == want
