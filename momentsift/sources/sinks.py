@@ -104,8 +104,8 @@ def append_lines(lines: DataFrame, path: str) -> None:
         remove(spark, staged)
 
 
-def write_vector_files(vectors: DataFrame, path: str, dim: int) -> None:
-    """vectors: video_id, n, embedding -> a folder video_id=<id> with one float32 .npy matrix for each video, its rows in order of n.
+def write_vector_files(vectors: DataFrame, path: str, dim: int, order: tuple[str, ...] = ("n",)) -> None:
+    """vectors: video_id, n, embedding -> a folder video_id=<id> with one float32 .npy matrix for each video, its rows in order of n, or of ``order``.
 
     A file's bytes stream by in order and leave as the lines that they happen to
     have; one line end follows the matrix, which readers of the format ignore.
@@ -143,7 +143,7 @@ def write_vector_files(vectors: DataFrame, path: str, dim: int) -> None:
             out.append((now, place, rest))
             yield given()
 
-    rows = vectors.where("video_id is not null").select("video_id", "n", header.alias("head"), "embedding").sortWithinPartitions("video_id", "n")
+    rows = vectors.where("video_id is not null").select("video_id", *order, header.alias("head"), "embedding").sortWithinPartitions("video_id", *order)
     lines = rows.mapInArrow(run, schema).sortWithinPartitions("video_id", "place").select("video_id", F.col("line").cast("string").alias("line"))
     replace_table(vectors.sparkSession, path, lambda staged: lines.write.option("lineSep", "\n").option("maxRecordsPerFile", 0).partitionBy("video_id").text(staged))
 

@@ -98,7 +98,7 @@ def interleaved_dir(spark, sf_dir, shared_dir, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["C5_embedding_agreement"])
+@pytest.mark.parametrize("name", ["C5_embedding_agreement", "S9_read_vector_files"])
 def test_vectors_of_shared_names_stay_apart(spark, interleaved_dir, name):
     got, want = _differ(spark, interleaved_dir, name)
     assert want and got == want
