@@ -121,3 +121,23 @@ def test_media_files_of_one_document_several_or_none(spark, tmp_path):
     media, bad = readers.read_media_info(spark, str(tmp_path))
     assert sorted(tuple(r) for r in media.select("video_id", "title").collect()) == [("a b+c", "one"), ("several", "x\x1ey"), ("several", "z")]
     assert sorted(r["video_id"] for r in bad.collect()) == ["blank", "several"]
+
+
+def test_bad_rows_of_shared_names(spark, interleaved_dir):
+    got, want = _differ(spark, interleaved_dir, "E15_isolate_bad_rows")
+    assert want and got == want
+
+
+def test_texts_of_good_rows_move_once_and_alone(spark, interleaved_dir):
+    """Frames of a repeated key, and texts, would grow each other's shuffle."""
+    plan = entry.queries()["E15_isolate_bad_rows"](spark, interleaved_dir)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    with_text = [line for line in plan.splitlines() if "FileScan" in line and "text" in line]
+    assert len(with_text) == 1 and "ShuffledHashJoin" in plan
+    above = plan[: plan.index(with_text[0])].splitlines()
+    depth, path = with_text[0].index("FileScan"), []
+    for line in reversed(above):  # the operators that the text passes
+        at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if at < depth:
+            path.append(line.strip(" :+-*()0123456789"))
+            depth = at
+    assert sum(p.startswith("Exchange") for p in path) == 1 and not any(p.startswith("Sort ") or "SortMergeJoin" in p for p in path)
