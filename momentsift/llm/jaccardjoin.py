@@ -381,10 +381,11 @@ def candidate_pairs(lists: DataFrame, rests: int, sizes: int) -> DataFrame:
         p, q = (heads.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("size", "rest", "low", "high")], F.col("block").alias(k)) for k in "ij")
         possible = (F.col("i") <= F.col("j")) & (rests * F.least("rest_i", "rest_j") >= sizes * (F.col("size_i") + F.col("size_j")))
         possible &= F.greatest("high_i", "high_j") > F.least("low_i", "low_j")
-        blocks = p.join(q, "token").where(possible).select("token", "i", "j")
+        # Under another name: both sides come from ``many``, so Spark couldn't tell which token is meant.
+        blocks = p.join(q, "token").where(possible).select(F.col("token").alias("of"), "i", "j")
         for k, side in (("i", False), ("j", True)):
-            met = many.join(blocks.where("i < j") if side else blocks, (many["token"] == blocks["token"]) & (F.col("block") == F.col(k)))
-            dealt = dealt.unionByName(met.select(*[many[c] for c in entry], "i", "j", F.lit(side).alias("side")))
+            met = many.join(blocks.where("i < j") if side else blocks, (F.col("token") == F.col("of")) & (F.col("block") == F.col(k)))
+            dealt = dealt.unionByName(met.select(*entry, "i", "j", F.lit(side).alias("side")))
 
     def run(batches):
         keys = ("token", "i", "j")
