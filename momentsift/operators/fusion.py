@@ -39,7 +39,7 @@ def expand_intervals(intervals: DataFrame, frames: DataFrame, most: int = DEFAUL
     laid = intervals.where("start <= end_sec").select("video_id", "seg", "start", "end_sec", "score", F.explode(F.sequence(at("start"), at("end_sec"))).alias("_cell"))
     placed = frames.select("video_id", "n", "frame_idx", "pts_time", at("pts_time").alias("_cell"))
     inside = laid.join(placed, ["video_id", "_cell"]).where("pts_time >= start and pts_time <= end_sec").drop("_cell")
-    first = Window.partitionBy("video_id", "seg").orderBy("pts_time", "n")
+    first = Window.partitionBy("video_id", "seg").orderBy("pts_time", "n", "frame_idx", "score")  # the last two tell videos of one name apart
     return inside.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= most).select("video_id", "seg", "n", "frame_idx", "pts_time", "score")
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from momentsift.sources import readers, sinks
@@ -146,3 +147,18 @@ def test_texts_of_good_rows_move_once_and_alone(spark, interleaved_dir):
 def test_segments_of_one_name_are_scored_together(spark, shared_dir):
     got, want = _differ(spark, shared_dir, "T9_bm25_speech")
     assert want and got == want
+
+
+def test_rows_of_shared_names_do_not_depend_on_their_order(spark):
+    from momentsift.operators import fusion as fu
+    from momentsift.operators import segments as sg
+
+    said = [("V1000", 1, 0.0, 9.0, t, float(len(t))) for t in ("b", "aa", "c", "dddd")]
+    shown = [("V1000", 1, 5.0, i) for i in (7, 3, 9)]
+    got = set()
+    for order in (1, -1):
+        s = spark.createDataFrame(said[::order], "video_id string, seg long, start double, end_sec double, text string, score double").coalesce(1)
+        f = spark.createDataFrame(shown[::order], "video_id string, n int, pts_time double, frame_idx long").coalesce(1)
+        intervals = sorted(tuple(r)[3:] for r in fu.expand_intervals(s, f, most=4).select("video_id", "seg", "n", "frame_idx", "score").collect())
+        got.add((tuple(intervals), sg.stratified_sample(s, 1, F.lit("g")).first()["text"]))
+    assert got == {(((3, 1.0), (3, 1.0), (3, 2.0), (3, 4.0)), "aa")}
